@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from itertools import islice
 
 from verispan.llm import spotsigs
 from verispan.llm.words import hash_of, hashed_words
@@ -13,7 +14,7 @@ def plain(text):
     spots = set()
     for i, w in enumerate(words):
         if w in spotsigs.ANCHORS:
-            chain = [v for v in words[i + 1 :] if v not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+            chain = list(islice((words[j] for j in range(i + 1, len(words)) if words[j] not in spotsigs.ANCHORS), spotsigs.CHAIN))
             if len(chain) == spotsigs.CHAIN:
                 spots.add((w, *chain))
     return spots | {(w,) for w in words} if len(spots) < spotsigs.FEW else spots

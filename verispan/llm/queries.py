@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, spotsigs
+from . import bpe, langid, quality, simhash, spotsigs, toxicity
 from .common import documents
 
 
@@ -16,18 +16,35 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.held_out(langid.identify(docs, langid.train(docs)))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels"))).select("doc_id", "score")
+    return langid.held_out(scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int")), 5, 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+    return langid.held_out(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), 5, 0)
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compared(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_bpe, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op7_toxicity, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
