@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, simhash, spotsigs, toxicity
+from . import bpe, chat, langid, lines, quality, simhash, spotsigs, toxicity
 from .common import documents
 
 
@@ -33,19 +33,31 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int")), 5, 0)
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.strip_boilerplate(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
     return langid.held_out(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), 5, 0)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_conversations(turns))
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compared(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op7_toxicity, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op5_lines, op7_toxicity, op8_chat, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lines": lines.ORACLE_SQL}
