@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lines, quality, simhash, spotsigs, toxicity
+from . import bpe, chat, decontaminate, langid, lines, quality, simhash, spotsigs, toxicity
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
@@ -56,7 +60,7 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op5_lines, op7_toxicity, op8_chat, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op5_lines, op6_decontaminate, op7_toxicity, op8_chat, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
