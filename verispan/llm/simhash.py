@@ -52,14 +52,17 @@ def _fingerprints(width: int):
                 last = ends[width - 1 :] if len(words) >= width else ends[-1:]
                 grams = [joined[a:b] for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)]
                 out[i] = _vote(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64, n))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), signed(out)], ["doc_id", "mark", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long): one row per input row; null and wordless texts get zero."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    """(doc_id, mark, fp: long): one row per input row; null and wordless texts get zero.
+
+    mark is a hash of the text, which tells rows of one doc_id apart.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(_fingerprints(width), "doc_id long, mark long, fp long")
 
 
 def masks(bits: int, parts: int, keep: int) -> list[int]:
@@ -195,6 +198,16 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = fresh
 
 
+def _named(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, mark, fp, component_id, root) of each row."""
+    prints = materialize(fingerprints(docs, width), "simhash")
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    joined = connected_components(links(groups.select("fp")))
+    rooted = groups.join(joined, groups.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of docs.
 
@@ -205,10 +218,20 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     links but is never the smallest unless its whole component is null. No rows give none.
     Equal fingerprints are merged first, so a group of copies counts once in the search.
     """
-    prints = materialize(fingerprints(docs, width), "simhash")
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = connected_components(links(groups.select("fp")))
-    rooted = groups.join(joined, groups.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return _named(docs, width).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+_LAST = (1 << 63) - 1
+
+
+def deduplicate(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id.
+
+    Groups are the components of ``near_duplicates``. Null doc_ids come last; of rows with the
+    smallest doc_id one stays, by a hash of its text, whole repeats included. All columns stay.
+    """
+    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), F.coalesce("mark", F.lit(0)).alias("_mark"))
+    stay = _named(docs, width).groupBy("root").agg(F.min(order).alias("first")).select("first.*")
+    own = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_of", F.xxhash64("text"))
+    kept = own.join(stay, (F.col("_key") == F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_semi")
+    return kept.dropDuplicates(["_key", "_of"]).select(*docs.columns)

@@ -39,7 +39,6 @@ class ToxicModel:
     table: np.ndarray
     net: ConvNet
     thresholds: np.ndarray
-    slope: float
 
 
 def _language_table() -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
     rows = rows.mapInArrow(_training_words, "doc_id long, label int, lang int, words binary").toPandas().sort_values(["doc_id", "words"]).reset_index(drop=True)
     table = np.zeros(1 << HASHES, np.int32)
-    nothing = ToxicModel(table, ConvNet.fresh(1, EMBEDDING, WIDTHS, FILTERS, 2, seed), np.full(len(LANGUAGES), np.inf), 1.0)
+    nothing = ToxicModel(table, ConvNet.fresh(1, EMBEDDING, WIDTHS, FILTERS, 2, seed), np.full(len(LANGUAGES), np.inf))
     y = rows["label"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
         return nothing
@@ -118,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     for k in range(len(LANGUAGES)):
         own = calibrates & (lang == k)
         each.append(_threshold(z[own], y[own], weight[own]) if (y[own] == 1).sum() >= 20 and (y[own] == 0).sum() >= 20 else whole)
-    return ToxicModel(table, net, np.array(each), 1.0)
+    return ToxicModel(table, net, np.array(each))
 
 
 def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -154,21 +153,16 @@ def _margin(net: ConvNet, symbols: np.ndarray, starts: np.ndarray, lengths: np.n
     return (z[:, 1] - z[:, 0]).astype(np.float64)
 
 
-def _score(model: ToxicModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.net
-        for batch in blocks(batches):
-            hashes, _, cut = hashed_words(*text_buffers(batch.column("text")))
-            symbols = model.table[_buckets(hashes)]
-            lengths = np.diff(cut)
-            shift = np.arange(len(lengths)) * net.margin
-            padded = np.zeros(len(symbols) + net.margin * max(1, len(lengths)), np.int32)
-            padded[np.arange(len(symbols)) + np.repeat(shift, lengths)] = symbols
-            z = _margin(net, padded, cut[:-1] + shift, lengths) - model.thresholds[languages_of(hashes, cut)]
-            score = 1 / (1 + np.exp(-np.clip(model.slope * z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
-
-    return run
+def _scores(model: ToxicModel, texts: pa.Array) -> np.ndarray:
+    net = model.net
+    hashes, _, cut = hashed_words(*text_buffers(texts))
+    symbols = model.table[_buckets(hashes)]
+    lengths = np.diff(cut)
+    shift = np.arange(len(lengths)) * net.margin
+    padded = np.zeros(len(symbols) + net.margin * max(1, len(lengths)), np.int32)
+    padded[np.arange(len(symbols)) + np.repeat(shift, lengths)] = symbols
+    z = _margin(net, padded, cut[:-1] + shift, lengths) - model.thresholds[languages_of(hashes, cut)]
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -177,4 +171,19 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     The language comes from the text's function words, never from a column. Null and empty texts
     are scored as texts without words. Repeated rows repeat; no rows give none; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model), "doc_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch.column("text")))], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose texts score under ``least``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            yield batch.filter(pa.array(_scores(model, batch.column("text")) < least))
+
+    return docs.mapInArrow(run, docs.schema)
