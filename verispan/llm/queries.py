@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lines, quality, simhash, spotsigs, toxicity
+from . import bpe, chat, decontaminate, langid, lines, quality, simhash, spotsigs, suffix, toxicity
 from .common import documents
 
 
@@ -55,12 +55,17 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compared(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op5_lines, op6_decontaminate, op7_toxicity, op8_chat, op10_spotsigs)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_bpe, op4_quality, op5_lines, op6_decontaminate, op7_toxicity, op8_chat, op9_suffix, op10_spotsigs)}
 
 
 def oracle_sql() -> dict[str, str]:
