@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, spread, text_buffers
+from .common import binary_column, kernel, pack, spread, text_buffers, unpack
 
 CHUNK_BYTES = 16 << 20
 #: Tokens that a kernel puts in order at once.
@@ -46,18 +45,6 @@ def _encoder(raw: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=_ranks(raw), special_tokens={})
 
 
-def _pack(*parts: np.ndarray | bytes) -> bytes:
-    held = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
-    return zstandard.ZstdCompressor(3).compress(b"".join([np.array([len(held), *map(len, held)], "<u4").tobytes(), *held]))
-
-
-def _unpack(blob: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    at = np.cumsum([4 + 4 * n, *np.frombuffer(data, "<u4", n, 4)])
-    return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
 def _planes(numbers: np.ndarray) -> list[np.ndarray]:
     """The four byte planes of the numbers; the upper ones pack to almost nothing."""
     return [(numbers >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)]
@@ -94,14 +81,14 @@ def _pretokens(pattern: str, buckets: int):
             spelled = [spelled[k].encode() for k in order.tolist()]
             place = np.fromiter((zlib.crc32(w) % buckets for w in spelled), np.uint16, len(spelled))
             known = np.array([x is not None for x in ids], np.uint8)
-            head = _pack(np.array([x or 0 for x in ids], "<i8"), known, np.array(counts, "<i8"), place, *_planes(rank[seq]))
+            head = pack(np.array([x or 0 for x in ids], "<i8"), known, np.array(counts, "<i8"), place, *_planes(rank[seq]))
             yield _rows([(chunk, POSITIONS, zlib.crc32(str(chunk).encode()) % buckets, head)])
             by = np.argsort(place, kind="stable")
             at = np.searchsorted(place[by], np.arange(buckets + 1))
             out = []
             for b in range(buckets):
                 if own := [spelled[k] for k in by[at[b] : at[b + 1]].tolist()]:
-                    out.append((chunk, b, b, _pack(np.fromiter(map(len, own), "<u4", len(own)), b"".join(own))))
+                    out.append((chunk, b, b, pack(np.fromiter(map(len, own), "<u4", len(own)), b"".join(own))))
             if out:
                 yield _rows(out)
 
@@ -137,7 +124,7 @@ def _encode_words(raw: bytes, pattern: str):
                     continue
                 if b != bucket:
                     bucket, known = b, {}
-                lengths, spelled = _unpack(payload)
+                lengths, spelled = unpack(payload)
                 at = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)]).tolist()
                 answers = []
                 for a, z in zip(at[:-1], at[1:], strict=True):
@@ -147,7 +134,7 @@ def _encode_words(raw: bytes, pattern: str):
                         got = known[word] = np.array(encode(word), "<u4")
                     answers.append(got)
                 ids = np.concatenate(answers)
-                yield _rows([(chunk, b, home, _pack(np.fromiter(map(len, answers), "<u4", len(answers)), *_planes(ids)))])
+                yield _rows([(chunk, b, home, pack(np.fromiter(map(len, answers), "<u4", len(answers)), *_planes(ids)))])
 
     return run
 
@@ -170,12 +157,12 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_order(head: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
-    ids, known, counts, place, *planes = _unpack(head)
+    ids, known, counts, place, *planes = unpack(head)
     ids, known, counts = np.frombuffer(ids, "<i8"), np.frombuffer(known, np.uint8), np.frombuffer(counts, "<i8")
     place, seq = np.frombuffer(place, np.uint16), _joined(planes)
     lengths, flat = [np.zeros(0, "<u4")], [np.zeros(0, np.uint32)]
     for blob in answers:  # in the order of their buckets
-        n, *own = _unpack(blob)
+        n, *own = unpack(blob)
         lengths.append(np.frombuffer(n, "<u4"))
         flat.append(_joined(own))
     by = np.argsort(place, kind="stable")
@@ -216,9 +203,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int = 64) ->
     with open(ranks_path, "rb") as file:
         raw = file.read()
     buckets = min(1 << 16, max(buckets, spread(docs)))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pretokens(pattern, buckets), ROWS)
-    answered = rows.repartition(buckets, "home").sortWithinPartitions("bucket").mapInArrow(_encode_words(raw, pattern), ROWS)
-    return answered.repartition(spread(docs), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_assemble, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel(_pretokens(pattern, buckets)), ROWS)
+    answered = rows.repartition(buckets, "home").sortWithinPartitions("bucket").mapInArrow(kernel(_encode_words(raw, pattern)), ROWS)
+    return answered.repartition(spread(docs), "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(kernel(_assemble), "doc_id long, ids binary")
 
 
 def _decode(raw: bytes):
@@ -253,4 +240,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """
     with open(ranks_path, "rb") as file:
         raw = file.read()
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(raw), "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(kernel(_decode(raw)), "doc_id long, ids binary, decoded binary")

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, blocks, materialize, spread, text_buffers
+from .common import binary_column, blocks, kernel, materialize, pack, spread, text_buffers, unpack
 
 SPAN = 400
 GRAM = 32
@@ -33,10 +34,10 @@ WINDOW = SPAN - GRAM + 1
 #: Strings of a single text that are anchored at once.
 SEGMENT = 1 << 22
 #: Bytes of regions that one suffix array covers, and regions of an anchor that one shard gets.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 CROWD = 2048
 #: No byte of UTF-8.
-SEPARATOR = 0xFF
+SEPARATOR = b"\xff"
 _NOBODY = -(1 << 63)
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -183,9 +184,8 @@ def string_groups(text: np.ndarray, is_start: np.ndarray) -> np.ndarray:
 
 
 WANTED = "anchor long, salt int, salts int, d1 long, d2 long, region binary"
-FOUND = "route long, w1 long, w2 long, anchor long, d1 long, d2 long, a int, z int, kind int"
-#: Kinds of FOUND: strings a to z of a region repeat; string a may repeat elsewhere; string a repeats and may match others.
-RUN, SINGLE, REPEATED = 0, 1, 2
+FOUND = "route long, anchor long, d1 long, d2 long, a int, z int, strings binary"
+RUNS = "anchor long, d1 long, d2 long, a int, z int"
 
 
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,94 +203,98 @@ def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in WANTED.split(", ")])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*(batch.column(c.split()[0]).to_pylist() for c in WANTED.split(", ")), strict=True):
-            if size > SHARD_BYTES and row[:2] != held[-1][:2]:  # an anchor's share stays together
-                yield from _shard(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[5])
-    if held:
-        yield from _shard(held)
-
-
-def _shard(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    text = np.frombuffer(b"".join(r[5] + b"\xff" for r in rows), np.uint8)
+def _shards(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c.split()[0]).to_pylist() for c in WANTED.split(", ")), strict=True):
+                if size > SHARD_BYTES and row[:2] != held[-1][:2]:  # an anchor's share stays together
+                    yield from _shard(held, buckets)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[5])
+        if held:
+            yield from _shard(held, buckets)
+
+    return run
+
+
+def _shard(rows: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated strings; and of salted anchors all distinct strings, sorted, a blob for each bucket of digests."""
+    text = np.frombuffer(b"".join(r[5] + SEPARATOR for r in rows), np.uint8)
     size = np.array([len(r[5]) for r in rows])
     low = np.cumsum(size + 1) - size - 1
     owner = np.repeat(np.arange(len(rows)), size + 1)
     left = (low + size)[owner] - np.arange(len(text))
     group = string_groups(text, left >= SPAN)
     starts = np.flatnonzero(group >= 0)
-    _, inverse, count = np.unique(group[starts], return_inverse=True, return_counts=True)
-    twice = count[inverse] > 1
-    out = []
-    flags = np.zeros(len(text) + 1, bool)
-    flags[starts[twice]] = True
-    rises = np.flatnonzero(flags[1:] & ~flags[:-1]) + 1
-    if flags[0]:
-        rises = np.append(0, rises)
-    falls = np.flatnonzero(flags[:-1] & ~flags[1:])
-    for a, z in zip(rises.tolist(), falls.tolist(), strict=True):
-        k = owner[a]
-        anchor, _, _, d1, d2, _ = rows[k]
-        out.append((d2 ^ a, 0, 0, anchor, d1, d2, a - low[k], z - low[k], RUN))
-    salted = np.array([r[2] > 1 for r in rows])
-    if salted.any():
-        first = np.zeros(len(starts), bool)
-        first[np.unique(inverse, return_index=True)[1]] = True
-        raw = memoryview(text)
-        for i in np.flatnonzero(first & salted[owner[starts]]).tolist():
-            p = int(starts[i])
-            k = owner[p]
-            anchor, _, _, d1, d2, _ = rows[k]
-            w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(raw[p : p + SPAN]), "<i8").tolist()
-            out.append((w1, w1, w2, anchor, d1, d2, p - low[k], p - low[k], REPEATED if twice[i] else SINGLE))
-            if len(out) >= 20000:
-                yield _found(out)
-                out = []
-    if out:
-        yield _found(out)
-
-
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.int32()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64), t, safe=False) if t == pa.int32() else pa.array(np.array(c, np.int64)) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+    _, first, inverse, count = np.unique(group[starts], return_index=True, return_inverse=True, return_counts=True)
+    flags = np.zeros(len(text) + 2, np.int8)
+    flags[starts[count[inverse] > 1] + 1] = 1
+    edges = np.diff(flags)
+    rises, falls = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    at = owner[rises]
+    kinds = np.array([(r[0], r[3], r[4]) for r in rows], np.int64)
+    if len(rises):
+        yield _found(kinds[at, 2] ^ rises | np.int64(_NOBODY), kinds[at], rises - low[at], falls - low[at], [None] * len(rises))
+    salted = np.array([r[2] > 1 for r in rows])[owner[starts[first]]]
+    if not salted.any():
+        return
+    places, twice = starts[first][salted], (count > 1)[salted]
+    raw = memoryview(text)
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + SPAN]) for p in places.tolist()), "<u8").reshape(-1, 2)
+    bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
+    for b in np.unique(bucket).tolist():
+        own = np.flatnonzero(bucket == b)
+        own = own[np.lexsort((digests[own, 1], digests[own, 0]))]
+        of, table = np.unique(owner[places[own]], return_inverse=True)
+        offset = places[own] - low[owner[places[own]]]
+        blob = pack(digests[own], table.astype("<u4"), offset.astype("<u4"), twice[own].astype(np.uint8), kinds[of])
+        yield _found(np.array([b]), np.zeros((1, 3), np.int64), np.zeros(1), np.zeros(1), [blob])
+
+
+def _found(route: np.ndarray, kinds: np.ndarray, a: np.ndarray, z: np.ndarray, blobs: list) -> pa.RecordBatch:
+    columns = [pa.array(route.astype(np.int64)), *[pa.array(np.ascontiguousarray(kinds[:, k])) for k in range(3)]]
+    columns += [pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs as they come; of the single strings, sorted by digest, those that another shard has too."""
-    names = ["anchor", "d1", "d2", "a", "z"]
-    rest: pa.RecordBatch | None = None
+    """Runs as they come; of the single strings of a bucket of digests, those that another shard has too."""
+    names = [c.split()[0] for c in RUNS.split(", ")]
+    bucket, blobs = None, []
     for batch in batches:
-        if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        route = batch.column("route").to_numpy()
-        cut = int(np.searchsorted(route, route[-1])) if len(route) else 0  # equal digests come together
-        rest = batch.slice(cut)
-        if cut:
-            yield _settled(batch.slice(0, cut)).select(names)
-    if rest is not None and rest.num_rows:
-        yield _settled(rest).select(names)
-
-
-def _settled(batch: pa.RecordBatch) -> pa.RecordBatch:
-    kind = batch.column("kind").to_numpy()
-    w1, w2 = batch.column("w1").to_numpy(), batch.column("w2").to_numpy()
-    keep = kind == RUN
-    single = np.flatnonzero(kind == SINGLE)
-    if len(single):
-        others = np.flatnonzero(kind != RUN)
-        keys = np.empty(len(others), [("x", np.int64), ("y", np.int64)])
-        keys["x"], keys["y"] = w1[others], w2[others]
-        keys.sort(order=("x", "y"))
-        own = np.empty(len(single), keys.dtype)
-        own["x"], own["y"] = w1[single], w2[single]
-        keep[single] = np.searchsorted(keys, own, "right") - np.searchsorted(keys, own, "left") > 1
-    return batch.filter(pa.array(keep))
+        runs = batch.filter(pa.compute.is_null(batch.column("strings"))).select(names)
+        if runs.num_rows:
+            yield runs
+        for route, blob in zip(batch.column("route").to_pylist(), batch.column("strings").to_pylist(), strict=True):
+            if blob is None:
+                continue
+            if route != bucket and blobs:
+                yield from _settled(blobs)
+                blobs = []
+            bucket = route
+            blobs.append(blob)
+    if blobs:
+        yield from _settled(blobs)
+
+
+def _settled(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Single strings found, by binary search in all shards' sorted strings, more than once."""
+    shards = [unpack(b) for b in blobs]
+    kind = np.dtype([("x", "<u8"), ("y", "<u8")])
+    each = [np.frombuffer(s[0], kind) for s in shards]
+    merged = np.sort(np.concatenate(each), order=("x", "y"))
+    for keys, (_, table, offset, twice, kinds) in zip(each, shards, strict=True):
+        single = np.flatnonzero(np.frombuffer(twice, np.uint8) == 0)
+        own = keys[single]
+        hit = single[np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left") > 1]
+        if len(hit):
+            at = np.frombuffer(offset, "<u4")[hit].astype(np.int32)
+            of = np.frombuffer(kinds, np.int64).reshape(-1, 3)[np.frombuffer(table, "<u4")[hit]]
+            columns = [pa.array(np.ascontiguousarray(of[:, k])) for k in range(3)] + [pa.array(at), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUNS.split(", ")])
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -327,7 +331,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), F.xxhash64("text").alias("mark"), "text")
-    places = materialize(texts.where(F.length("text") >= SPAN // 4).select("id", "mark", "text").mapInArrow(_occurrences, OCCURRENCES), "places")
+    places = materialize(texts.where(F.length("text") >= SPAN // 4).select("id", "mark", "text").mapInArrow(kernel(_occurrences), OCCURRENCES), "places")
     met = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2"))
     met = met.where("n > 1").select("anchor", ((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2"))).alias("equal"))
     again = materialize(places.join(met, "anchor").withColumn("place", F.monotonically_increasing_id()), "repeats")
@@ -336,15 +340,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     crowd = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("salts"))
     one_each = mixed.join(kinds.select("place"), "place").join(crowd, "anchor")
     wanted = one_each.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "salts", "d1", "d2", "first", "strings")).alias("wanted"))
-    cut = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc_id", "text", "wanted").mapInArrow(_cut_regions, WANTED)
+    cut = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc_id", "text", "wanted").mapInArrow(kernel(_cut_regions), WANTED)
     width = spread(docs)
-    shards = cut.repartition(width, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_shards, FOUND)
-    runs = shards.repartition(width, "route").sortWithinPartitions("route").mapInArrow(_merge, "anchor long, d1 long, d2 long, a int, z int")
+    shards = cut.repartition(width, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(kernel(_shards(width)), FOUND)
+    runs = shards.repartition(width, "route").sortWithinPartitions("route").mapInArrow(kernel(_merge), RUNS)
     some = mixed.select("id", "mark", "anchor", "d1", "d2", "first").join(runs, ["anchor", "d1", "d2"])
     some = some.select("id", "mark", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("z") + SPAN).alias("high"))
     copied = mixed.join(kinds.where("n > 1").select("anchor", "d1", "d2"), ["anchor", "d1", "d2"], "left_semi").select("id", "mark", "first", "strings")
     whole = again.where("equal").select("id", "mark", "first", "strings").unionByName(copied)
     whole = whole.select("id", "mark", F.col("first").alias("low"), (F.col("first") + F.col("strings") + SPAN - 1).alias("high"))
     repeats = whole.unionByName(some).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("repeats"))
-    return texts.join(repeats, ["id", "mark"], "left").select("doc_id", "text", "repeats").mapInArrow(_cut_out, OUT)
+    return texts.join(repeats, ["id", "mark"], "left").select("doc_id", "text", "repeats").mapInArrow(kernel(_cut_out), OUT)
 
