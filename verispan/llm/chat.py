@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import kernel, spread
 
 #: Tokens of a window, and of the history it may repeat.
 BUDGET = 1024
@@ -143,7 +143,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition(spread(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_windows(budget, history), FORMATTED)
+    return dealt.mapInArrow(kernel(_windows(budget, history)), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -182,7 +182,7 @@ def digests(windows: DataFrame) -> DataFrame:
 
     It must get that operator's rows in their own order and partitions.
     """
-    return windows.mapInArrow(_digests, DIGEST)
+    return windows.mapInArrow(kernel(_digests), DIGEST)
 
 
 ORACLE_SQL = r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffers
+from .common import blocks, kernel, text_buffers
 from .words import hashed_words, mix
 
 SHINGLE = 5
@@ -219,7 +219,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     of PASS_BYTES, each with a pass of its own over docs, which are not shuffled.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    return reduce(DataFrame.unionByName, [texts.mapInArrow(_search(rows), FOUND) for rows in _passes(items)])
+    return reduce(DataFrame.unionByName, [texts.mapInArrow(kernel(_search(rows)), FOUND) for rows in _passes(items)])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lower_ascii, text_buffers
+from .common import blocks, kernel, lower_ascii, text_buffers
 from .convnet import ConvNet
 from .sampling import fold, thin
 
@@ -60,7 +60,7 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PE
     a text. The number of distinct languages is taken to be small.
     """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    rows = thin(known, "lang", per_language).mapInArrow(_training_windows, "lang string, window binary").toPandas()
+    rows = thin(known, "lang", per_language).mapInArrow(kernel(_training_windows), "lang string, window binary").toPandas()
     rows = rows.sort_values(["lang", "window"]).reset_index(drop=True)
     languages = sorted(set(rows["lang"]))
     net = ConvNet.fresh(257, EMBEDDING, WIDTHS, FILTERS, max(1, len(languages)), seed)
@@ -112,7 +112,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``und`` with score 0, as is everything if no language was learned. Ties go to the first
     language by name. Repeated rows repeat; no rows give none; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel(_predict(model)), "doc_id long, lang_pred string, score double")
 
 
 def held_out(results: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:

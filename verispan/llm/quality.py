@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffers
+from .common import blocks, kernel, text_buffers
 from .sampling import labelled_sample
 from .toxicity import FUNCTION_WORDS
 from .words import hash_of, hashed_words, mix
@@ -118,7 +118,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, statistics...) of each row's whole text; null counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel(_measure), "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, hex16, materialize, signed, spread, text_buffers
+from .common import blocks, hex16, kernel, materialize, signed, spread, text_buffers
 from .components import connected_components
 
 #: Distinct fingerprints that a bucket may hold before it is split by further blocks.
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     mark is a hash of the text, which tells rows of one doc_id apart.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(_fingerprints(width), "doc_id long, mark long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(kernel(_fingerprints(width)), "doc_id long, mark long, fp long")
 
 
 def masks(bits: int, parts: int, keep: int) -> list[int]:
@@ -93,7 +93,7 @@ def links(fps: DataFrame) -> DataFrame:
     finer = F.array(*[F.array(*[F.lit(_long(m)) for m in row]) for row in second])
     split = F.when(F.col("n") <= BUCKET, F.array("key")).otherwise(F.transform(F.get(finer, F.col("t")), lambda m: F.xxhash64("key", m, F.col("fp").bitwiseAND(m))))
     buckets = counted.select("fp", F.explode(split).alias("key"))
-    return buckets.repartition(spread(fps), "key").sortWithinPartitions("key", "fp").mapInArrow(_within_buckets, "a long, b long")
+    return buckets.repartition(spread(fps), "key").sortWithinPartitions("key", "fp").mapInArrow(kernel(_within_buckets), "a long, b long")
 
 
 def _within_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

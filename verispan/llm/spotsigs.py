@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, spread, text_buffers
+from .common import blocks, kernel, spread, text_buffers
 from .words import hash_of, hashed_words, mix
 
 #: Common words whose occurrences anchor signatures (fixed values).
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             keys, counts = signatures(*text_buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hexed(keys, counts))], ["doc_id", "n_signatures", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_signatures long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel(run), "doc_id long, n_signatures long, fingerprint string")
 
 
 def _bucket(order: Column, splits: list[int], low: int = 0, high: int | None = None) -> Column:
@@ -165,7 +165,7 @@ def compared(docs: DataFrame) -> DataFrame:
     text; a lone row follows itself; no rows give none. Likeness is the Jaccard likeness of the sets
     of signatures that the fingerprints spell; two empty sets are alike.
     """
-    return in_order(docs).mapInArrow(_compared, OUT)
+    return in_order(docs).mapInArrow(kernel(_compared), OUT)
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:

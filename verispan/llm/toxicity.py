@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_buffers
+from .common import blocks, kernel, text_buffers
 from .convnet import ConvNet
 from .sampling import labelled_sample
 from .words import hash_of, hashed_words
@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """
     sample = labelled_sample(labels, label, per_class, FOLDS)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    rows = rows.mapInArrow(_training_words, "doc_id long, label int, lang int, words binary").toPandas().sort_values(["doc_id", "words"]).reset_index(drop=True)
+    rows = rows.mapInArrow(kernel(_training_words), "doc_id long, label int, lang int, words binary").toPandas().sort_values(["doc_id", "words"]).reset_index(drop=True)
     table = np.zeros(1 << HASHES, np.int32)
     nothing = ToxicModel(table, ConvNet.fresh(1, EMBEDDING, WIDTHS, FILTERS, 2, seed), np.full(len(LANGUAGES), np.inf))
     y = rows["label"].to_numpy(np.int64)
@@ -103,8 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     one, both = counts[1, held], counts[:, held].sum(axis=0)
     tilt = (one - share * both) / np.sqrt(share * (1 - share) * both + 1)  # so that max pooling finds telling words from the start
     net.embedding[1:, 0] = np.clip(tilt, -4, 12) / 4
-    for kernel in net.filters:
-        kernel[0, :2] = 1.0
+    for matrix in net.filters:
+        matrix[0, :2] = 1.0
     net.dense[[0, 1, FILTERS, FILTERS + 1, 2 * FILTERS, 2 * FILTERS + 1]] = [-0.3, 0.3]
     mapped = [table[s] for s in sequences]
     net.fit([mapped[k] for k in np.flatnonzero(~calibrates)], y[~calibrates], EPOCHS, 64, 2e-5, seed)
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
         for batch in blocks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model, batch.column("text")))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFrame:
@@ -186,4 +186,4 @@ def without_toxic(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> Dat
         for batch in blocks(batches):
             yield batch.filter(pa.array(_scores(model, batch.column("text")) < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel(run), docs.schema)
