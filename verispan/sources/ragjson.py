@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +25,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A line that is no object of the schema raises with its file and number. Numbers are looked up only then.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("row"))
-    bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | ~F.ltrim("value").startswith("{")
-    if parsed.where(bad).select("value").limit(1).collect():
+    parsed = lines.select("value", _parsed("value", schema).alias("row"))
+    if parsed.where(_bad("value", "row")).select("value").limit(1).collect():
         raise ValueError(_where_bad(spark, path, schema))
     return parsed.select("row.*").drop("_corrupt")
 
 
+def _parsed(line: str, schema: str) -> Column:
+    return F.from_json(line, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+
+
+def _bad(line: str, row: str) -> Column:
+    """Whether a line is no object of the schema. The whole row is looked at: Spark parses a lone
+    _corrupt column by a schema cut down to it, which every line fails."""
+    return F.get_json_object(F.to_json(row), "$._corrupt").isNotNull() | F.col(row).isNull() | ~F.ltrim(line).startswith("{")
+
+
 def _where_bad(spark: SparkSession, path: str, schema: str) -> str:
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
-    row = F.from_json("line", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    bad = files.where(F.trim("line") != "").where(row.isNull() | row["_corrupt"].isNotNull() | ~F.ltrim("line").startswith("{"))
-    first = bad.orderBy("file", "at").first()
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
+    rows = files.where(F.trim("line") != "").withColumn("row", _parsed("line", schema))
+    first = rows.where(_bad("line", "row")).orderBy("file", "at").select("file", "at").first()
     return f"{first['file']}, line {first['at'] + 1}: not a valid JSON object"
 
 
@@ -50,11 +62,6 @@ def context_column(task: Column, raw: Column, field: str = "source_info") -> Col
 
 def with_contexts(sources: DataFrame) -> DataFrame:
     """sources with their context; Data2txt records as Python writes a dict, in their own key order."""
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for raw in batches:
