@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,12 +22,14 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a temporary one in local mode only."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         context = spark.sparkContext
         held = context.getCheckpointDir()
         if not held:
+            if not re.match(r"local(\[[^-]*\])?$", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="verispan-"))
             held = context.getCheckpointDir()
     return held.rstrip("/")

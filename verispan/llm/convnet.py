@@ -76,6 +76,7 @@ class ConvNet:
             else:
                 top = np.maximum.reduceat(y, bounds, axis=0)[0::2]
             out[own] = np.maximum(out[own], top + self.bias)
+        out[lengths == 0] = np.maximum(self.bias, 0)  # as of padding alone
         return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:

@@ -224,5 +224,5 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that hold a near copy of an item, by doc_id; all columns stay."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    hit = contaminated(docs, items).select(F.col("doc_id").alias("_benchmark_hit")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_benchmark_hit")), "left_anti")

@@ -54,9 +54,9 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     return far.where("sure").select("key").unionByName(settled.select("key"))
 
 
-def strip_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
-    """docs with the columns it has, its texts without cross-site boilerplate lines, and two more:
-    ``n_lines`` and ``n_removed``.
+def strip_boilerplate(docs: DataFrame, site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the columns it has, its texts without cross-site boilerplate lines, and two more,
+    named by ``counts``: its lines and how many of them were removed.
 
     A line is what stands between line feeds, compared without the spaces around it. A line is
     boilerplate if it is LEAST_CHARS long and at least SITES distinct sites hold it in at least
@@ -64,23 +64,23 @@ def strip_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
     copies: copies of a document on many sites repeat each line with its neighbours, and are left
     to document dedup. All occurrences go. Null sites are one site; null texts stay null and have
     no lines; an emptied text is empty, not null; repeated rows are treated alike; no rows give none.
-    Columns of docs named n_lines or n_removed give way.
+    Columns of docs with the names of the counts give way.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c not in counts]
     lines = materialize(_lines(docs, site), "lines")
     salt = F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS).cast("long"))
     flagged = boilerplate(lines).select("key", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
     gone = lines.select("id", "mark", "pos", "key", salt.alias("salt")).join(flagged, ["key", "salt"])
-    gone = gone.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("pos").alias("_gone"))
-    match = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY)) == F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    gone = gone.groupBy(F.col("id").alias("_lines_id"), F.col("mark").alias("_lines_mark")).agg(F.collect_set("pos").alias("_lines_gone"))
+    match = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY)) == F.col("_lines_id")) & (F.xxhash64("text") == F.col("_lines_mark"))
     joined = docs.select(*kept).join(gone, match, "left")
     parts = F.split("text", "\n", -1)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    text = F.when(F.col("_lines_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines_gone", i)), "\n"))
     count = F.coalesce(F.size(parts), F.lit(0))
     return joined.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in kept],
-        F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias(counts[0]),
+        F.when(F.col("_lines_gone").isNull(), 0).otherwise(F.size("_lines_gone")).cast("long").alias(counts[1]),
     )
 
 

@@ -22,7 +22,9 @@ EMBEDDING = 12
 #: Training documents for each class, and those a hashed word must occur in.
 PER_CLASS = 6000
 LEAST_DOCS = 4
-EPOCHS = 5
+EPOCHS = 8
+#: One blank training text for so many documents.
+BLANKS = 20
 FOLDS = 5
 #: Function words that tell the language of a text, without any label (fixed values).
 FUNCTION_WORDS = {
@@ -107,7 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         matrix[0, :2] = 1.0
     net.dense[[0, 1, FILTERS, FILTERS + 1, 2 * FILTERS, 2 * FILTERS + 1]] = [-0.3, 0.3]
     mapped = [table[s] for s in sequences]
-    net.fit([mapped[k] for k in np.flatnonzero(~calibrates)], y[~calibrates], EPOCHS, 64, 2e-5, seed)
+    learned = np.flatnonzero(~calibrates)
+    unknown = max(8, len(learned) // BLANKS)  # texts of unknown words alone, which say nothing, are clean
+    net.fit([mapped[k] for k in learned] + [table[:1] * 0] * unknown, np.append(y[learned], np.zeros(unknown, np.int64)), EPOCHS, 64, 2e-5, seed)
     prior = labels.where(F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0] or share
     z = _margins(net, mapped)
     lang = rows["lang"].to_numpy()
