@@ -110,7 +110,7 @@ def test_statistics_by_hand():
     rows = quality.statistics(*text_buffers(pa.array(["THE cat. THE cat.\nx|y\nx|y", None, "a1!"])))
     by = [dict(zip(quality.STATISTICS, r, strict=True)) for r in rows]
     assert by[0]["n_words"] == 8 and by[0]["n_lines"] == 3 and by[0]["repeated_lines"] == pytest.approx(1 / 3)
-    assert by[0]["shouted"] == 2 / 8 and by[0]["function_words"] == 3 / 8 and by[0]["pipes"] == 2 / 25
+    assert by[0]["shouted"] == 2 / 8 and by[0]["function_words"] == 4 / 8 and by[0]["pipes"] == 2 / 25
     assert by[1]["n_bytes"] == 0 and by[2]["digits"] == pytest.approx(1 / 3)
 
 
