@@ -70,6 +70,16 @@ def test_json_forms():
     assert artifacts.markdown([{"a": "x|y\nz", "b": None}], ["a", "b"]) == "| a | b |\n| --- | --- |\n| x\\|y z |  |\n"
 
 
+def test_file_digests(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.bin").write_bytes(b"one")
+    import hashlib
+
+    assert artifacts.file_digests(spark, str(tmp_path), [str(tmp_path / "a/x.bin")]) == {"a/x.bin": hashlib.sha256(b"one").hexdigest()}
+    with pytest.raises(ValueError):
+        artifacts.file_digests(spark, str(tmp_path / "b"), [str(tmp_path / "a/x.bin")])
+
+
 def test_feature_table(spark, tmp_path):
     store = artifacts.Store(spark, str(tmp_path))
     table = artifacts.FeatureTable(store, "features", {"v": 1})
@@ -140,6 +150,7 @@ def test_stages(spark, tmp_path, capsys):
     assert code == 0 and len(metrics) == 2 * 2 * 5 and {m["subset"] for m in metrics} == {"all", "quality_good"}
     assert (tmp_path / "out/try/a/evaluation/report.md").exists()
     run = Run(spark, load_config(path))
+    assert run.store.read_manifest("try/a/features/test.split.json")["responses"] == 12
     features = run.features("a").read("test")
     assert [c for c in features.columns if c.startswith("pks_standard")] == ["pks_standard_l0", "pks_standard_l1"] and features.columns[:2] == ["response_id", "source_id"]
     assert say("extract", "--model", "zzz", "--split", "dev")[0] == 2

@@ -57,8 +57,10 @@ def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token_index, char_start, char_end, piece): runs of white space and of other characters.
 
     All pieces together are the text. White space is space, line feed and tab; no tokenizer is needed.
+    Texts are dealt by key before they are taken apart, so the running sum, and what groups by key
+    later, shuffles no pieces.
     """
-    found = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("[^ \\n\\t]+|[ \\n\\t]+"), F.lit(0))).alias("token_index", "piece"))
+    found = df.select(key, text).repartition(key).select(key, F.posexplode(F.regexp_extract_all(text, F.lit("[^ \\n\\t]+|[ \\n\\t]+"), F.lit(0))).alias("token_index", "piece"))
     size = F.length("piece")
     end = F.sum(size).over(W.partitionBy(key).orderBy("token_index").rowsBetween(W.unboundedPreceding, 0))
     return found.select(key, "token_index", (end - size).cast("int").alias("char_start"), end.cast("int").alias("char_end"), "piece")

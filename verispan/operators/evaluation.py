@@ -61,12 +61,18 @@ def replicate_aucs(tokens: DataFrame, tasks: list[str], replicates: int, seed: i
     return token.withColumnRenamed("auc", "token_auc").join(response.withColumnRenamed("auc", "response_auc"), ["scope", "rep"], "full")
 
 
+def check_bootstrap(replicates: int, confidence: float) -> None:
+    if replicates < 0 or not 0 < confidence < 1:
+        raise ValueError("replicates must not be negative, and confidence must be in (0, 1)")
+
+
 def evaluate(tokens: DataFrame, tasks: list[str], model: str, mode: str, replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """The metric table of one scorer, a row a scope.
 
     tokens: task, response_id, label, response_label, score. Overall counts tasks that aren't listed
     too, TaskMacro listed ones only.
     """
+    check_bootstrap(replicates, confidence)
     require_none(label_conflicts(tokens, ["task", "response_id"], "response_label"), "responses with two labels")
     found = scope_counts(tokens, tasks).join(point_aucs(tokens, tasks), "scope", "left")
     if replicates:
@@ -106,6 +112,7 @@ def compare(first: DataFrame, second: DataFrame, tasks: list[str], names: tuple[
     """The paired metric table of two scorers on their common responses, a row a scope."""
     if names[0] == names[1]:
         raise ValueError("a scorer can't be compared with itself")
+    check_bootstrap(replicates, confidence)
     require_none(label_disagreements(first, second, ["task", "response_id"], "response_label"), "responses whose labels differ")
     common = common_responses(first, second)
     first, second = (x.join(common, ["task", "response_id"], "left_semi") for x in (first, second))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import safe_name
 from ..operators import checks, evaluation, splits
+from ..operators.passages import locate_passages
 from .registry import RESPONSES, TOKENS, Catalogue, responses, table, tokens
 
 catalogue = Catalogue()
@@ -34,14 +35,11 @@ def join_sources(spark, d):
   instr(r.response, b.text) - 1 AS context_start, instr(r.response, b.text) - 1 + length(b.text) AS context_end
   FROM responses r JOIN benchmark b ON r.task IN ('en', 'de', 'fr', 'es') AND instr(r.response, b.text) > 0""")
 def load_examples(spark, d):
-    """Annotated examples: responses with the source passages that they quote, located in the text.
-
-    The passages are a query set, sent to the scan of responses.
-    """
-    sources = F.broadcast(table(spark, d, "benchmark").withColumnRenamed("text", "passage"))
-    start = F.call_function("instr", F.col("response"), F.col("passage")) - 1
-    rows = responses(spark, d).where(F.col("task").isin(TASKS)).join(sources, F.col("response").contains(F.col("passage")))
-    return rows.select("response_id", "task", "split", "quality", F.coalesce("label", F.lit(0)).cast("int").alias("response_label"), F.col("item_id").alias("source_id"), start.cast("bigint").alias("context_start"), (start + F.length("passage")).cast("bigint").alias("context_end"))
+    """Annotated examples: responses with the source passages that they quote, located in the text."""
+    rows = responses(spark, d).where(F.col("task").isin(TASKS))
+    found = locate_passages(rows, "doc_id", "response", table(spark, d, "benchmark"))
+    named = found.join(rows.select("doc_id", "response_id", "task", "split", "quality", "label"), "doc_id")
+    return named.select("response_id", "task", "split", "quality", F.coalesce("label", F.lit(0)).cast("int").alias("response_label"), F.col("item_id").alias("source_id"), F.col("start").cast("bigint").alias("context_start"), F.col("end").cast("bigint").alias("context_end"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")

@@ -108,7 +108,7 @@ class Run:
         if split not in EVAL_SPLITS:
             raise ValueError(f"split must be one of {EVAL_SPLITS}")
         heads, table = self.discover_heads(key), self.features(key)
-        rows = self.partitioned().where(F.col("eval_split") == split)
+        whole = rows = self.partitioned().where(F.col("eval_split") == split)
         if shards > 1:
             rows = splits.work_shard(rows, shards, shard, splits.example_order(["train", "test"], list(self.config.dataset.tasks))).drop("ordinal")
         if force:
@@ -119,6 +119,8 @@ class Run:
         if limit is not None:
             rows = rows.orderBy(*splits.natural_key("response_id")).limit(limit)
         done = table.append(extract_features(rows, self.tokenizer, self._scorer(heads), self.config.dataset.system_prompt, self.config.model(key).max_length), split)
+        if table.pending(whole.select("response_id"), split).isEmpty():
+            self.store.write_manifest(f"{table.folder}/{split}.split.json", {"split": split, "responses": whole.count(), "depends": table.depends, "features": table.fingerprint(split)})
         return done["artifact"]["rows"] if done else 0
 
     def _scorer(self, heads: list[tuple[int, int]]) -> Callable[[], Decoder]:

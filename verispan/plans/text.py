@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import spans as sp
+from ..operators.passages import locate_passages
 from ..sources.ragjson import context_column
 from .registry import RESPONSES, SPANS, Catalogue, responses, spans, table
 
@@ -23,11 +24,8 @@ LOCATED = """located AS (SELECT d.doc_id, b.item_id, CAST(instr(d.text, b.text)
 
 
 def located(spark, d):
-    """(doc_id, item_id, start, end): benchmark passages in documents; the passages go to the scan."""
-    items = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
-    rows = table(spark, d, "documents").select("doc_id", "text").join(items, F.col("text").contains(F.col("passage")))
-    start = F.call_function("instr", F.col("text"), F.col("passage")) - 1
-    return rows.select("doc_id", "item_id", start.cast("int").alias("start"), (start + F.length("passage")).cast("int").alias("end"))
+    """(doc_id, item_id, start, end, again): benchmark passages in documents."""
+    return locate_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"))
 
 
 def labelled_pieces(spark, d):
@@ -40,9 +38,8 @@ def labelled_pieces(spark, d):
   CASE WHEN instr(substr(d.text, instr(d.text, b.text) + 1), b.text) = 0 THEN CAST(instr(d.text, b.text) - 1 + length(b.text) AS INT) END AS e
   FROM documents d JOIN benchmark b ON instr(d.text, b.text) > 0""")
 def locate_unique(spark, d):
-    items = F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
-    rows = table(spark, d, "documents").select("doc_id", "text").join(items, F.col("text").contains(F.col("passage")))
-    return rows.select("doc_id", "item_id", texts.locate_unique("text", "passage").alias("u")).select("doc_id", "item_id", "u.status", F.col("u.start").cast("int").alias("s"), F.col("u.end").cast("int").alias("e"))
+    once = F.col("again") < 0
+    return located(spark, d).select("doc_id", "item_id", F.when(once, "ok").otherwise("ambiguous").alias("status"), F.when(once, F.col("start")).alias("s"), F.when(once, F.col("end")).alias("e"))
 
 
 @query(f"""WITH {RESPONSES}, claimed AS (SELECT doc_id, response, k, CAST(doc_id % 40 + k * 3 AS INT) AS s, CAST(doc_id % 40 + k * 3 + 5 AS INT) AS e FROM responses, (VALUES (0), (1), (2)) v(k)),
@@ -101,16 +98,22 @@ def token_labels(spark, d):
   FROM located l JOIN pieces p ON p.doc_id = l.doc_id AND p.char_start < l.e AND p.char_end > l.s GROUP BY l.doc_id, l.item_id""")
 def context_tokens(spark, d):
     """Each passage's tokens in its document: their number, first and last."""
-    rows = located(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    hits = F.filter(F.transform(texts.pieces_array("text"), lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), i.alias("i"))), lambda p: (p["start"] < F.col("end")) & (p["end"] > F.col("start")))
-    return rows.select("doc_id", "item_id", F.transform(hits, lambda p: p["i"]).alias("at")).select("doc_id", "item_id", F.size("at").cast("bigint").alias("n_context_tokens"), F.array_min("at").alias("first_token"), F.array_max("at").alias("last_token"))
+    hit = (F.col("char_start") < F.col("end")) & (F.col("char_end") > F.col("start"))
+    rows = _pieces_and_passages(spark, d).where(hit)
+    return rows.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_context_tokens"), F.min("token_index").alias("first_token"), F.max("token_index").alias("last_token"))
+
+
+def _pieces_and_passages(spark, d):
+    """The pieces of documents that hold passages, beside each of those; an equi-join by document."""
+    found = located(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return texts.pieces(docs, "doc_id", "text").join(found, "doc_id")
 
 
 @query(f"WITH {PIECES}, {LOCATED} SELECT l.doc_id, l.item_id, count(p.token_index) AS n_prefix_tokens FROM located l LEFT JOIN pieces p ON p.doc_id = l.doc_id AND p.char_end <= l.s GROUP BY l.doc_id, l.item_id")
 def whole_prefix(spark, d):
     """The attended positions before a passage's first token."""
-    rows = located(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "item_id", F.size(F.filter(texts.pieces_array("text"), lambda p: p["end"] <= F.col("start"))).cast("bigint").alias("n_prefix_tokens"))
+    return _pieces_and_passages(spark, d).groupBy("doc_id", "item_id").agg(F.count_if(F.col("char_end") <= F.col("start")).alias("n_prefix_tokens"))
 
 
 @query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS token_index FROM conversations")
@@ -128,11 +131,12 @@ def predictor_position(spark, d):
 
 
 @query(f"""WITH {PIECES} SELECT p.doc_id, d.lang AS task, d.source, p.token_index, p.char_start, p.char_end, length(p.piece) AS feature_length
-  FROM pieces p JOIN documents d ON d.doc_id = p.doc_id WHERE d.n_chars < 400""")
+  FROM pieces p JOIN documents d ON d.doc_id = p.doc_id""")
 def feature_rows(spark, d):
-    """Feature rows of short documents: metadata repeated over tokens, and a feature. The filter is the query's."""
-    docs = table(spark, d, "documents").where("n_chars < 400")
-    return docs.select("doc_id", F.col("lang").alias("task"), "source", F.posexplode(texts.pieces_array("text")).alias("token_index", "p")).select("doc_id", "task", "source", "token_index", F.col("p.start").alias("char_start"), F.col("p.end").alias("char_end"), F.length("p.piece").cast("bigint").alias("feature_length"))
+    """Feature rows: a document's metadata repeated over its tokens, and a feature of each."""
+    docs = table(spark, d, "documents")
+    pieces = texts.pieces(docs, "doc_id", "text").withColumn("feature_length", F.length("piece").cast("bigint")).drop("piece")
+    return pieces.join(docs.select("doc_id", F.col("lang").alias("task"), "source"), "doc_id").select("doc_id", "task", "source", "token_index", "char_start", "char_end", "feature_length")
 
 
 @query(r"""SELECT conv_id, '<|system|>' || chr(10) || coalesce(max(text) FILTER (WHERE role = 'system'), '') || '<|end|>' || chr(10) || '<|user|>' || chr(10) ||

@@ -64,6 +64,19 @@ def canonical_newlines(data: bytes) -> str:
     return hashlib.sha256(data.replace(b"\r\n", b"\n")).hexdigest()
 
 
+def file_digests(spark: SparkSession, root: str, paths: list[str]) -> dict[str, str]:
+    """SHA-256 of files, by their path below ``root``; a file elsewhere is an error. Executors read the files."""
+    whole = f"{root.rstrip('/')}/"
+    rows = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("digest")).collect() if paths else []
+    found = {}
+    for row in rows:
+        path = re.sub("^file:/+", "/", row["path"])
+        if not path.startswith(whole):
+            raise ValueError(f"{path} is not below {root}")
+        found[path.removeprefix(whole)] = row["digest"]
+    return dict(sorted(found.items()))
+
+
 def sealed(manifest: Mapping) -> dict:
     """A manifest with the hash of all its other fields."""
     body = {k: v for k, v in plain(manifest).items() if k != HASH}
