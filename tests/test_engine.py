@@ -144,7 +144,7 @@ def test_stages(spark, tmp_path, capsys):
         say("extract", "--model", "a", "--split", split)
         assert json.loads(say("extract", "--model", "a", "--split", split)[1].out)["rows"] == 0  # all done
     code, out = say("calibrate", "--model", "a")
-    assert code == 0 and set(json.loads(out.out)) == {"standard", "legacy_redeep"}
+    assert code == 0 and set(json.loads(out.out)) == {"standard", "legacy"}
     code, out = say("evaluate", "--model", "a")
     metrics = json.loads(out.out)["metrics"]
     assert code == 0 and len(metrics) == 2 * 2 * 5 and {m["subset"] for m in metrics} == {"all", "quality_good"}
@@ -168,7 +168,7 @@ def test_compare_stage(spark, tmp_path):
 @pytest.mark.parametrize(
     "change",
     [
-        {"models": {"q": {"family": "qwen3", "path": "x", "enable_thinking": True}}}, {"models": {"q": {"family": "other", "path": "x"}}}, {"extraction": {"context_top_fraction": 0}}, {"extraction": {"primary_jsd_mode": "legacy_redeep"}},
+        {"models": {"q": {"family": "qwen3", "path": "x", "enable_thinking": True}}}, {"models": {"q": {"family": "other", "path": "x"}}}, {"extraction": {"context_top_fraction": 0}}, {"extraction": {"primary_jsd_mode": "legacy"}},
         {"calibration": {"head_k_max": 99}}, {"calibration": {"beta_min": 0}}, {"evaluation": {"confidence_level": 1}}, {"evaluation": {"unknown": 1}}, {"extraction": {"jsd_modes": ["x"]}},
     ],
 )
@@ -179,7 +179,7 @@ def test_bad_configurations(tmp_path, change):
 
 def test_configuration(tmp_path):
     config = load_config(experiment(tmp_path))
-    assert config.output_dir == str(tmp_path / "out") and config.digest() == load_config(experiment(tmp_path)).digest() and config.modes() == ["standard", "legacy_redeep"]
+    assert config.output_dir == str(tmp_path / "out") and config.digest() == load_config(experiment(tmp_path)).digest() and config.modes() == ["standard", "legacy"]
     assert all(holds(config) for holds, _ in RULES) and len(RULES) == 27
 
 

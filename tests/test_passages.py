@@ -1,14 +1,9 @@
 """Passages in texts, against str.find."""
 
-import pytest
-
 from verispan.operators import passages
 
 
-@pytest.mark.parametrize("machine", [True, False])
-def test_locate_passages(spark, monkeypatch, machine):
-    if not machine:
-        monkeypatch.setattr(passages, "ahocorasick", None)
+def test_locate_passages(spark, monkeypatch):
     monkeypatch.setattr(passages, "PASS_CHARS", 4)
     texts = [(1, "aXaXa 😀bc"), (2, None), (3, ""), (4, "xxxx"), (4, "bc")]
     items = [(10, "aXa"), (11, "bc"), (12, "bc"), (13, ""), (14, None), (15, "xx"), (16, "zz"), (17, "XaX")]

@@ -89,7 +89,7 @@ def frame(spark, split, scale=1.0):
     for t in TASKS:
         for n, y in enumerate((0, 1, 0, 1)):
             rows.append((f"{split}-{t}-{n}", t, "train", split, 0, y, y, 1.0 - y, float(y), scale * y, 1.0 - y, 1.0 - y, float(y)))
-    return spark.createDataFrame(rows, "response_id string, task string, original_split string, eval_split string, token_index int, token_label int, response_label int, ecs_l0_h0 double, ecs_l0_h1 double, pks_standard_l0 double, pks_standard_l1 double, ecs_whole_l0_h0 double, pks_legacy_redeep_l0 double")
+    return spark.createDataFrame(rows, "response_id string, task string, original_split string, eval_split string, token_index int, token_label int, response_label int, ecs_l0_h0 double, ecs_l0_h1 double, pks_standard_l0 double, pks_standard_l1 double, ecs_whole_l0_h0 double, pks_legacy_l0 double")
 
 
 OPTIONS = {"model": "m", "mode": "paper", "tasks": TASKS, "heads": [1, 2, 2], "layers": [1, 2], "betas": [0.1, 1.0]}

@@ -20,15 +20,16 @@ from .checks import bad_binary, bad_finite, require_columns, require_none, share
 #: The grammar of feature columns, by mode: (head features, layer features). Fixed values.
 GRAMMAR = {
     "standard": (r"ecs_l(\d+)_h(\d+)", r"pks_standard_l(\d+)"),
-    "legacy_redeep": (r"ecs_whole_l(\d+)_h(\d+)", r"pks_legacy_redeep_l(\d+)"),
+    "legacy": (r"ecs_whole_l(\d+)_h(\d+)", r"pks_legacy(?:_[a-z]+)?_l(\d+)"),
 }
-ALIASES = {"paper": "standard", "legacy": "legacy_redeep"}
+ALIASES = {"paper": "standard"}
 BETAS = tuple(round(0.1 * k, 12) for k in range(1, 20))
 SCORES = ("score", "ecs_sum", "pks_sum", "ecs_scaled", "pks_scaled")
 
 
 def normalize_mode(mode: str) -> str:
-    found = ALIASES.get(mode, mode)
+    """The name of a mode; ``legacy`` may carry a suffix, as may its columns."""
+    found = ALIASES.get(mode, "legacy" if mode.startswith("legacy_") else mode)
     if found not in GRAMMAR:
         raise ValueError(f"unknown mode {mode!r}")
     return found

@@ -5,15 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # then each passage is looked for on its own
-    ahocorasick = None
-
 #: Characters of passages that one pass over the texts holds; more passages take more passes.
 PASS_CHARS = 8 << 20
 FOUND = "item_id long, start int, end int, again int"
@@ -22,8 +18,6 @@ FOUND = "item_id long, start int, end int, again int"
 def _finder(passages: list[tuple[int, str]]):
     """A function from a text to the passages' occurrences: text of passage -> (first, second or -1)."""
     known = sorted({text for _, text in passages})
-    if ahocorasick is None:
-        return lambda text: {p: (text.find(p), text.find(p, text.find(p) + 1)) for p in known if p in text}
     machine = ahocorasick.Automaton()
     for p in known:
         machine.add_word(p, p)

@@ -191,12 +191,12 @@ def positions_valid(spark, d):
 _NAMES = "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'ecs_l' || (vec_id % 12) || '_h' || label WHEN vec_id % 3 = 1 THEN 'pks_standard_l' || (vec_id % 12) ELSE 'other' || vec_id END AS feature FROM embeddings"
 
 
-@query("SELECT vec_id, 'ecs_l' || (vec_id % 12) || '_h' || label AS ecs, 'pks_legacy_redeep_l' || (vec_id % 12) AS pks FROM embeddings")
+@query("SELECT vec_id, 'ecs_l' || (vec_id % 12) || '_h' || label AS ecs, 'pks_legacy_l' || (vec_id % 12) AS pks FROM embeddings")
 def feature_names(spark, d):
     from ..operators.calibration import head_feature, layer_feature
 
     layer = F.col("vec_id") % 12
-    return table(spark, d, "embeddings").select("vec_id", head_feature(layer, F.col("label")).alias("ecs"), layer_feature(layer, "pks_legacy_redeep").alias("pks"))
+    return table(spark, d, "embeddings").select("vec_id", head_feature(layer, F.col("label")).alias("ecs"), layer_feature(layer, "pks_legacy").alias("pks"))
 
 
 @query(f"WITH names AS ({_NAMES}) SELECT feature, CAST(regexp_extract(feature, '_l([0-9]+)', 1) AS INT) AS layer, CASE WHEN feature LIKE 'ecs%' THEN CAST(regexp_extract(feature, '_h([0-9]+)', 1) AS INT) ELSE -1 END AS head, count(*) AS n FROM names WHERE regexp_full_match(feature, 'ecs_l[0-9]+_h[0-9]+|pks_standard_l[0-9]+') GROUP BY ALL")

@@ -11,8 +11,8 @@ import yaml
 
 from .artifacts import json_digest
 
-JSD_MODES = ("standard", "legacy_redeep")
-PAIRED = {"standard": "context_only", "legacy_redeep": "whole_prefix"}
+JSD_MODES = ("standard", "legacy")
+PAIRED = {"standard": "context_only", "legacy": "whole_prefix"}
 
 
 @dataclass(frozen=True)
@@ -168,10 +168,14 @@ def load_config(path: str) -> Experiment:
         own = {"name": key, **item, "path": _path(item["path"], at.parent)}
         own["tokenizer_path"] = _path(item.get("tokenizer_path", item["path"]), at.parent)
         models[str(key)] = _record(Model, own, False)
+    extraction = _section(raw, "extraction")
+    short = lambda mode: "legacy" if str(mode).startswith("legacy_") else mode
+    extraction |= {k: [short(m) for m in extraction[k]] for k in ("jsd_modes",) if k in extraction}
+    extraction |= {k: short(extraction[k]) for k in ("primary_jsd_mode",) if k in extraction}
     config = Experiment(
         str(raw.get("name", at.stem)), _path(raw.get("output_dir", "outputs"), at.parent), int(raw.get("seed", 2024)),
         _record(Dataset, data | {k: _path(data[k], at.parent) for k in ("response_path", "source_path")}, False), models,
-        _record(Extraction, _section(raw, "extraction"), True), _record(CalibrationSettings, _section(raw, "calibration"), True), _record(Evaluation, _section(raw, "evaluation"), True),
+        _record(Extraction, extraction, True), _record(CalibrationSettings, _section(raw, "calibration"), True), _record(Evaluation, _section(raw, "evaluation"), True),
     )
     validate(config)
     return config
