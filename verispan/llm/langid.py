@@ -57,7 +57,7 @@ def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PE
     """A model learned from a bounded sample: about ``per_language`` documents of each language.
 
     Only rows with text and lang whose fold isn't ``held`` count; windows come from anywhere in
-    a text. The number of distinct languages is taken to be small.
+    a text. Of more than MOST_CLASSES languages the commonest are learned.
     """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     rows = thin(known, "lang", per_language).mapInArrow(kernel(_training_windows), "lang string, window binary").toPandas()
