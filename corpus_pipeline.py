@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import bpe, decontaminate, lines, simhash, toxicity
+from verispan.llm import bpe, decontaminate, lines, shingles, toxicity
 from verispan.llm.common import documents, materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near-duplicates by five-word shingles."""
+    return shingles.deduplicate(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,19 +219,3 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     Equal fingerprints are merged first, so a group of copies counts once in the search.
     """
     return _named(docs, width).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-_LAST = (1 << 63) - 1
-
-
-def deduplicate(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id.
-
-    Groups are the components of ``near_duplicates``. Null doc_ids come last; of rows with the
-    smallest doc_id one stays, by a hash of its text, whole repeats included. All columns stay.
-    """
-    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("_simhash_id"), F.coalesce("mark", F.lit(0)).alias("_simhash_mark"))
-    stay = _named(docs, width).groupBy("root").agg(F.min(order).alias("first")).select("first.*")
-    own = docs.withColumn("_simhash_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_simhash_of", F.xxhash64("text"))
-    kept = own.join(stay, (F.col("_simhash_key") == F.col("_simhash_id")) & (F.col("_simhash_of") == F.col("_simhash_mark")), "left_semi")
-    return kept.dropDuplicates(["_simhash_key", "_simhash_of"]).select(*docs.columns)

@@ -22,13 +22,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def hashed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, at: np.ndarray, word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, text offsets): words of all texts in order.
 
-    data holds the texts' bytes one after the other, at their n + 1 offsets. A-Z count as a-z.
-    Text k's words are those from offsets[k] to offsets[k + 1].
+    data holds the texts' bytes one after the other, at their n + 1 offsets. A-Z count as a-z;
+    ``word`` says which bytes make words. Text k's words are those from offsets[k] to offsets[k + 1].
     """
-    inside = WORD[data]
+    inside = word[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     edges = at[:-1][at[:-1] < at[-1]]
