@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows the text."""
-    kept = lines.strip_boilerplate(docs, counts=("_line_count", "_lines_cut"))
+    """Documents without cross-site boilerplate lines, whole blocks of them too; n_chars follows the text."""
+    kept = lines.strip_boilerplate(docs, counts=("_line_count", "_lines_cut"), groups=shingles.groups(docs))
     if "n_chars" in docs.columns:
         size = F.when(F.col("_lines_cut") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         kept = kept.withColumn("n_chars", size)

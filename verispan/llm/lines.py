@@ -54,7 +54,19 @@ def boilerplate(lines: DataFrame) -> DataFrame:
     return far.where("sure").select("key").unionByName(settled.select("key"))
 
 
-def strip_boilerplate(docs: DataFrame, site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def grouped_boilerplate(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key): lines on at least SITES sites in at least SITES groups of near-duplicates (mark, root), exactly.
+
+    A sketch of sites leaves out most lines; the others get exact distinct counts.
+    """
+    sketched = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", REGISTERS)).alias("sites"))
+    far = materialize(sketched.where(F.col("sites") >= SITES * (1 - BAND)).select("key"), "spread")
+    held = lines.join(far, "key", "left_semi").select("key", "site", "mark").distinct().join(groups, "mark")
+    counted = held.groupBy("key").agg(F.countDistinct("site").alias("sites"), F.countDistinct("root").alias("roots"))
+    return counted.where((F.col("sites") >= SITES) & (F.col("roots") >= SITES)).select("key")
+
+
+def strip_boilerplate(docs: DataFrame, site: str = "source", counts: tuple[str, str] = ("n_lines", "n_removed"), groups: DataFrame | None = None) -> DataFrame:
     """docs with the columns it has, its texts without cross-site boilerplate lines, and two more,
     named by ``counts``: its lines and how many of them were removed.
 
@@ -65,11 +77,17 @@ def strip_boilerplate(docs: DataFrame, site: str = "source", counts: tuple[str,
     to document dedup. All occurrences go. Null sites are one site; null texts stay null and have
     no lines; an emptied text is empty, not null; repeated rows are treated alike; no rows give none.
     Columns of docs with the names of the counts give way.
+
+    Lines of one block always have the same surroundings, so only the block's edges can go by that
+    rule. With ``groups`` (mark, root: the group of near-duplicates of each text by its xxhash64) a
+    line must stand in SITES distinct groups instead: a block goes whole, and copies, edited ones
+    too, count once.
     """
     kept = [c for c in docs.columns if c not in counts]
     lines = materialize(_lines(docs, site), "lines")
     salt = F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS).cast("long"))
-    flagged = boilerplate(lines).select("key", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
+    found = boilerplate(lines) if groups is None else grouped_boilerplate(lines, groups)
+    flagged = found.select("key", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
     gone = lines.select("id", "mark", "pos", "key", salt.alias("salt")).join(flagged, ["key", "salt"])
     gone = gone.groupBy(F.col("id").alias("_lines_id"), F.col("mark").alias("_lines_mark")).agg(F.collect_set("pos").alias("_lines_gone"))
     match = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY)) == F.col("_lines_id")) & (F.xxhash64("text") == F.col("_lines_mark"))
