@@ -3,13 +3,18 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from verispan.llm import langid, quality, queries, toxicity
+from verispan.llm.common import text_buffers
 from verispan.llm.convnet import ConvNet
+from verispan.llm.sampling import fold
+from verispan.llm.words import hashed_words
 
 DATA = "/root/testdata/sf0.1"
+SMALL = "/root/testdata/sf0.01"
 ODD = [(1, None, "en"), (2, "", "en"), (3, " \n", None), (4, "12 34 !!", "fr"), (5, "é", "fr"), (6, "the house of the " * 40000, "en"), (None, "der Hund und die Katze", "de"), (7, "x", "en"), (7, "x", "en")]
 
 
@@ -69,12 +74,36 @@ def test_toxicity_odd_rows(spark, odd):
 
 
 def test_toxicity_language():
-    from verispan.llm.common import text_buffers
-    import pyarrow as pa
-    from verispan.llm.words import hashed_words
-
-    hashes, _, cut = hashed_words(*text_buffers(pa.array(["the cat and the dog", "der Hund und die Katze", "xyz", None, "le chat dans les arbres"])))
-    assert [toxicity.LANGUAGES[k] for k in toxicity.languages_of(hashes, cut)] == ["en", "de", "other", "other", "fr"]
+    said = {"en": "the cat and the dog sat", "de": "der Hund und die Katze", "fr": "le chat dans les arbres"}
+    texts = [said[k] for k in said for _ in range(30)]
+    langs = [k for k in said for _ in range(30)]
+    hashes, _, cut = hashed_words(*text_buffers(pa.array(texts)))
+    table = np.zeros(1 << toxicity.HASHES, np.int32)
+    known = np.unique(toxicity._buckets(hashes))
+    table[known] = np.arange(1, len(known) + 1)
+    own = [toxicity._buckets(hashes[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+    languages, voices, loudness = toxicity.learn_voices(own, langs, table)
+    model = toxicity.ToxicModel(table, None, languages, voices, loudness, np.zeros(4))
+    hashes, _, cut = hashed_words(*text_buffers(pa.array(["the dog", "die Katze", "xyz", None, "dans les bois"])))
+    got = toxicity.languages_of(model, table[toxicity._buckets(hashes)], cut)
+    assert languages == ["de", "en", "fr"] and got.tolist() == [1, 0, 3, 3, 2]
+
+
+@pytest.mark.parametrize(("label", "train", "score"), [("toxic", toxicity.train, toxicity.score), ("quality", quality.train, quality.score)])
+def test_held_out_labels_change_nothing(spark, label, train, score):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    flipped = labels.withColumn(label, F.when(fold("doc_id", 5) == 0, 1 - F.col(label)).otherwise(F.col(label)))
+    assert labels.exceptAll(flipped).count() > 5
+    first, second = ({r.doc_id: r.score for r in score(docs, train(docs, x)).select("doc_id", "score").collect()} for x in (labels, flipped))
+    assert first == second
+
+
+def test_held_out_languages_change_nothing(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    other = docs.withColumn("lang", F.when(fold("doc_id", 3) == 1, F.lit("xx")).otherwise(F.col("lang")))
+    first, second = ({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.train(x)).collect()} for x in (docs, other))
+    assert first == second
 
 
 def test_quality(spark, odd):

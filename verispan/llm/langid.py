@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, kernel, lower_ascii, text_buffers
 from .convnet import ConvNet
-from .sampling import fold, thin
+from .sampling import MOST_CLASSES, fold, thin
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -53,14 +53,14 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
 
-def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE, seed: int = 7) -> LanguageModel:
+def train(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE, seed: int = 7, most_languages: int = MOST_CLASSES) -> LanguageModel:
     """A model learned from a bounded sample: about ``per_language`` documents of each language.
 
     Only rows with text and lang whose fold isn't ``held`` count; windows come from anywhere in
-    a text. Of more than MOST_CLASSES languages the commonest are learned.
+    a text. Of more than ``most_languages`` languages the commonest are learned.
     """
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    rows = thin(known, "lang", per_language).mapInArrow(kernel(_training_windows), "lang string, window binary").toPandas()
+    rows = thin(known, "lang", per_language, most_languages).mapInArrow(kernel(_training_windows), "lang string, window binary").toPandas()
     rows = rows.sort_values(["lang", "window"]).reset_index(drop=True)
     languages = sorted(set(rows["lang"]))
     net = ConvNet.fresh(257, EMBEDDING, WIDTHS, FILTERS, max(1, len(languages)), seed)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import blocks, kernel, text_buffers
 from .sampling import labelled_sample
-from .toxicity import FUNCTION_WORDS
 from .words import hash_of, hashed_words, mix
 
 STATISTICS = [
@@ -27,7 +26,14 @@ DEPTH = 3
 LEAST_ROWS = 8
 #: Strength of the lasso, as a share of the smallest penalty that leaves no rule.
 LASSO = 0.02
-_FUNCTION = np.unique(np.array([hash_of(w) for words in FUNCTION_WORDS.values() for w in words], np.uint64))
+#: Common function words, whose share of a text is one of its statistics (fixed values).
+FUNCTION_WORDS = (
+    "the of and to in is that for it with as was on are by this be from at "
+    "le la les de des et un une dans que qui pour pas sur avec est ou par au "
+    "der die das und ist nicht ein eine mit den von zu auf für sich im dem des als "
+    "el los las del y en un una que por para con no se su al lo como más"
+).split()
+_FUNCTION = np.unique(np.array([hash_of(w) for w in FUNCTION_WORDS], np.uint64))
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -236,7 +242,10 @@ def _lasso(m: np.ndarray, y: np.ndarray, weight: np.ndarray, base: float, rounds
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> RuleModel:
     """Rules learned from a bounded sample: about ``per_class`` labelled rows of each class.
 
-    Rows of a class sampled more thinly weigh more, so scores keep the labels' shares.
+    Rows of a class sampled more thinly weigh more, so scores keep the labels' shares. Only labels
+    outside fold 0 are read. Null texts, labels and ids don't count; of repeated ids the larger label
+    does, and repeated rows of a sampled document count each. Empty tables, and labels of one class,
+    give a constant score. Other columns are ignored.
     """
     sample = labelled_sample(labels, label, per_class, FOLDS)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(sample), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Classes that a sample may have; it bounds the sample where a column holds stray values.
+#: Classes that a sample may have, unless its caller says otherwise; it bounds the sample where a column holds stray values.
 MOST_CLASSES = 200
 
 
@@ -26,9 +26,9 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, folds: int) -
     return thin(known, "label", per_class)
 
 
-def thin(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class, by a hash of doc_id; of the MOST_CLASSES commonest classes."""
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_CLASSES).collect()}
+def thin(rows: DataFrame, label: str, per_class: int, most_classes: int = MOST_CLASSES) -> DataFrame:
+    """About ``per_class`` rows of each class, by a hash of doc_id; of the ``most_classes`` commonest classes."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()}
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.lit(0.0)
     for value, n in counts.items():

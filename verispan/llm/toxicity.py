@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, kernel, text_buffers
 from .convnet import ConvNet
-from .sampling import labelled_sample
-from .words import hash_of, hashed_words
+from .sampling import fold, labelled_sample
+from .words import hashed_words
 
 HASHES = 20
 WIDTHS = (1, 2, 3)
@@ -26,70 +26,93 @@ EPOCHS = 8
 #: One blank training text for so many documents.
 BLANKS = 20
 FOLDS = 5
-#: Function words that tell the language of a text, without any label (fixed values).
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for it with as was on are by this be from at".split(),
-    "fr": "le la les de des et un une dans que qui pour pas sur avec est ou par au".split(),
-    "de": "der die das und ist nicht ein eine mit den von zu auf für sich im dem des als".split(),
-    "es": "el los las del y en un una que por para con no se su al lo como más".split(),
-}
-LANGUAGES = [*FUNCTION_WORDS, "other"]
+#: Longer training texts are left out of the sample, which bounds what reaches the driver.
+MOST_WORDS = 4000
+#: Training documents that a language must have, and toxic rows at which its own threshold weighs as much as the common one.
+LEAST_SPOKEN = 20
+SHRINK = 20
 
 
 @dataclass
 class ToxicModel:
+    """What scoring needs: words' places, the net, and each language's threshold.
+
+    A known word speaks for the language ``voices[place]`` with ``loudness[place]``; the last
+    threshold is that of texts in which no language is heard.
+    """
+
     table: np.ndarray
     net: ConvNet
+    languages: list[str]
+    voices: np.ndarray
+    loudness: np.ndarray
     thresholds: np.ndarray
 
 
-def _language_table() -> tuple[np.ndarray, np.ndarray]:
-    weights: dict[int, np.ndarray] = {}
-    for k, lang in enumerate(FUNCTION_WORDS):
-        for word in FUNCTION_WORDS[lang]:
-            weights.setdefault(hash_of(word), np.zeros(len(FUNCTION_WORDS)))[k] = 1
-    keys = np.array(sorted(weights), np.uint64)
-    return keys, np.array([weights[int(k)] / weights[int(k)].sum() for k in keys])
-
-
-_KEYS, _WEIGHTS = _language_table()
-
+def learn_voices(sequences: list[np.ndarray], langs: list[str | None], table: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, voices, loudness): for each place of ``table``, the language whose documents hold the word most, and how telling it is.
 
-def languages_of(hashes: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Each text's language by its function words, as a place in LANGUAGES; the last without any."""
-    n = len(cut) - 1
-    votes = np.zeros((n, len(FUNCTION_WORDS)))
-    if len(hashes):
-        at = np.minimum(np.searchsorted(_KEYS, hashes), len(_KEYS) - 1)
-        hit = np.flatnonzero(_KEYS[at] == hashes)
-        np.add.at(votes, np.searchsorted(cut, hit, "right") - 1, _WEIGHTS[at[hit]])
-    return np.where(votes.any(axis=1), votes.argmax(axis=1), len(FUNCTION_WORDS))
+    Learned from texts and their languages alone; languages with under LEAST_SPOKEN documents are left out.
+    """
+    places = int(table.max(initial=0)) + 1
+    spoken = sorted({x for x in langs if x is not None})
+    spoken = [x for x in spoken if langs.count(x) >= LEAST_SPOKEN]
+    rates = np.zeros((len(spoken), places))
+    for own, lang in zip(sequences, langs, strict=True):
+        if lang in spoken:
+            rates[spoken.index(lang), np.unique(table[own])] += 1
+    if len(spoken) < 2:
+        return spoken, np.zeros(places, np.int64), np.zeros(places)
+    rates = (rates + 0.1) / (np.array([langs.count(x) for x in spoken])[:, None] + 0.2)
+    ranked = np.sort(rates, axis=0)
+    loudness = np.log(ranked[-1] / ranked[-2])
+    loudness[0] = 0
+    return spoken, rates.argmax(axis=0), loudness
+
+
+def languages_of(model: ToxicModel, symbols: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Each text's language by its words, as a place in ``model.languages``; their number where none is heard."""
+    n, k = len(cut) - 1, len(model.languages)
+    if not k:
+        return np.zeros(n, np.int64)
+    owner = np.repeat(np.arange(n), np.diff(cut))
+    votes = np.bincount(owner * k + model.voices[symbols], model.loudness[symbols], n * k).reshape(n, k)
+    return np.where(votes.max(axis=1) > 0, votes.argmax(axis=1), k)
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - HASHES)).astype(np.int64)
 
 
-def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
-        hashes, _, cut = hashed_words(*text_buffers(batch.column("text")))
-        found = _buckets(hashes).astype("<i4")
-        lang = languages_of(hashes, cut)
-        words = [found[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lang, pa.int32()), pa.array(words, pa.binary())], ["doc_id", "label", "lang", "words"])
+def _training_words(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            hashes, _, cut = hashed_words(*text_buffers(batch.column("text")))
+            found = _buckets(hashes).astype("<i4")
+            words = [found[a:z].tobytes() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            made = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("lang"), pa.array(words, pa.binary())], ["doc_id", "label", "lang", "words"])
+            yield made.filter(pa.array(np.diff(cut) <= most))
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, seed: int = 11) -> ToxicModel:
-    """A model learned from a bounded sample: about ``per_class`` labelled documents of each class.
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, seed: int = 11, most_words: int = MOST_WORDS) -> ToxicModel:
+    """A model learned from a bounded sample: about ``per_class`` labelled documents of each class, of up to ``most_words`` words.
 
-    The sampled ids are sent to the scan of docs; their number is bounded by the sample. A quarter
-    of the sample calibrates one threshold for each language. Without both classes nothing is toxic.
+    Only labels outside fold 0 are read, for the classes' shares too. The sampled ids are sent to the
+    scan of docs; their number is bounded by the sample. A quarter of the sample calibrates the
+    thresholds: the common one and each language's own, which gives way to the common one the fewer
+    toxic rows it has. Languages are told by words, learned from the sample's texts and their lang
+    (docs without that column have none). Null texts, labels and ids don't count; of repeated ids the
+    larger label does, and repeated rows of a sampled document count each. Empty tables, and labels
+    without both classes, give a model for which nothing is toxic. Other columns are ignored.
     """
     sample = labelled_sample(labels, label, per_class, FOLDS)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    rows = rows.mapInArrow(kernel(_training_words), "doc_id long, label int, lang int, words binary").toPandas().sort_values(["doc_id", "words"]).reset_index(drop=True)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", lang.alias("lang")).where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "lang", "text")
+    rows = rows.mapInArrow(kernel(_training_words(most_words)), "doc_id long, label int, lang string, words binary").toPandas().sort_values(["doc_id", "words"]).reset_index(drop=True)
     table = np.zeros(1 << HASHES, np.int32)
-    nothing = ToxicModel(table, ConvNet.fresh(1, EMBEDDING, WIDTHS, FILTERS, 2, seed), np.full(len(LANGUAGES), np.inf))
+    nothing = ToxicModel(table, ConvNet.fresh(1, EMBEDDING, WIDTHS, FILTERS, 2, seed), [], np.zeros(1, np.int64), np.zeros(1), np.full(1, np.inf))
     y = rows["label"].to_numpy(np.int64)
     if len(set(y.tolist())) < 2:
         return nothing
@@ -112,16 +135,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     learned = np.flatnonzero(~calibrates)
     unknown = max(8, len(learned) // BLANKS)  # texts of unknown words alone, which say nothing, are clean
     net.fit([mapped[k] for k in learned] + [table[:1] * 0] * unknown, np.append(y[learned], np.zeros(unknown, np.int64)), EPOCHS, 64, 2e-5, seed)
-    prior = labels.where(F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0] or share
+    open_labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != 0))
+    prior = open_labels.agg(F.avg(F.col(label).cast("double"))).first()[0] or share
     z = _margins(net, mapped)
-    lang = rows["lang"].to_numpy()
     weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     whole = _threshold(z[calibrates], y[calibrates], weight[calibrates])
-    each = []
-    for k in range(len(LANGUAGES)):
-        own = calibrates & (lang == k)
-        each.append(_threshold(z[own], y[own], weight[own]) if (y[own] == 1).sum() >= 20 and (y[own] == 0).sum() >= 20 else whole)
-    return ToxicModel(table, net, np.array(each))
+    languages, voices, loudness = learn_voices(sequences, [None if x is None or x != x else x for x in rows["lang"]], table)
+    model = ToxicModel(table, net, languages, voices, loudness, np.full(len(languages) + 1, whole))
+    heard = languages_of(model, np.concatenate(mapped), np.concatenate([[0], np.cumsum([len(s) for s in mapped])]))
+    for k in range(len(languages)):
+        own = calibrates & (heard == k)
+        toxic = int((y[own] == 1).sum())
+        if toxic and (y[own] == 0).any():
+            model.thresholds[k] += toxic / (toxic + SHRINK) * (_threshold(z[own], y[own], weight[own]) - whole)
+    return model
 
 
 def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -165,14 +192,14 @@ def _scores(model: ToxicModel, texts: pa.Array) -> np.ndarray:
     shift = np.arange(len(lengths)) * net.margin
     padded = np.zeros(len(symbols) + net.margin * max(1, len(lengths)), np.int32)
     padded[np.arange(len(symbols)) + np.repeat(shift, lengths)] = symbols
-    z = _margin(net, padded, cut[:-1] + shift, lengths) - model.thresholds[languages_of(hashes, cut)]
+    z = _margin(net, padded, cut[:-1] + shift, lengths) - model.thresholds[languages_of(model, symbols, cut)]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """(doc_id, score) of each row's whole text; a score of 0.5 is the threshold of the text's language.
 
-    The language comes from the text's function words, never from a column. Null and empty texts
+    The language comes from the text's words, never from a column. Null and empty texts
     are scored as texts without words. Repeated rows repeat; no rows give none; other columns are ignored.
     """
 
@@ -184,7 +211,11 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: ToxicModel, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose texts score under ``least``, with all their columns."""
+    """The rows of docs whose texts score under ``least``, with all their columns, whatever their names.
+
+    Each row is judged by its text alone: null and empty texts as texts without words, repeated rows
+    alike; a score equal to ``least`` is rejected. No rows give none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
