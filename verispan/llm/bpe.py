@@ -41,7 +41,7 @@ def _ranks(raw: bytes) -> dict[bytes, int]:
 
 
 @functools.lru_cache(2)
-def _encoder(raw: bytes, pattern: str) -> tiktoken.Encoding:
+def encoder(raw: bytes, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=_ranks(raw), special_tokens={})
 
 
@@ -113,7 +113,7 @@ def _pretokens(pattern: str, buckets: int):
 
 def _encode_words(raw: bytes, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(raw, pattern)._encode_single_piece
+        encode = encoder(raw, pattern)._encode_single_piece
         bucket, known = None, {}
         for batch in batches:
             cols = [batch.column(c) for c in ("chunk", "bucket", "home", "payload")]

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import encoder
 from .common import kernel, spread
 
-#: Tokens of a window, and of the history it may repeat.
+#: Tokens of a window, of the history it may repeat, and of a turn's frame.
 BUDGET = 1024
 HISTORY = 256
+FRAME = 4
 TARGET = "assistant"
 SYSTEM = "system"
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -57,68 +59,77 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def tokens(role: str, text: str) -> int:
-    """Words and marks of a turn's text, and four for its frame."""
-    return 4 + sum(1 for _ in _TOKEN.finditer(text))
+def plain_tokens(text: str) -> int:
+    """Words and marks of a text."""
+    return sum(1 for _ in _TOKEN.finditer(text))
 
 
 class _Conversation:
     """Windows of one conversation, made as its turns arrive.
 
-    It holds the first system turn, the history that may be repeated, and the turns of the open
-    window, so its memory is that of a window, however many turns there are.
+    It holds the first system turn, the last turns that may be repeated, and the turns of the open
+    window, with prefix sums of their tokens; so its memory is that of a window, however many turns
+    there are.
     """
 
-    def __init__(self, conv_id: int | None, budget: int, history: int):
-        self.conv_id, self.budget, self.limit = conv_id, budget, history
-        self.system: tuple[str, str, int] | None = None
-        self.past: list[tuple[str, str, int]] = []
-        self.fresh: list[tuple[str, str, int]] = []
-        self.seen = self.window = 0
+    def __init__(self, conv_id: int | None, budget: int, history: int, count: Callable[[str], int]):
+        self.conv_id, self.budget, self.limit, self.count = conv_id, budget, history, count
+        self.system: tuple[str, str] | None = None
+        self.cost = 0
+        self.turns: list[tuple[str, str]] = []  # of the past, then from self.fresh on the window's own
+        self.sums = [0]  # sums[k]: tokens of the first k turns held
+        self.fresh = self.seen = self.window = 0
+        self.room = budget  # what the turns from self.first on may take
+        self.first = 0
+        self.headed = False
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, tokens(role, text))
-        if self.fresh and self._used() + turn[2] > self.budget:
+        size = FRAME + self.count(text)
+        if len(self.turns) > self.fresh and self.sums[-1] + size - self.sums[self.first] > self.room:
             yield self.close()
         if not self.seen and role == SYSTEM:
-            self.system = turn
+            self.system, self.cost = (role, text), size
+        elif len(self.turns) == self.fresh:
+            self._open(size)
         self.seen += 1
-        self.fresh.append(turn)
+        self.turns.append((role, text))
+        self.sums.append(self.sums[-1] + size)
 
-    def _head(self) -> list[tuple[str, str, int]]:
-        """What the window repeats: the system turn unless it is fresh, and the last turns within the history's limit."""
-        system = [self.system] if self.system and self.window else []
-        sums = list(accumulate(t[2] for t in reversed(self.past)))
-        count = sum(1 for s in sums if s <= self.limit)
-        return system + self.past[len(self.past) - count :]
-
-    def _used(self) -> int:
-        return sum(t[2] for t in self._head()) + sum(t[2] for t in self.fresh)
+    def _open(self, size: int) -> None:
+        """Choose what the window whose own first turn has ``size`` tokens repeats."""
+        self.headed = self.system is not None and self.window > 0 and self.cost + size <= self.budget
+        self.room = self.budget - (self.cost if self.headed else 0)
+        past = min(self.limit, self.room - size)
+        self.first = min(self.fresh, bisect_left(self.sums, self.sums[self.fresh] - past)) if past >= 0 else self.fresh
 
     def close(self) -> tuple:
-        head = self._head()
-        formatted, spans = render([t[:2] for t in head + self.fresh])
-        loss = [{"start": a, "end": z} for (role, *_), (a, z) in list(zip(head + self.fresh, spans, strict=True))[len(head) :] if role == TARGET]
-        row = (self.conv_id, self.window, len(head), formatted, loss)
-        recent = [t for t in self.past + self.fresh if t is not self.system]
-        sums = list(accumulate(t[2] for t in reversed(recent)))
-        count = sum(1 for s in sums if s <= self.limit)
-        self.past, self.fresh, self.window = recent[len(recent) - count :], [], self.window + 1
+        head = [self.system] if self.headed else []
+        held = head + self.turns[self.first :]
+        repeated = len(head) + self.fresh - self.first
+        formatted, spans = render(held)
+        loss = [{"start": a, "end": z} for (role, _), (a, z) in list(zip(held, spans, strict=True))[repeated:] if role == TARGET]
+        row = (self.conv_id, self.window, repeated, formatted, loss)
+        start = 1 if self.system is not None and not self.window else 0  # the system turn is no history
+        keep = max(start, bisect_left(self.sums, self.sums[-1] - self.limit))
+        self.turns, self.sums = self.turns[keep:], [x - self.sums[keep] for x in self.sums[keep:]]
+        self.fresh, self.window, self.headed = len(self.turns), self.window + 1, False
+        self.first, self.room = self.fresh, self.budget
         return row
 
 
-def _windows(budget: int, history: int):
+def _windows(budget: int, history: int, raw: bytes | None, pattern: str | None):
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("repeated", pa.int32()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: _Conversation | None = None
+        count = plain_tokens if raw is None else lambda text: len(encoder(raw, pattern).encode_ordinary(text))
         for batch in batches:
             rows: list[tuple] = []
             for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if held is None or held.conv_id != conv_id:
                     if held is not None:
                         rows.append(held.close())
-                    held = _Conversation(conv_id, budget, history)
+                    held = _Conversation(conv_id, budget, history, count)
                 rows += held.add(role or "", text or "")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -128,22 +139,29 @@ def _windows(budget: int, history: int):
     return run
 
 
-def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(conv_id, window, repeated, formatted, loss): windows of whole turns within ``budget`` tokens.
 
-    turns needs conv_id, turn, role and text; other columns are ignored. Prefix sums of turn tokens
-    choose where windows end; a turn over the budget gets a window of its own and stays whole. Every
-    window but the first starts with the conversation's first turn if that is a system turn, and with
-    the last turns before it that fit ``history``; these ``repeated`` turns are masked. ``loss`` has the
+    turns needs conv_id, turn, role and text; other columns are ignored. A turn's tokens are FRAME and
+    those of its text: of the byte-level BPE whose ranks and pattern are given, else words and marks.
+    Prefix sums of turn tokens choose where windows begin and end; a turn over the budget gets a
+    window of its own and stays whole, and no other window is over it. Every window but the first starts
+    with the conversation's first turn if that is a system turn, which gives way only where it and the
+    window's first own turn don't fit together. Then come the last turns before that fit both ``history``
+    and the room that the first own turn leaves; these ``repeated`` turns are masked. ``loss`` has the
     code-point spans of the other assistant texts in ``formatted``, so each is trained on once. Control
     strings in texts are escaped and come back by ``parse``. Null roles and texts count as empty;
     rows with a null conv_id are one conversation; equal turns go by role and text; repeated rows
     stay; no rows give none. Rows stay sorted by window within a partition that holds the whole
     conversation. A task streams its conversations, whose turns need not fit memory.
     """
+    raw = None
+    if ranks_path is not None:
+        with open(ranks_path, "rb") as file:
+            raw = file.read()
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition(spread(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(kernel(_windows(budget, history)), FORMATTED)
+    return dealt.mapInArrow(kernel(_windows(budget, history, raw, pattern)), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

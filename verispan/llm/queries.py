@@ -52,7 +52,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.digests(chat.format_conversations(turns))
+    return chat.digests(chat.format_conversations(turns, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN))
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
