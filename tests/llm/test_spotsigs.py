@@ -4,20 +4,31 @@ import hashlib
 import re
 from itertools import islice
 
+import numpy as np
+
 from verispan.llm import spotsigs
-from verispan.llm.words import hash_of, hashed_words
+from verispan.llm.words import hash_of, hashed_words, mix
 
 
 def plain(text):
     """The set of signatures as tuples of words."""
     words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     spots = set()
-    for i, w in enumerate(words):
-        if w in spotsigs.ANCHORS:
-            chain = list(islice((words[j] for j in range(i + 1, len(words)) if words[j] not in spotsigs.ANCHORS), spotsigs.CHAIN))
-            if len(chain) == spotsigs.CHAIN:
-                spots.add((w, *chain))
-    return spots | {(w,) for w in words} if len(spots) < spotsigs.FEW else spots
+    for i, w in [(-1, None), *enumerate(words)] if words else []:
+        if w is None or w in spotsigs.ANCHORS:
+            spots.add((w, *islice((words[j] for j in range(i + 1, len(words)) if words[j] not in spotsigs.ANCHORS), spotsigs.CHAIN)))
+    return spots
+
+
+def spelled(spots):
+    """The fingerprint that the signatures make."""
+    out = []
+    for anchor, *chain in spots:
+        x = np.array([spotsigs._START if anchor is None else hash_of(anchor)], np.uint64)
+        for w in chain:
+            x = mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(hash_of(w)))
+        out.append(f"{int(mix(x)[0]) >> 32:08x}")
+    return "".join(sorted(set(out)))
 
 
 def likeness(a, b):
@@ -25,8 +36,6 @@ def likeness(a, b):
 
 
 def test_hashes_do_not_depend_on_the_block():
-    import numpy as np
-
     texts = [b"One two", b"", b"THREE\xc3\xa9", b"one", b"..", b"x" * 9000]
     data = np.frombuffer(b"".join(texts), np.uint8)
     at = np.cumsum([0, *map(len, texts)])
@@ -43,9 +52,9 @@ def check(docs, got):
     for i, (doc_id, text) in enumerate(rows):
         t, u = text or "", rows[(i + 1) % len(rows)][1] or ""
         edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
-        want.append((doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), likeness(plain(t), plain(edited)), likeness(plain(t), plain(u)), len(plain(t)), len(plain(edited))))
+        want.append((doc_id, len(t), hashlib.sha256(edited.encode()).hexdigest(), likeness(plain(t), plain(edited)), likeness(plain(t), plain(u)), spelled(plain(t)), spelled(plain(edited))))
     want.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
-    assert [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, len(r.fingerprint) // 8, len(r.edited_fingerprint) // 8) for r in got] == want
+    assert [(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.fingerprint, r.edited_fingerprint) for r in got] == want
 
 
 def test_documents(spark):
@@ -53,10 +62,13 @@ def test_documents(spark):
     check([(r.doc_id, r.text) for r in docs.collect()], spotsigs.compared(docs).collect())
 
 
-def test_odd_rows(spark):
+def test_odd_rows(spark, monkeypatch):
     rows = [(5, None), (1, ""), (None, "The cat sat"), (9, "naïve 😀 of it" * 9), (9, "naïve 😀 of it" * 9), (2, "word and other " * 30000), (7, "x")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int")
     check(rows, spotsigs.compared(docs).collect())
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 1000)
+    assert spotsigs.in_order(docs).select("bucket").distinct().count() > 2
+    check(rows, spotsigs.compared(docs).collect())
     check(rows[:1], spotsigs.compared(docs.limit(1)).collect()) if docs.limit(1).first().doc_id == 5 else None
     assert spotsigs.compared(docs.limit(0)).collect() == []
 

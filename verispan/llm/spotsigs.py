@@ -21,34 +21,33 @@ ANCHORS = (
     "al como con del el es esta la las lo los no o para pero por que se su sus un una y"
 ).split()
 CHAIN = 2
-#: Texts with fewer signatures than this also use each of their words as one.
-FEW = 8
-BUCKETS = 512
+#: Bytes of text that a range of doc_ids should hold, and ranges at most.
+RANGE_BYTES = 64 << 20
+RANGES = 1 << 14
+_START = np.uint64(0x5851F42D4C957F2D)
 _ANCHOR = np.unique(np.array([hash_of(w) for w in ANCHORS], np.uint64))
 
 
 def signatures(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts): each text's distinct 32-bit signatures, sorted, as text number << 32 | signature."""
+    """(keys, counts): each text's distinct 32-bit signatures, sorted, as text number << 32 | signature.
+
+    A signature is an anchor, a common word or the text's start, with the CHAIN content words that
+    follow it; at a text's end the chain is as long as there are words. So each text with words has some.
+    """
     hashes, _, cut = hashed_words(data, at)
     n = len(at) - 1
-    owner = np.repeat(np.arange(n), np.diff(cut))
     spot = np.minimum(np.searchsorted(_ANCHOR, hashes), len(_ANCHOR) - 1)
     common = _ANCHOR[spot] == hashes if len(hashes) else np.zeros(0, bool)
-    content = np.flatnonzero(~common)
-    anchors = np.flatnonzero(common)
-    following = np.searchsorted(content, anchors)
-    ok = following + CHAIN <= len(content)
-    anchors, following = anchors[ok], following[ok]
-    ok = owner[content[following + CHAIN - 1]] == owner[anchors] if len(anchors) else np.zeros(0, bool)
-    anchors, following = anchors[ok], following[ok]
-    chain = hashes[anchors]
+    content, inner = np.flatnonzero(~common), np.flatnonzero(common)
+    some = np.flatnonzero(np.diff(cut))
+    anchors = np.concatenate([cut[some], inner])
+    owner = np.concatenate([some, np.searchsorted(cut, inner, "right") - 1])
+    chain = np.concatenate([np.full(len(some), _START), hashes[inner]])
+    following, last = np.searchsorted(content, anchors), np.searchsorted(content, cut[1:])[owner]
     for k in range(CHAIN):
-        chain = mix(chain * np.uint64(0x9E3779B97F4A7C15) + hashes[content[following + k]])
-    keys = np.unique(owner[anchors].astype(np.uint64) << np.uint64(32) | chain >> np.uint64(32))
-    few = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n) < FEW
-    if few.any():
-        own = few[owner]
-        keys = np.union1d(keys, owner[own].astype(np.uint64) << np.uint64(32) | mix(hashes[own] + np.uint64(1)) >> np.uint64(32))
+        own = np.flatnonzero(following + k < last)
+        chain[own] = mix(chain[own] * np.uint64(0x9E3779B97F4A7C15) + hashes[content[following[own] + k]])
+    keys = np.unique(owner.astype(np.uint64) << np.uint64(32) | mix(chain) >> np.uint64(32))
     return keys, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=n)
 
 
@@ -60,10 +59,7 @@ def hexed(keys: np.ndarray, counts: np.ndarray) -> list[str]:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> np.ndarray:
-    """Text by text, the Jaccard likeness of two key lists; two empty sets are alike.
-
-    Only texts whose sizes allow a positive likeness are met; the others are pruned.
-    """
+    """Text by text, the Jaccard likeness of two key lists; two empty sets are alike."""
     common = np.bincount((np.intersect1d(a, b, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=len(sizes_a))
     total = sizes_a + sizes_b - common
     return np.where(total == 0, 1.0, common / np.maximum(total, 1))
@@ -87,26 +83,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel(run), "doc_id long, n_signatures long, fingerprint string")
 
 
-def _bucket(order: Column, splits: list[int], low: int = 0, high: int | None = None) -> Column:
+def _bucket(splits: list[int]) -> Column:
     """The number of splits below ``order``, by a balanced tree of comparisons."""
-    high = len(splits) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(order <= splits[mid], _bucket(order, splits, low, mid)).otherwise(_bucket(order, splits, mid + 1, high))
+
+    def tree(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        mid = (low + high) // 2
+        return f"IF(`order` <= {splits[mid]}L, {tree(low, mid)}, {tree(mid + 1, high)})"
+
+    return F.expr(tree(0, len(splits)))
 
 
 def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, guest, doc_id, text): docs dealt by ranges of doc_id and sorted, each range ending
     with a guest, the first row of the next range (after the last: of the first).
 
-    Null doc_ids come first and null texts count as empty; equal doc_ids go by text. At most
-    ``buckets`` split points and first ids reach the driver, whatever the input's size.
+    Null doc_ids come first and null texts count as empty; equal doc_ids go by text. There are
+    ``buckets`` ranges or, unsaid, as many as the texts' bytes call for, RANGES at most; only split
+    points and first ids reach the driver. A task streams its range, so its size costs no memory.
     """
-    buckets = min(BUCKETS, buckets or spread(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(RANGES, max(spread(docs), -(-size // RANGE_BYTES)))
     splits = sorted({int(x) for x in rows.where("doc_id is not null").stat.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.1 / buckets)}) if buckets > 1 else []
-    placed = rows.withColumn("bucket", _bucket(F.col("order"), splits))
+    placed = rows.withColumn("bucket", _bucket(splits))
     firsts = sorted((r["bucket"], r["first"]) for r in placed.groupBy("bucket").agg(F.min("order").alias("first")).collect())
     hosts = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
     guests = docs.sparkSession.createDataFrame(hosts, "least long, host int")
