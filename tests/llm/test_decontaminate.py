@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verispan.llm import decontaminate, queries
 
@@ -87,11 +88,32 @@ def test_planted(spark):
     assert decontaminate.contaminated(frame, bench.limit(0)).collect() == []
 
 
-def test_passes(spark, monkeypatch):
-    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(9)], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "PASS_BYTES", 100)
-    got = decontaminate.contaminated(items.withColumnRenamed("item_id", "doc_id"), items).collect()
-    assert sorted((r.doc_id, r.item_id, r.similarity, r.distance) for r in got) == [(k, k, 1.0, 0) for k in range(9)]
+def test_large_benchmarks_are_joined(spark, monkeypatch):
+    where = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (None, "")], "doc_id long, text string"))
+    items = spark.read.parquet(f"{where}/benchmark.parquet")
+    first = items.where("item_id = 33").select("item_id", "text")
+    items = items.select("item_id", "text").unionByName(first).unionByName(first.withColumn("item_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(docs.join(first.select("text"), F.contains(docs["text"], first["text"]), "left_semi").withColumn("doc_id", F.lit(None).cast("long")))
+    key = lambda r: tuple(str(x) for x in r)
+    sent = sorted(decontaminate.contaminated(docs, items).collect(), key=key)
+    left = sorted(decontaminate.decontaminate(docs, items).collect(), key=key)
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", -1)
+    assert len(sent) > 5 and sorted(decontaminate.contaminated(docs, items).collect(), key=key) == sent
+    assert sorted(decontaminate.decontaminate(docs, items).collect(), key=key) == left
+    assert decontaminate.decontaminate(docs, items.limit(0)).count() == docs.count()
+
+
+@pytest.mark.parametrize("sent", [decontaminate.SENT_BYTES, -1])
+def test_rows_are_judged_one_by_one(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", sent)
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, f"a {item} b"), (7, f"c {item}"), (None, "clean one"), (None, "clean two"), (7, "clean three"), (None, None), (7, f"c {item}"), (None, "clean one")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _benchmark_hit string")
+    items = spark.createDataFrame([(1, item), (None, item), (2, None)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, items)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(d), str(t)) for d, t in rows if item not in (t or ""))
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -102,10 +124,41 @@ def test_overlaps(seed):
     assert decontaminate.overlaps(part, item, 12).tolist() == want
 
 
-def test_blocks_agree_within_the_radius():
+def test_a_block_is_near_within_the_radius():
     rng = np.random.default_rng(3)
-    a = rng.random((200, decontaminate.BITS)) < 0.5
+    a = rng.random((2000, decontaminate.BITS)) < 0.5
     b = a.copy()
     for row in b:
         row[rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] ^= True
-    assert (decontaminate._block_values(a) == decontaminate._block_values(b)).any(axis=1).all()
+    far = np.bitwise_count(decontaminate._packed(a) ^ decontaminate._packed(b))
+    assert (far.sum(axis=1) == decontaminate.RADIUS).all() and (far.min(axis=1) <= decontaminate.BLOCK_RADIUS).all()
+    other = np.bitwise_count(decontaminate._packed(a) ^ decontaminate._packed(a[::-1]))
+    assert (other.min(axis=1) <= decontaminate.BLOCK_RADIUS).mean() < 0.1  # what the blocks leave of unrelated pairs
+
+
+@pytest.mark.parametrize(("size", "replaced"), [(9, 1), (20, 2), (45, 5), (90, 10), (300, 33)])
+def test_no_match_is_lost_to_the_radius(size, replaced):
+    rng = np.random.default_rng(size)
+    item = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+    windows = np.stack([np.where(np.isin(np.arange(size), rng.choice(size, replaced, replace=False)), rng.integers(0, 1 << 63, size, dtype=np.uint64), item) for _ in range(2000)])
+    assert (size - replaced) / (size + replaced) >= 0.8
+    theirs = decontaminate._packed(decontaminate.window_bits(item, size))
+    far = np.array([np.bitwise_count(decontaminate._packed(decontaminate.window_bits(w, size)) ^ theirs).sum() for w in windows])
+    assert (far <= decontaminate.RADIUS).all()
+
+
+def test_repeated_shingles_are_not_lost(spark):
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(94)]
+    item = " ".join(common + ["x"] * 14)
+    text = " ".join([f"a{rng.random()}" for _ in range(9)] + common + ["y"] * 14)
+    docs = [(1, text), (2, " ".join(common))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert len(check(docs, [(1, item)], got)) == 1
+
+
+@pytest.mark.parametrize("length", [1, 3, 12])
+def test_repeating(length):
+    x = np.random.default_rng(length).integers(0, 60, 50).astype(np.uint64)
+    assert decontaminate.repeating(x, length).tolist() == [len(set(x[s : s + length].tolist())) < length for s in range(51 - length)]

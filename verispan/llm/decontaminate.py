@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, kernel, text_buffers
+from .common import blocks, kernel, materialize, signed, text_buffers
 from .words import hashed_words, mix
 
 SHINGLE = 5
 LEAST = 0.8
 BITS = 128
+#: Blocks of a fingerprint, and bits that may differ in the nearest. One in a hundred unrelated blocks is as near.
+BLOCKS, BLOCK_RADIUS = 4, 9
+#: Fingerprints within this radius have a block within BLOCK_RADIUS, for if all blocks differed in more, they would in more.
 #: At a similarity of 0.8 fingerprints differ in 19 bits on average, with a deviation of four.
-RADIUS = 36
-#: More blocks than the radius has bits: two fingerprints within it agree in at least one.
-CUTS = np.linspace(0, BITS, RADIUS + 2).astype(int)
-#: Bytes of benchmark text that one pass over the documents holds; more items take more passes.
-PASS_BYTES = 4 << 20
+RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Window fingerprints that are compared at once.
+STRIP = 1 << 12
+#: Bytes of benchmark text that are sent to every task; a larger benchmark is joined by shingles instead.
+SENT_BYTES = 8 << 20
+#: Bits of the filter that keeps other shingles out of that join.
+FILTER_BITS = 1 << 23
 FOUND = "doc_id long, item_id long, start long, distance int, similarity double"
 
 
@@ -48,9 +52,22 @@ def window_bits(shingle: np.ndarray, length: int) -> np.ndarray:
     return sums[length:] > sums[:-length]
 
 
-def _block_values(bits: np.ndarray) -> np.ndarray:
-    """The number that each block of each fingerprint spells."""
-    return np.stack([bits[:, a:z] @ (1 << np.arange(z - a)) for a, z in zip(CUTS[:-1], CUTS[1:], strict=True)], axis=1)
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Fingerprints as BLOCKS numbers each."""
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint32)
+
+
+def repeating(shingle: np.ndarray, length: int) -> np.ndarray:
+    """Which runs of ``length`` shingles hold one of them twice."""
+    n = len(shingle)
+    order = np.argsort(shingle, kind="stable")
+    before = np.full(n, -1, np.int64)
+    same = shingle[order[1:]] == shingle[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    # a run from s repeats if any place in it has an equal one at s or later
+    reach = np.maximum.accumulate(np.concatenate([[-1], before]))
+    ends = np.arange(length, n + 1)
+    return reach[ends] >= ends - length
 
 
 def overlaps(shingle: np.ndarray, item: np.ndarray, length: int) -> np.ndarray:
@@ -76,7 +93,7 @@ def overlaps(shingle: np.ndarray, item: np.ndarray, length: int) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: their shingles, by shingle and by size, and the index of their fingerprints."""
+    """Benchmark items: their shingles, by shingle and by size, and the blocks of their fingerprints by size."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         data, at = text_buffers(pa.array([text for _, text in rows], pa.large_string()))
@@ -94,13 +111,11 @@ class Items:
         self.keys, self.owners = pairs[:, 0], pairs[:, 1].astype(np.int64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.bits = np.concatenate([window_bits(s, len(s)) for s in self.shingles]) if sizes else np.zeros((0, BITS), bool)
         self.index = {}
         for size in set(sizes):
             members = np.flatnonzero(np.array(sizes) == size)
-            values = _block_values(self.bits[members])
-            order = np.argsort(values, axis=0, kind="stable")
-            self.index[size] = (members, order, np.take_along_axis(values, order, 0))
+            repeats = np.array([len(np.unique(self.shingles[k])) < size for k in members])
+            self.index[size] = (members, _packed(np.concatenate([window_bits(self.shingles[k], size) for k in members])), repeats)
 
     def anchors(self, shingle: np.ndarray) -> np.ndarray:
         """Where the shingles are those of some item."""
@@ -113,24 +128,27 @@ class Items:
         first, last = np.searchsorted(self.keys, shingle, "left"), np.searchsorted(self.keys, shingle, "right")
         return [(k, len(self.shingles[o])) for k in range(len(shingle)) for o in self.owners[first[k] : last[k]].tolist()]
 
-    def candidates(self, size: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) within RADIUS, for windows' bits and the items of a size.
+    def candidates(self, size: int, shingle: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of the runs of ``length`` shingles and the items of a size within RADIUS.
 
-        A pair is met if any block agrees, which holds for all pairs within the radius.
+        Only pairs with a block within BLOCK_RADIUS are compared in full, which holds for all pairs
+        within RADIUS. Where a shingle repeats, in the window or the item, fingerprints tell less, and
+        the pair is a candidate whatever its distance.
         """
-        members, order, values = self.index[size]
-        mine = _block_values(bits)
-        met = np.zeros((len(bits), len(members)), bool)
-        for b in range(mine.shape[1]):
-            first = np.searchsorted(values[:, b], mine[:, b], "left")
-            count = np.searchsorted(values[:, b], mine[:, b], "right") - first
-            row = np.repeat(np.arange(len(bits)), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            met[row, order[np.repeat(first, count) + step, b]] = True
-        w, k = np.nonzero(met)
-        distance = (bits[w] != self.bits[members[k]]).sum(axis=1)
-        near = distance <= RADIUS
-        return w[near], members[k[near]], distance[near]
+        members, theirs, repeats = self.index[size]
+        mine, twice = _packed(window_bits(shingle, length)), repeating(shingle, length)
+        found = []
+        step = max(1, STRIP // len(members))
+        for a in range(0, len(mine), step):
+            own = mine[a : a + step]
+            met = twice[a : a + step, None] | repeats[None]
+            for k in range(BLOCKS):
+                met = met | (np.bitwise_count(own[:, k, None] ^ theirs[None, :, k]) <= BLOCK_RADIUS)
+            w, k = np.nonzero(met)
+            distance = np.bitwise_count(own[w] ^ theirs[k]).sum(axis=1, dtype=np.int64)
+            near = (distance <= RADIUS) | twice[a + w] | repeats[k]
+            found.append((a + w[near], members[k[near]], distance[near]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def matches(shingle: np.ndarray, items: Items) -> dict[int, tuple[float, int, int]]:
@@ -152,7 +170,7 @@ def matches(shingle: np.ndarray, items: Items) -> dict[int, tuple[float, int, in
         length = min(size, len(shingle))
         for first, last in _merged(sorted(own)):
             part = shingle[first : last + length]
-            w, item, distance = items.candidates(size, window_bits(part, length))
+            w, item, distance = items.candidates(size, part, length)
             for k in np.unique(item).tolist():
                 shared = overlaps(part, items.shingles[k], length)
                 at, d = w[item == k], distance[item == k]
@@ -176,35 +194,109 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _hits(texts: pa.Array, items: Items) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
+    """(row, its matches) for the rows that have any."""
+    hashes, _, cut = hashed_words(*text_buffers(texts))
+    everywhere = shingles(hashes)  # those across two texts are left out below
+    hot = items.anchors(everywhere)
+    for k in np.unique(np.searchsorted(cut, hot, "right") - 1).tolist():
+        if found := matches(everywhere[cut[k] : max(cut[k], cut[k + 1] - SHINGLE + 1)], items):
+            yield k, found
+
+
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
+
+
 def _search(rows: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows)
         for batch in blocks(batches):
-            hashes, _, cut = hashed_words(*text_buffers(batch.column("text")))
-            everywhere = shingles(hashes)  # those across two texts are left out below
-            hot = items.anchors(everywhere)
-            owners = np.unique(np.searchsorted(cut, hot, "right") - 1).tolist()
             ids = batch.column("doc_id")
-            out = []
-            for k in owners:
-                for item, (alike, start, distance) in sorted(matches(everywhere[cut[k] : max(cut[k], cut[k + 1] - SHINGLE + 1)], items).items()):
-                    out.append((ids[k].as_py(), items.ids[item], start, distance, alike))
+            out = [(ids[k].as_py(), items.ids[item], start, distance, alike) for k, found in _hits(batch.column("text"), items) for item, (alike, start, distance) in sorted(found.items())]
             if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
+                yield _found(out)
+
+    return run
+
+
+def _spare(rows: list[tuple[int, str]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(rows)
+        for batch in blocks(batches):
+            stays = np.ones(batch.num_rows, bool)
+            stays[[k for k, _ in _hits(batch.column("text"), items)]] = False
+            yield batch.filter(pa.array(stays))
+
+    return run
+
+
+def _sent(items: DataFrame) -> list[tuple[int, str]] | None:
+    """The items, if they are few enough to go to every task."""
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return [tuple(r) for r in items.collect()] if size <= SENT_BYTES else None
+
+
+def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's shingles of least hash, so many that a window alike by LEAST holds one of them."""
+    for batch in blocks(batches):
+        hashes, _, cut = hashed_words(*text_buffers(batch.column("text")))
+        everywhere = shingles(hashes)
+        owner, keys = [], []
+        for k in range(batch.num_rows):
+            own = everywhere[cut[k] : max(cut[k], cut[k + 1] - SHINGLE + 1)]
+            if len(own):
+                most = np.unique(np.sort(own)[: len(own) - int(np.ceil(len(own) * LEAST - 1e-9)) + 1])
+                owner += [k] * len(most)
+                keys.append(most)
+        yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(owner, pa.int64())), signed(np.concatenate([*keys, np.zeros(0, np.uint64)]))], ["item", "key"])
+
+
+def _doc_keys(bits: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        for batch in blocks(batches):
+            hashes, _, cut = hashed_words(*text_buffers(batch.column("text")))
+            everywhere = shingles(hashes)
+            place = np.flatnonzero(held[(everywhere % np.uint64(FILTER_BITS)).astype(np.int64)])
+            owner = np.searchsorted(cut, place, "right") - 1
+            inside = place + SHINGLE <= cut[owner + 1]
+            both = np.unique(np.stack([owner[inside].astype(np.uint64), everywhere[place[inside]]]), axis=1)
+            own = pa.array(both[0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("mark").take(own), signed(both[1])], ["id", "mark", "key"])
 
     return run
 
 
-def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    rows, size = [], 0
-    for item_id, text in items.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator():
-        rows.append((item_id, text))
-        size += len(text)
-        if size >= PASS_BYTES:
-            yield rows
-            rows, size = [], 0
-    yield rows
+def _filter_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        held[(batch.column("key").to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held, bitorder="little").tobytes()])], ["bits"])
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches):
+        out = []
+        for k, (doc_id, item_id, item) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item_id", "item_text")), strict=True)):
+            for _, found in _hits(batch.column("text").slice(k, 1), Items([(item_id, item)])):
+                out += [(doc_id, item_id, start, distance, alike) for alike, start, distance in found.values()]
+        if out:
+            yield _found(out)
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches of a benchmark that is too large to be sent about: texts meet the items whose shingles they share."""
+    known = items.withColumn("item", F.xxhash64("text"))
+    keys = materialize(known.select("item", "text").mapInArrow(kernel(_item_keys), "item long, key long").distinct(), "items")
+    held = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in keys.select("key").coalesce(8).mapInArrow(kernel(_filter_bits), "bits binary").toLocalIterator():
+        held |= np.frombuffer(row["bits"], np.uint8)
+    own = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("mark"))
+    met = own.mapInArrow(kernel(_doc_keys(held.tobytes())), "id long, mark long, key long").join(keys, "key").select("id", "mark", "item").distinct()
+    both = own.join(met, ["id", "mark"]).join(known.withColumnRenamed("text", "item_text"), "item")
+    return both.select("doc_id", "text", "item_id", "item_text").mapInArrow(kernel(_one_by_one), FOUND)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -214,15 +306,34 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     shorter). Words are runs of letters and digits in lower case (A-Z); a window matches if the
     Jaccard likeness of its five-word shingles to the item's, weighted by how often they occur, is
     LEAST or more. Of each item's windows the likest is returned, of equal ones the first; start is
-    its first word. Windows are found by SimHash within RADIUS. Items and texts under five words never
-    match; null texts neither; repeated rows repeat. Items are a query set, sent to the scan in blocks
-    of PASS_BYTES, each with a pass of its own over docs, which are not shuffled.
+    its first word. Windows that share a shingle with an item of their size are compared with it by
+    SimHash: those within RADIUS, found by blocks, and those in which a shingle repeats get the exact
+    likeness. Items and texts under five words never match; null texts neither; null ids stay; repeated
+    rows, of docs or items, repeat; no docs or no items give none; other columns are ignored.
+    Items of up to SENT_BYTES in all are sent to the scan of docs, which are not shuffled; of a larger
+    benchmark each item meets the texts that share one of its shingles, by a join.
     """
+    texts, known = _narrowed(docs, items)
+    rows = _sent(known)
+    return _joined(texts, known) if rows is None else texts.mapInArrow(kernel(_search(rows)), FOUND)
+
+
+def _narrowed(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    return reduce(DataFrame.unionByName, [texts.mapInArrow(kernel(_search(rows)), FOUND) for rows in _passes(items)])
+    return texts, items.select(F.col("item_id").cast("long"), "text").where("text is not null")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold a near copy of an item, by doc_id; all columns stay."""
-    hit = contaminated(docs, items).select(F.col("doc_id").alias("_benchmark_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_benchmark_hit")), "left_anti")
+    """The rows of docs whose texts hold no near copy of an item; all columns stay, whatever their names.
+
+    Rows are judged one by one, by the rule of ``contaminated``: a row goes for its own text only, never
+    for another of the same doc_id or without one. Null and empty texts stay; repeated rows share their
+    fate; without items, or with null ones only, all rows stay.
+    """
+    texts, known = _narrowed(docs, items)
+    rows = _sent(known)
+    if rows is not None:
+        return docs.mapInArrow(kernel(_spare(rows)), docs.schema)
+    marked = texts.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    hit = _joined(marked, known).select(F.col("doc_id").alias("_benchmark_hit")).distinct()
+    return docs.join(hit, F.xxhash64(docs["text"]) == hit["_benchmark_hit"], "left_anti")
