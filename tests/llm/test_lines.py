@@ -1,6 +1,7 @@
 """Line dedup: against DuckDB and on planted lines."""
 
 import duckdb
+import pytest
 
 from verispan.llm import lines, queries
 
@@ -46,3 +47,21 @@ def test_threshold_is_exact(spark):
             docs.append((n * 100 + k, f"before {n} {k} xxxxxxx\nshared line for {n} sites\nafter {n} {k} yyyyyyy", f"site{k}"))
     got = {r.doc_id: r.n_removed for r in lines.strip_boilerplate(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert got == {d[0]: int(d[0] // 100 >= lines.SITES) for d in docs}
+
+
+@pytest.mark.parametrize("size", [1, 3, 4, 10])
+def test_blocks_go_whole_and_copies_stay(spark, size):
+    notice = [f"line {k} of the notice that all sites carry" for k in range(size)]
+    story = [" ".join(f"story{k}x{j}" for j in range(20)) for k in range(10)]
+    rows = []
+    for k in range(12):
+        own = [f"what page {k} says by itself", f"and more of page {k}"]
+        rows += [(k, "\n".join([own[0], *notice, own[1]]), f"s{k}"), (100 + k, "\n".join(story), f"s{k}")]
+        rows += [(200 + k, "\n".join([*story[:4], f"edited sentence of copy {k}", *story[5:]]), f"s{k}")]
+        rows += [(300 + k, "\n".join(notice), f"s{k}")]
+    rows += [(400 + k, f"own text {k} of a page\nOn nine sites only", f"s{k}") for k in range(9)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.strip_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, text, _ in rows:
+        left = [x for x in text.split("\n") if x not in notice]
+        n = text.count("\n") + 1
+        assert got[i] == ("\n".join(left), n, n - len(left))
