@@ -40,10 +40,9 @@ def test_stage_matches_brute_force(spark):
     assert sorted(got) == sorted(set(groups.values()))
 
 
-@pytest.mark.parametrize("crowd", [0, shingles.CROWD])
-def test_planted(spark, monkeypatch, crowd):
-    monkeypatch.setattr(shingles, "CROWD", crowd)
-    monkeypatch.setattr(shingles, "SAMPLE", 1)
+@pytest.mark.parametrize("piece", [8, shingles.PIECE])
+def test_planted(spark, monkeypatch, piece):
+    monkeypatch.setattr(shingles, "PIECE", piece)
     rng = random.Random(4)
     passage = [f"p{k}" for k in range(30)]
     texts = [None, "", " \n", "One two", "one\ttwo", "one two three", "a b c d e " * 9]

@@ -73,9 +73,32 @@ def test_bit_sliced_pairs(radius):
                 x ^= 1 << rng.randrange(64)
             keys.append(key)
             fps.append(x)
-    i, j = simhash.near_pairs(np.array(keys), np.array(fps, np.uint64), radius)
-    want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if keys[a] == keys[b] and (fps[a] ^ fps[b]).bit_count() <= radius}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    i, j, d = simhash.near_pairs(np.array(keys), np.array(fps, np.uint64), radius)
+    want = {(a, b, (fps[a] ^ fps[b]).bit_count()) for a in range(len(fps)) for b in range(a + 1, len(fps)) if keys[a] == keys[b] and (fps[a] ^ fps[b]).bit_count() <= radius}
+    assert set(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == want
+
+
+def test_bit_sliced_pairs_of_wide_fingerprints(monkeypatch):
+    monkeypatch.setattr(simhash, "STRIP", 50)
+    rng = np.random.default_rng(1)
+    keys = np.repeat([3, 5, 9], [150, 1, 90])
+    base = rng.integers(0, 1 << 63, (241, 2), dtype=np.uint64)
+    base[rng.random(241) < 0.7] = base[0]
+    fps = base ^ (rng.integers(0, 1 << 63, (241, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (241, 2), dtype=np.uint64) & rng.integers(0, 1 << 63, (241, 2), dtype=np.uint64))
+    i, j, d = simhash.near_pairs(keys, fps, 30)
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2).astype(int)
+    want = {(a, b, far[a, b]) for a in range(241) for b in range(a + 1, 241) if keys[a] == keys[b] and far[a, b] <= 30}
+    assert 100 < len(want) < 10000 and set(zip(i.tolist(), j.tolist(), d.tolist(), strict=True)) == want
+    chosen = simhash.nearest_forest(241, i, j, d)
+    whole, part = simhash.forest(241, i, j), simhash.forest(241, i[chosen], j[chosen])
+    assert (whole == part).all() and len(chosen) == 241 - len(set(whole.tolist()))
+    weights, root = 0, list(range(241))
+    for x in np.argsort(d, kind="stable").tolist():
+        a, b = root[i[x]], root[j[x]]
+        if a != b:
+            weights += d[x]
+            root = [a if r == b else r for r in root]
+    assert weights == d[chosen].sum()
 
 
 def test_hot_bucket_is_split(spark, monkeypatch):

@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks, hex16, kernel, materialize, signed, spread, text_buffers
@@ -20,7 +19,8 @@ BUCKET = 2048
 RADIUS = 2
 #: Blocks of the 64 bits; any two of the five may differ within the radius, so three agree.
 PARTS = 5
-GAPS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+#: Words of 64 lanes, over all shifts, whose distances are added up at once.
+STRIP = 1 << 14
 
 
 def fingerprint(words: list[bytes], width: int = 3) -> int:
@@ -89,7 +89,7 @@ def links(fps: DataFrame) -> DataFrame:
     second = [masks(((1 << 64) - 1) ^ m, PARTS, PARTS - RADIUS) for m in first]
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_long(m)))).alias("key")) for t, m in enumerate(first)])
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    counted = keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
+    counted = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     finer = F.array(*[F.array(*[F.lit(_long(m)) for m in row]) for row in second])
     split = F.when(F.col("n") <= BUCKET, F.array("key")).otherwise(F.transform(F.get(finer, F.col("t")), lambda m: F.xxhash64("key", m, F.col("fp").bitwiseAND(m))))
     buckets = counted.select("fp", F.explode(split).alias("key"))
@@ -113,71 +113,120 @@ def _within_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _edges(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(keys) < 2:
         return
-    left, right = near_pairs(keys, fps.view(np.uint64))
+    left, right, _ = near_pairs(keys, fps.view(np.uint64))
     if len(left):
         root = forest(len(fps), left, right)
         child = np.flatnonzero(root != np.arange(len(fps)))
         yield pa.RecordBatch.from_arrays([pa.array(fps[child]), pa.array(fps[root[child]])], ["a", "b"])
 
 
-def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), i < j, with one key and at most ``radius`` (0 to 3) differing bits, bit-sliced.
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """Bit plane k, of the fingerprints' bit k, 64 fingerprints to a word; two words of zeros follow."""
+    n, size = len(fps), fps.shape[1] * 8
+    width = -(-n // 64)
+    raw = np.zeros((width * 64, size), np.uint8)
+    raw[:n] = np.ascontiguousarray(fps).view(np.uint8).reshape(n, size)
+    bits = np.packbits(np.unpackbits(raw, axis=1, bitorder="little"), axis=0, bitorder="little")
+    planes = np.zeros((size * 8, width + 2), np.uint64)
+    planes[:, :width] = np.ascontiguousarray(bits.T).view("<u8")
+    return planes
+
+
+class _Counters:
+    """Carry-save counters of a bit a lane and level, which start so that they overflow past the radius.
+
+    Inputs wait in pairs, so that a full adder takes two at once; overflows go to ``over`` for good.
+    """
 
-    Bit plane k holds bit k of all fingerprints, 64 to a word. For each distance between
-    the partners' places, the planes are compared with themselves shifted; three carry-save
-    counters a lane add the differing bits, and words whose lanes all exceed the radius or
-    belong to different buckets are abandoned after every few planes.
+    def __init__(self, over: np.ndarray, radius: int):
+        levels = int(radius).bit_length()
+        self.start = (1 << levels) - 1 - radius
+        self.over = over
+        self.sums = [np.full_like(over, np.uint64(0xFFFFFFFFFFFFFFFF) if self.start >> k & 1 else np.uint64(0)) for k in range(levels)]
+        self.waiting: list[np.ndarray | None] = [None] * levels
+
+    def add(self, bits: np.ndarray, level: int = 0) -> None:
+        if level == len(self.sums):
+            self.over |= bits
+        elif self.waiting[level] is None:
+            self.waiting[level] = bits
+        else:
+            other, self.waiting[level] = self.waiting[level], None
+            half = self.sums[level] ^ other
+            carry = self.sums[level] & other | half & bits
+            self.sums[level] = half ^ bits
+            self.add(carry, level + 1)
+
+    def settle(self) -> None:
+        for level, other in enumerate(self.waiting):
+            if other is not None:
+                self.waiting[level] = None
+                carry = self.sums[level] & other
+                self.sums[level] = self.sums[level] ^ other
+                self.add(carry, level + 1)
+
+    def keep(self, which: np.ndarray) -> None:
+        self.over, self.sums = self.over[which], [s[which] for s in self.sums]
+
+    def distances(self, word: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        total = np.full(len(word), -self.start, np.int64)
+        for level, s in enumerate(self.sums):
+            total += (s[word] >> lane.astype(np.uint64) & np.uint64(1)).astype(np.int64) << level
+        return total
+
+
+def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance), i < j, of pairs with one key and at most ``radius`` differing bits, bit-sliced.
+
+    keys are sorted; fps holds one or more 64-bit words a row. For each distance between the
+    partners' places the planes are compared with themselves shifted, and carry-save counters add up
+    the differing bits of 64 pairs at once. Words whose lanes all exceed the radius, or belong to
+    different buckets, are abandoned after every few planes.
     """
+    fps = fps.reshape(len(fps), -1)
     n = len(fps)
-    width = -(-n // 64)
-    planes = np.zeros((64, width + 1), np.uint64)
-    padded = np.zeros(width * 64, np.uint64)
-    padded[:n] = fps
-    for k in range(64):
-        planes[k, :width] = np.packbits((padded >> np.uint64(k) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
-    start = np.concatenate([[True], keys[1:] != keys[:-1]])
-    first = np.flatnonzero(start)
+    planes = bit_planes(fps)
+    width = planes.shape[1] - 2
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(first, n))
     left_over = np.repeat(first + size, size) - np.arange(n)  # rows from here to the bucket's end
-    found_i, found_j = [], []
+    dead, held, found = [], [], []
     for gap in range(1, int(size.max())):
         live = np.zeros(width * 64, bool)
         live[:n] = left_over > gap
         over = ~np.packbits(live, bitorder="little").view("<u8")
         words = np.flatnonzero(over != np.uint64(0xFFFFFFFFFFFFFFFF))
-        if not len(words):
-            break
-        over = over[words]
-        hop, bit = divmod(gap, 64)
-        ones, twos = np.zeros_like(over), np.zeros_like(over)
-        for k in range(64):
-            row = planes[k]
-            at = np.minimum(words + hop, width)
-            other = row[at]
-            if bit:
-                other = other >> np.uint64(bit) | row[np.minimum(at + 1, width)] << np.uint64(64 - bit)
-            differs = row[words] ^ other
-            carry = ones & differs
-            ones = ones ^ differs
-            over |= twos & carry
-            twos = twos ^ carry
-            if radius < 3 and k % 4 == 3 or k == 63:
-                beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else ones | twos if radius == 0 else np.uint64(0))
-                over = beyond
-                keep = beyond != np.uint64(0xFFFFFFFFFFFFFFFF)
-                if not keep.all():
-                    words, over, ones, twos = words[keep], over[keep], ones[keep], twos[keep]
-                    if not len(words):
-                        break
-        if len(words):
-            lanes = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            w, lane = np.nonzero(lanes)
-            i = words[w] * 64 + lane
-            found_i.append(i)
-            found_j.append(i + gap)
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+        dead.append(over[words])
+        held.append(np.stack([words, np.full(len(words), gap)]))
+        if sum(map(len, dead)) >= STRIP:
+            found.append(_compared(planes, np.concatenate(dead), np.concatenate(held, axis=1), radius))
+            dead, held = [], []
+    if dead:
+        found.append(_compared(planes, np.concatenate(dead), np.concatenate(held, axis=1), radius))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _compared(planes: np.ndarray, over: np.ndarray, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, gaps = at
+    counters = _Counters(over, radius)
+    every = 4 if radius < 8 else 16
+    low = words + gaps // 64
+    shift = (gaps % 64).astype(np.uint64)
+    for k, row in enumerate(planes):
+        high = row[low + 1] << np.uint64(1) << np.uint64(63) - shift  # a shift by 64 in two steps
+        counters.add(row[words] ^ (row[low] >> shift | high))
+        if k % every == every - 1:
+            counters.settle()
+            alive = counters.over != np.uint64(0xFFFFFFFFFFFFFFFF)
+            if np.count_nonzero(alive) < 0.75 * len(alive):
+                counters.keep(alive)
+                words, gaps, low, shift = words[alive], gaps[alive], low[alive], shift[alive]
+                if not len(words):
+                    break
+    lanes = np.unpackbits(np.ascontiguousarray(~counters.over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    w, lane = np.nonzero(lanes)
+    i = words[w] * 64 + lane
+    return i, i + gaps[w], counters.distances(w, lane)
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -198,6 +247,25 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = fresh
 
 
+def nearest_forest(n: int, left: np.ndarray, right: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Places of the pairs that join, nearest first, all of the n nodes that the pairs join (Boruvka's rounds)."""
+    order = np.lexsort((right, left, distance))
+    root, chosen = np.arange(n), []
+    while True:
+        a, b = root[left[order]], root[right[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *chosen]))
+        first = np.full(n, len(order))
+        for ends in (a, b):
+            nearest = np.full(n, len(order))
+            nearest[ends[::-1]] = np.arange(len(order))[::-1]  # of several, the first pair is written last
+            first = np.minimum(first, nearest)
+        pick = np.unique(first[first < len(order)])
+        chosen.append(order[pick])
+        root = forest(n, a[pick], b[pick])[root]
+
+
 def _named(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, mark, fp, component_id, root) of each row."""
     prints = materialize(fingerprints(docs, width), "simhash")
