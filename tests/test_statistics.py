@@ -72,16 +72,22 @@ def test_compare(spark):
         evaluation.compare(good, bad.withColumn("response_label", 1 - F.col("response_label")), TASKS, ("a", "b"))
 
 
-def test_bootstrap_forms_agree(spark):
+@pytest.mark.parametrize(("range_rows", "block", "cells"), [(1 << 20, 125, 1 << 19), (15, 5, 1)])
+def test_replicates_follow_the_draws(spark, monkeypatch, range_rows, block, cells):
+    for name, value in (("RANGE_ROWS", range_rows), ("BLOCK", block), ("CELLS", cells)):
+        monkeypatch.setattr(bootstrap, name, value)
     rng = np.random.default_rng(3)
-    rows = [("all", f"r{i // 5:03}", int(rng.integers(2)), float(rng.integers(20))) for i in range(200)]
-    df = spark.createDataFrame(rows, "scope string, response string, label int, score double")
-    relational = {r.rep: r.auc for r in bootstrap.bootstrap_auc(df, ["scope"], "response", 12, 5, F.col("scope")).collect()}
-    clusters = np.array([i // 5 for i in range(200)])
-    kernel = {r.rep: r.auc for r in bootstrap.bootstrap_kernel(spark, clusters, np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), 12, 5, "all").collect()}
-    assert relational.keys() == kernel.keys()
-    assert all(relational[k] == pytest.approx(kernel[k]) for k in kernel)
-    assert bootstrap.scope_seed(42, "QA") == int.from_bytes(__import__("hashlib").sha256(b"42:QA").digest()[:8], "little")
+    rows = [(g, f"r{i // 5:03}", int(rng.integers(2)), float(rng.integers(20))) for g in ("all", "b") for i in range(200 if g == "all" else 9)] + [("one", "r", 1, 2.0)]
+    bad = [("b", "r000", None, 3.0), ("b", "r001", 1, float("nan"))]
+    df = spark.createDataFrame(rows + bad, "scope string, response string, label int, score double")
+    got = {(r.scope, r.rep): r.auc for r in bootstrap.bootstrap_auc(df, "scope", "response", 12, 5).collect()}
+    sizes = spark.createDataFrame([("all", 40), ("b", 2), ("one", 1)], "scope string, n_clusters long")
+    weights = {(r.scope, r.rep, r.cluster_idx): r.w for r in bootstrap.draws(sizes, ["scope"], 12, 5, F.col("scope")).collect()}
+    assert sum(weights.values()) == 12 * 43 and len(got) == 36
+    for (scope, rep), area in got.items():
+        assert np.bincount(bootstrap.drawn(5, scope, rep, {"all": 40, "b": 2, "one": 1}[scope])).tolist()[0] == weights.get((scope, rep, 0), 0)
+        want = plain_auc([(y, s, weights.get((scope, rep, int(r[1:] or 0)), 0)) for g, r, y, s in rows if g == scope])
+        assert area == (want if want is None else pytest.approx(want))
 
 
 def frame(spark, split, scale=1.0):

@@ -1,40 +1,56 @@
-"""Response-cluster bootstrap: portable draws, relational and vectorized forms, intervals."""
+"""Response-cluster bootstrap: portable draws, replicates of AUCs, intervals."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .auc import roc_auc
+from ..functions.vectors import is_finite
+from .splits import in_total_order
 
-
-def scope_seed(seed: int, scope: str) -> int:
-    """The first eight bytes of SHA-256 of seed:scope as a little-endian number."""
-    return int.from_bytes(hashlib.sha256(f"{seed}:{scope}".encode()).digest()[:8], "little")
+#: Draws that one SHA-256 gives.
+WORDS = 8
+#: Replicates of a task, and (replicate, row) cells that it computes at once.
+BLOCK = 125
+CELLS = 1 << 19
+#: Rows that a range of scores should hold, and ranges at most.
+RANGE_ROWS = 1 << 20
+RANGES = 64
 
 
 def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int, scope: Column) -> DataFrame:
     """(by..., rep, cluster_idx, w): how often each cluster is drawn in each replicate.
 
-    clusters: by..., n_clusters, one row a group. Draw k of a replicate is a hash of seed, scope,
-    replicate and k modulo the number of clusters, so any engine can repeat it, in any order.
+    clusters: by..., n_clusters, one row a group. Draw k of a replicate is word k % 8 of the SHA-256 of
+    seed, scope, replicate and k // 8, modulo the number of clusters, so any engine can repeat it, in any order.
     """
     reps = clusters.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    spots = reps.withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("n_clusters") - 1).cast("int"))))
-    text = F.concat_ws(":", F.lit(str(seed)), scope, F.col("rep").cast("string"), F.col("pos").cast("string"))
-    drawn = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % F.col("n_clusters")
+    spots = reps.withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_clusters") - 1) / WORDS).cast("int"))))
+    spots = spots.withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(str(seed)), scope, F.col("rep").cast("string"), F.col("_at").cast("string")), 256))
+    words = F.array(*[F.conv(F.substring("_hash", 1 + 8 * k, 8), 16, 10).cast("bigint") % F.col("n_clusters") for k in range(WORDS)])
+    drawn = F.explode(F.slice(words, F.lit(1), F.least(F.lit(WORDS), (F.col("n_clusters") - WORDS * F.col("_at")).cast("int"))))
     return spots.withColumn("cluster_idx", drawn).groupBy(*by, "rep", "cluster_idx").agg(F.count("*").alias("w"))
 
 
+def drawn(seed: int, scope: str, rep: int, count: int) -> np.ndarray:
+    """The clusters that ``draws`` draws for a replicate, in order."""
+    digests = b"".join([hashlib.sha256(f"{seed}:{scope}:{rep}:{k}".encode()).digest() for k in range(-(-count // WORDS))])
+    return np.frombuffer(digests, ">u4")[:count].astype(np.int64) % count
+
+
 def cluster_index(tokens: DataFrame, by: list[str], response: str) -> DataFrame:
-    """(by..., response, cluster_idx): numbers from 0 in the order of response ids."""
-    return tokens.select(*by, response).distinct().withColumn("cluster_idx", (F.row_number().over(W.partitionBy(*by).orderBy(response)) - 1).cast("bigint"))
+    """(by..., response, cluster_idx, n_clusters): numbers from 0 in the order of response ids, without one task sorting a group."""
+    numbered = in_total_order(tokens.select(*by, response).distinct(), [F.col(c) for c in (*by, response)], "_number")
+    firsts = numbered.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_number").alias("_first"), F.count("*").alias("n_clusters"))
+    joined = numbered.join(firsts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]))
+    return joined.select(*by, response, (F.col("_number") - F.col("_first")).cast("bigint").alias("cluster_idx"), "n_clusters")
 
 
 def interval(values: DataFrame, by: list[str], value: str, confidence: float = 0.95) -> DataFrame:
@@ -44,17 +60,73 @@ def interval(values: DataFrame, by: list[str], value: str, confidence: float = 0
     return values.groupBy(*by).agg(both.alias("_ci"), F.count(value).alias("valid")).select(*by, F.col("_ci")[0].alias("ci_low"), F.col("_ci")[1].alias("ci_high"), "valid")
 
 
-def bootstrap_auc(tokens: DataFrame, by: list[str], response: str, replicates: int, seed: int, scope: Column, label: str = "label", score: str = "score") -> DataFrame:
-    """(by..., rep, auc): the weighted AUC of each replicate of response clusters.
+def intervals(values: DataFrame, named: dict[str, str], confidence: float) -> DataFrame:
+    """(scope, and for each value its limits and count), as ``interval`` has them; ``named`` has the counts' names."""
+    tail = (1 - confidence) / 2
+    both = {v: F.percentile(v, F.array(F.lit(tail), F.lit(1 - tail))) for v in named}
+    found = values.groupBy("scope").agg(*[both[v].alias(v) for v in named], *[F.count(v).alias(n) for v, n in named.items()])
+    return found.select("scope", *[c for v, n in named.items() for c in (F.col(v)[0].alias(f"{v}_ci_low"), F.col(v)[1].alias(f"{v}_ci_high"), F.col(n))])
+
+
+def bootstrap_auc(tokens: DataFrame, by: str, response: str, replicates: int, seed: int, label: str = "label", score: str = "score") -> DataFrame:
+    """(by, rep, auc): the weighted AUC of each replicate of response clusters; ``by`` is also the scope of the draws."""
+    index = cluster_index(tokens, [by], response)
+    rows = tokens.join(index, [by, response]).select(F.lit("").alias("kind"), F.col(by).alias("scope"), "cluster_idx", "n_clusters", F.col(label).alias("label"), F.col(score).alias("score"))
+    return replicated_auc(rows, replicates, seed).select(F.col("scope").alias(by), "rep", "auc")
+
+
+PARTS = "kind string, scope string, rep int, _range int, p double, n double, u double"
+
 
-    Tokens are summed up by (cluster, score) before they meet the draws, so what is multiplied by
-    the replicates is the distinct scores of a cluster.
+def replicated_auc(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(kind, scope, rep, auc) of each replicate; rows: kind, scope, cluster_idx, n_clusters, label, score.
+
+    The kinds of a scope share its draws. Rows with a null label or a score that isn't finite don't
+    count; a replicate with one class has a null auc. Rows are summed up by (cluster, score) and dealt
+    once by ranges of scores, equal ones together, and blocks of replicates. A task repeats the draws
+    of its block by their hashes and returns, for each replicate, its range's positives, negatives
+    and wins; prefix sums over the few ranges join them. So what is shuffled grows with the rows and
+    the blocks, not with the replicates.
     """
-    index = cluster_index(tokens, by, response)
-    joined = tokens.join(index, [*by, response]).groupBy(*by, "cluster_idx", score, label).agg(F.count("*").alias("_c"))
-    sizes = index.groupBy(*by).agg(F.count("*").alias("n_clusters"))
-    weighted = joined.join(draws(sizes, by, replicates, seed, scope), [*by, "cluster_idx"]).withColumn("_w", F.col("w") * F.col("_c"))
-    return roc_auc(weighted, [*by, "rep"], label, score, "_w", ranges=1).select(*by, "rep", "auc")
+    finite = F.col("score").cast("double")
+    kept = rows.where(F.col("label").isNotNull()).select("kind", "scope", "cluster_idx", "n_clusters", "label", finite.alias("_s")).where(is_finite("_s"))
+    positive = (F.col("label") == 1).cast("double")
+    sums = kept.groupBy("kind", "scope", "n_clusters", "cluster_idx", "_s").agg(F.sum(positive).alias("_p"), F.sum(1 - positive).alias("_n"))
+    cuts = sums.groupBy("kind", "scope").agg(F.percentile_approx("_s", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"), F.least(F.lit(RANGES), F.ceil(F.count("*") / RANGE_ROWS)).alias("_ranges"))
+    place = F.floor(F.size(F.filter("_cuts", lambda c: c < F.col("_s"))) * F.col("_ranges") / RANGES)
+    dealt = sums.join(cuts, ["kind", "scope"]).withColumn("_range", F.when(F.col("_ranges") == 1, 0).otherwise(place).cast("int")).drop("_cuts", "_ranges")
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BLOCK) - 1))))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        scope, block, at = key
+        count = int(group["n_clusters"].iloc[0])
+        sides = [(kind, *_sorted(own)) for kind, own in group.groupby("kind")]
+        step = max(1, CELLS // max(count, len(group)))
+        found = []
+        for low in range(block * BLOCK, min(replicates, (block + 1) * BLOCK), step):
+            reps = range(low, min(replicates, (block + 1) * BLOCK, low + step))
+            weights = np.stack([np.bincount(drawn(seed, scope, rep, count), minlength=count) for rep in reps]).astype(np.float64)
+            for kind, clusters, p, n, edge in sides:
+                w = weights[:, clusters]
+                positives, negatives = np.add.reduceat(w * p, edge, axis=1), np.add.reduceat(w * n, edge, axis=1)
+                wins = (positives * (np.cumsum(negatives, axis=1) - negatives / 2)).sum(axis=1)
+                found.append(pd.DataFrame({"kind": kind, "scope": scope, "rep": reps, "_range": at, "p": positives.sum(axis=1), "n": negatives.sum(axis=1), "u": wins}))
+        return pd.concat(found)
+
+    parts = dealt.groupBy("scope", "_block", "_range").applyInPandas(run, PARTS)
+    below = W.partitionBy("kind", "scope", "rep").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("u", F.col("u") + F.col("p") * F.coalesce(F.sum("n").over(below), F.lit(0.0)))
+    whole = parts.groupBy("kind", "scope", "rep").agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return whole.select("kind", "scope", "rep", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def _sorted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Clusters, positives and negatives in the order of scores, and where each score begins."""
+    scores = rows["_s"].to_numpy()
+    order = np.argsort(scores, kind="stable")
+    scores = scores[order]
+    edge = np.flatnonzero(np.concatenate([[True], scores[1:] != scores[:-1]]))
+    return rows["cluster_idx"].to_numpy()[order], rows["_p"].to_numpy()[order], rows["_n"].to_numpy()[order], edge
 
 
 def kernel_auc(labels: np.ndarray, scores: np.ndarray, weights: np.ndarray) -> float:
@@ -66,25 +138,3 @@ def kernel_auc(labels: np.ndarray, scores: np.ndarray, weights: np.ndarray) -> f
     p, n = np.add.reduceat(positive, edge), np.add.reduceat(negative, edge)
     below = np.cumsum(n) - n
     return float((p * (below + n / 2)).sum() / (p.sum() * n.sum()))
-
-
-def bootstrap_kernel(spark: SparkSession, clusters: np.ndarray, labels: np.ndarray, scores: np.ndarray, replicates: int, seed: int, scope: str) -> DataFrame:
-    """(rep, auc) of one group's tokens, sorted once and sent to all tasks; replicates run in parallel.
-
-    For a group whose tokens fit a task (an evaluation set), and many replicates; draws are those of ``draws``.
-    """
-    order = np.argsort(scores, kind="stable")
-    clusters, labels, scores = clusters[order], labels[order], scores[order]
-    count = int(clusters.max()) + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = []
-            for rep in batch["id"]:
-                drawn = [int(hashlib.sha256(f"{seed}:{scope}:{rep}:{k}".encode()).hexdigest()[:8], 16) % count for k in range(count)]
-                weights = np.bincount(drawn, minlength=count).astype(float)
-                values.append(kernel_auc(labels, scores, weights[clusters]))
-            out = pd.Series(values)
-            yield pd.DataFrame({"rep": batch["id"].astype("int32"), "auc": out.where(out.notna(), None)})
-
-    return spark.range(replicates).mapInPandas(run, "rep int, auc double")

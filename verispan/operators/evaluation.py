@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .auc import roc_auc, strict_mean
-from .bootstrap import bootstrap_auc, cluster_index, draws, interval
+from .bootstrap import cluster_index, intervals, replicated_auc
 from .checks import label_conflicts, label_disagreements, require_none
 
 OVERALL, MACRO = "Overall", "TaskMacro"
@@ -49,16 +51,25 @@ def point_aucs(tokens: DataFrame, tasks: list[str]) -> DataFrame:
     return both
 
 
+def _keyed(rows: DataFrame, tasks: list[str], label: str, score: str) -> DataFrame:
+    """(scope, response_key, label, score)."""
+    key = F.concat_ws("\0", "task", "response_id")
+    return scoped(rows.withColumn("response_key", key), tasks).select("scope", "response_key", F.col(label).alias("label"), F.col(score).alias("score"))
+
+
+def _replicates(sides: dict[str, DataFrame], index: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
+    """(scope, rep, a column of aucs a side), TaskMacro too: one draw of each scope's responses serves all sides."""
+    rows = [rows.select(F.lit(name).alias("kind"), "*") for name, rows in sides.items()]
+    rows = reduce(DataFrame.unionByName, rows).join(index, ["scope", "response_key"])
+    found = _with_macro(replicated_auc(rows, replicates, seed), tasks, ["kind", "rep"])
+    return found.groupBy("scope", "rep").agg(*[F.max(F.when(F.col("kind") == name, F.col("auc"))).alias(name) for name in sides])
+
+
 def replicate_aucs(tokens: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
     """(scope, rep, token_auc, response_auc): each scope's clusters are drawn on their own; TaskMacro
     averages the tasks' replicates."""
-    rows = scoped(tokens.withColumn("response_key", F.concat_ws("\0", "task", "response_id")), tasks)
-    token = bootstrap_auc(rows, ["scope"], "response_key", replicates, seed, F.col("scope"))
-    means = scoped(response_means(tokens).withColumn("response_key", F.concat_ws("\0", "task", "response_id")), tasks)
-    means = means.select("scope", "response_key", F.col("response_label").alias("label"), F.col("mean_score").alias("score"))
-    response = bootstrap_auc(means, ["scope"], "response_key", replicates, seed, F.col("scope"))
-    token, response = (_with_macro(x, tasks, ["rep"]) for x in (token, response))
-    return token.withColumnRenamed("auc", "token_auc").join(response.withColumnRenamed("auc", "response_auc"), ["scope", "rep"], "full")
+    sides = {"token_auc": _keyed(tokens, tasks, "label", "score"), "response_auc": _keyed(response_means(tokens), tasks, "response_label", "mean_score")}
+    return _replicates(sides, cluster_index(sides["response_auc"], ["scope"], "response_key"), tasks, replicates, seed)
 
 
 def check_bootstrap(replicates: int, confidence: float) -> None:
@@ -76,10 +87,7 @@ def evaluate(tokens: DataFrame, tasks: list[str], model: str, mode: str, replica
     require_none(label_conflicts(tokens, ["task", "response_id"], "response_label"), "responses with two labels")
     found = scope_counts(tokens, tasks).join(point_aucs(tokens, tasks), "scope", "left")
     if replicates:
-        reps = replicate_aucs(tokens, tasks, replicates, seed)
-        for name in ("token", "response"):
-            ci = interval(reps, ["scope"], f"{name}_auc", confidence).toDF("scope", f"{name}_auc_ci_low", f"{name}_auc_ci_high", f"{name}_bootstrap_valid")
-            found = found.join(ci, "scope", "left")
+        found = found.join(intervals(replicate_aucs(tokens, tasks, replicates, seed), {f"{x}_auc": f"{x}_bootstrap_valid" for x in ("token", "response")}, confidence), "scope", "left")
     return found.select(F.lit(model).alias("model"), F.lit(mode).alias("mode"), F.col("scope").alias("task"), *[c for c in found.columns if c != "scope"], F.lit(replicates).alias("bootstrap_samples"), F.lit(confidence).alias("confidence"))
 
 
@@ -88,24 +96,20 @@ def common_responses(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("task", "response_id").distinct().join(second.select("task", "response_id").distinct(), ["task", "response_id"])
 
 
-def paired_replicates(first: DataFrame, second: DataFrame, tasks: list[str], replicates: int, seed: int, label: str = "label", value: str = "score") -> DataFrame:
-    """(scope, rep, first_auc, second_auc, difference): one draw of responses serves both sides; a
-    replicate counts only where both are defined."""
-    key = F.concat_ws("\0", "task", "response_id")
-    a, b = (scoped(x.withColumn("response_key", key), tasks) for x in (first, second))
-    index = cluster_index(a, ["scope"], "response_key")
-    sizes = index.groupBy("scope").agg(F.count("*").alias("n_clusters"))
-    drawn = draws(sizes, ["scope"], replicates, seed, F.col("scope")).join(index, ["scope", "cluster_idx"])
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        counted = rows.groupBy("scope", "response_key", value, label).agg(F.count("*").alias("_c"))
-        weighted = counted.join(drawn, ["scope", "response_key"]).withColumn("_w", F.col("w") * F.col("_c"))
-        found = roc_auc(weighted, ["scope", "rep"], label, value, "_w", ranges=1).select("scope", "rep", "auc")
-        return _with_macro(found, tasks, ["rep"]).withColumnRenamed("auc", name)
-
-    both = side(a, "first_auc").join(side(b, "second_auc"), ["scope", "rep"])
-    whole = F.col("first_auc").isNotNull() & F.col("second_auc").isNotNull()
-    return both.select("scope", "rep", *[F.when(whole, F.col(c)).alias(c) for c in ("first_auc", "second_auc")], F.when(whole, F.col("first_auc") - F.col("second_auc")).alias("difference"))
+def paired_replicates(first: DataFrame, second: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
+    """(scope, rep, and for token and response first, second and difference): one draw of responses serves
+    both scorers; a replicate counts only where both are defined."""
+    means = [response_means(x) for x in (first, second)]
+    sides = {f"{name}_token_auc": _keyed(x, tasks, "label", "score") for name, x in (("first", first), ("second", second))}
+    sides |= {f"{name}_response_auc": _keyed(x, tasks, "response_label", "mean_score") for name, x in zip(("first", "second"), means, strict=True)}
+    index = cluster_index(sides["first_response_auc"], ["scope"], "response_key")
+    both = _replicates(sides, index, tasks, replicates, seed)
+    found = []
+    for level in ("token", "response"):
+        names = [f"{name}_{level}_auc" for name in ("first", "second")]
+        whole = F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull()
+        found += [F.when(whole, F.col(c)).alias(c) for c in names] + [F.when(whole, F.col(names[0]) - F.col(names[1])).alias(f"{level}_difference")]
+    return both.select("scope", "rep", *found)
 
 
 def compare(first: DataFrame, second: DataFrame, tasks: list[str], names: tuple[str, str], replicates: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
@@ -121,10 +125,7 @@ def compare(first: DataFrame, second: DataFrame, tasks: list[str], names: tuple[
     counts = scope_counts(first, tasks).select("scope", F.col("n_responses").alias("n_common_responses"))
     found = counts.join(points, "scope")
     if replicates:
-        means = [response_means(x).withColumns({"label": F.col("response_label"), "score": F.col("mean_score")}) for x in (first, second)]
-        for name, (a, b) in (("token", (first, second)), ("response", tuple(means))):
-            ci = interval(paired_replicates(a, b, tasks, replicates, seed), ["scope"], "difference", confidence)
-            found = found.join(ci.toDF("scope", f"{name}_difference_ci_low", f"{name}_difference_ci_high", f"{name}_bootstrap_valid"), "scope", "left")
+        found = found.join(intervals(paired_replicates(first, second, tasks, replicates, seed), {f"{x}_difference": f"{x}_bootstrap_valid" for x in ("token", "response")}, confidence), "scope", "left")
     return found.select(F.lit(names[0]).alias("first_model"), F.lit(names[1]).alias("second_model"), F.col("scope").alias("task"), *[c for c in found.columns if c != "scope"])
 
 

@@ -10,7 +10,7 @@ from .registry import EVENT_TASKS, FEATURE_TASKS, FEATURES, HEADS, LAYERS, TOKEN
 
 catalogue = Catalogue()
 query = catalogue.add
-REPS, SEED = 10, 42
+REPS, SEED = 1000, 42
 LISTED = in_list(EVENT_TASKS)
 
 
@@ -18,6 +18,15 @@ def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
+def nudged(df, *columns):
+    """Rounded, with ties of small fractions made to go up whatever the engine's order of operations."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-12, 9) for c in columns})
+
+
+def nudge(sql: str) -> str:
+    return sql.replace(", 9)", " + 1e-12, 9)")
+
+
 _R = "round(auc, 9) AS auc"
 
 
@@ -59,13 +68,14 @@ def scope_counts(spark, d):
 
 @query(f"WITH {TOKENS} SELECT task, response_id, row_number() OVER (PARTITION BY task ORDER BY response_id) - 1 AS cluster_idx FROM (SELECT DISTINCT task, response_id FROM tokens)")
 def cluster_index(spark, d):
-    return bootstrap.cluster_index(tokens(spark, d), ["task"], "response_id")
+    return bootstrap.cluster_index(tokens(spark, d), ["task"], "response_id").drop("n_clusters")
 
 
 def draws_sql(sizes: str, reps: int = REPS, seed: int = SEED) -> str:
     """SQL of draws for a relation (scope, n_clusters)."""
-    return f"""SELECT scope, rep, cluster_idx, count(*) AS w FROM (SELECT scope, rep, CAST('0x' || substr(sha256('{seed}:' || scope || ':' || rep || ':' || pos), 1, 8) AS BIGINT) % n_clusters AS cluster_idx
-  FROM (SELECT scope, n_clusters, rep, unnest(range(0, n_clusters)) AS pos FROM (SELECT *, unnest(range(0, {reps})) AS rep FROM {sizes}))) GROUP BY scope, rep, cluster_idx"""
+    return f"""SELECT scope, rep, cluster_idx, count(*) AS w FROM (SELECT scope, rep, CAST('0x' || substr(hash, 1 + 8 * CAST(word AS BIGINT), 8) AS BIGINT) % n_clusters AS cluster_idx
+  FROM (SELECT *, unnest(range(0, least(8, n_clusters - 8 * pos))) AS word FROM (SELECT *, sha256('{seed}:' || scope || ':' || rep || ':' || pos) AS hash
+  FROM (SELECT *, unnest(range(0, (n_clusters + 7) // 8)) AS pos FROM (SELECT *, unnest(range(0, {reps})) AS rep FROM {sizes}))))) GROUP BY scope, rep, cluster_idx"""
 
 
 _SIZES = "sizes AS (SELECT task AS scope, count(DISTINCT response_id) AS n_clusters FROM tokens GROUP BY task)"
@@ -78,26 +88,26 @@ def bootstrap_weights(spark, d):
 
 
 _BOOT = f"""{_SIZES}, idx AS (SELECT task AS scope, response_id, row_number() OVER (PARTITION BY task ORDER BY response_id) - 1 AS cluster_idx FROM (SELECT DISTINCT task, response_id FROM tokens)),
-  drawn AS ({draws_sql('sizes')}), weighted AS (SELECT t.task, d.rep, t.label, t.score, d.w FROM tokens t JOIN idx i ON i.scope = t.task AND i.response_id = t.response_id JOIN drawn d ON d.scope = i.scope AND d.cluster_idx = i.cluster_idx),
-  boot AS ({auc_sql('weighted', 'task, rep', weight='w')})"""
+  drawn AS MATERIALIZED ({draws_sql('sizes')}), weighted AS MATERIALIZED (SELECT t.task, d.rep, t.label, t.score, d.w FROM tokens t JOIN idx i ON i.scope = t.task AND i.response_id = t.response_id JOIN drawn d ON d.scope = i.scope AND d.cluster_idx = i.cluster_idx),
+  boot AS MATERIALIZED ({auc_sql('weighted', 'task, rep', weight='w')})"""
 
 
-@query(f"WITH {TOKENS}, {_BOOT} SELECT task, CAST(rep AS INT) AS rep, {_R} FROM boot")
+@query(nudge(f"WITH {TOKENS}, {_BOOT} SELECT task, CAST(rep AS INT) AS rep, {_R} FROM boot"))
 def bootstrap_auc(spark, d):
-    return rounded(bootstrap.bootstrap_auc(tokens(spark, d), ["task"], "response_id", REPS, SEED, F.col("task")), "auc")
+    return nudged(bootstrap.bootstrap_auc(tokens(spark, d), "task", "response_id", REPS, SEED), "auc")
 
 
-@query(f"WITH {TOKENS}, {_BOOT} SELECT task, round(quantile_cont(auc, 0.025), 9) AS ci_low, round(quantile_cont(auc, 0.975), 9) AS ci_high, count(auc) AS valid FROM boot GROUP BY task")
+@query(nudge(f"WITH {TOKENS}, {_BOOT} SELECT task, round(quantile_cont(auc, 0.025), 9) AS ci_low, round(quantile_cont(auc, 0.975), 9) AS ci_high, count(auc) AS valid FROM boot GROUP BY task"))
 def bootstrap_ci(spark, d):
-    reps = bootstrap.bootstrap_auc(tokens(spark, d), ["task"], "response_id", REPS, SEED, F.col("task"))
-    return rounded(bootstrap.interval(reps, ["task"], "auc", 0.95), "ci_low", "ci_high")
+    reps = bootstrap.bootstrap_auc(tokens(spark, d), "task", "response_id", REPS, SEED)
+    return nudged(bootstrap.interval(reps, ["task"], "auc", 0.95), "ci_low", "ci_high")
 
 
 _SCOPED = f"""keyed AS (SELECT *, task || chr(0) || response_id AS key FROM tokens),
   scoped_t AS (SELECT task AS scope, key, label, score, score_b FROM keyed WHERE task IN ({LISTED}) UNION ALL SELECT 'Overall', key, label, score, score_b FROM keyed),
   keys AS (SELECT scope, key, row_number() OVER (PARTITION BY scope ORDER BY key) - 1 AS cluster_idx FROM (SELECT DISTINCT scope, key FROM scoped_t)),
-  ksizes AS (SELECT scope, count(*) AS n_clusters FROM keys GROUP BY scope), kdrawn AS ({draws_sql('ksizes')}),
-  kweighted AS (SELECT t.scope, d.rep, t.label, t.score, t.score_b, d.w FROM scoped_t t JOIN keys k ON k.scope = t.scope AND k.key = t.key JOIN kdrawn d ON d.scope = k.scope AND d.cluster_idx = k.cluster_idx)"""
+  ksizes AS (SELECT scope, count(*) AS n_clusters FROM keys GROUP BY scope), kdrawn AS MATERIALIZED ({draws_sql('ksizes')}),
+  kweighted AS MATERIALIZED (SELECT t.scope, d.rep, t.label, t.score, t.score_b, d.w FROM scoped_t t JOIN keys k ON k.scope = t.scope AND k.key = t.key JOIN kdrawn d ON d.scope = k.scope AND d.cluster_idx = k.cluster_idx)"""
 
 
 def with_macro_sql(rows: str, by: str = "rep", value: str = "auc") -> str:
@@ -106,16 +116,16 @@ def with_macro_sql(rows: str, by: str = "rep", value: str = "auc") -> str:
     return f"SELECT scope, {group}{value} FROM {rows} UNION ALL SELECT 'TaskMacro', {group}CASE WHEN count({value}) = {len(EVENT_TASKS)} THEN avg({value}) END FROM {rows} WHERE scope IN ({LISTED}){tail}"
 
 
-_MACRO = f"{_SCOPED}, tok AS ({auc_sql('kweighted', 'scope, rep', weight='w')}), tokm AS ({with_macro_sql('tok')})"
+_MACRO = f"{_SCOPED}, tok AS MATERIALIZED ({auc_sql('kweighted', 'scope, rep', weight='w')}), tokm AS MATERIALIZED ({with_macro_sql('tok')})"
 
 
-@query(f"WITH {TOKENS}, {_MACRO} SELECT CAST(rep AS INT) AS rep, {_R} FROM tokm WHERE scope = 'TaskMacro'")
+@query(nudge(f"WITH {TOKENS}, {_MACRO} SELECT CAST(rep AS INT) AS rep, {_R} FROM tokm WHERE scope = 'TaskMacro'"))
 def macro_bootstrap(spark, d):
     reps = evaluation.replicate_aucs(tokens(spark, d), EVENT_TASKS, REPS, SEED)
-    return reps.where(F.col("scope") == evaluation.MACRO).select("rep", F.round("token_auc", 9).alias("auc"))
+    return reps.where(F.col("scope") == evaluation.MACRO).select("rep", F.round(F.col("token_auc") + 1e-12, 9).alias("auc"))
 
 
-_PAIRED = f"{_MACRO}, other AS ({auc_sql('kweighted', 'scope, rep', score='score_b', weight='w')}), otherm AS ({with_macro_sql('other')})"
+_PAIRED = f"{_MACRO}, other AS MATERIALIZED ({auc_sql('kweighted', 'scope, rep', score='score_b', weight='w')}), otherm AS MATERIALIZED ({with_macro_sql('other')})"
 
 
 def _sides(spark, d):
@@ -123,18 +133,19 @@ def _sides(spark, d):
     return rows, rows.drop("score").withColumnRenamed("score_b", "score")
 
 
-@query(f"WITH {TOKENS}, {_PAIRED} SELECT a.scope, CAST(a.rep AS INT) AS rep, round(a.auc, 9) AS first_auc, round(b.auc, 9) AS second_auc, round(a.auc - b.auc, 9) AS difference FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep WHERE a.scope <> 'TaskMacro'")
+@query(nudge(f"WITH {TOKENS}, {_PAIRED} SELECT a.scope, CAST(a.rep AS INT) AS rep, round(a.auc, 9) AS first_auc, round(b.auc, 9) AS second_auc, round(a.auc - b.auc, 9) AS difference FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep WHERE a.scope <> 'TaskMacro'"))
 def paired_bootstrap(spark, d):
     first, second = _sides(spark, d)
     reps = evaluation.paired_replicates(first, second, EVENT_TASKS, REPS, SEED).where(F.col("scope") != evaluation.MACRO)
-    return rounded(reps, "first_auc", "second_auc", "difference")
+    reps = reps.select("scope", "rep", F.col("first_token_auc").alias("first_auc"), F.col("second_token_auc").alias("second_auc"), F.col("token_difference").alias("difference"))
+    return nudged(reps, "first_auc", "second_auc", "difference")
 
 
-@query(f"WITH {TOKENS}, {_PAIRED} SELECT round(quantile_cont(a.auc - b.auc, 0.025), 9) AS ci_low, round(quantile_cont(a.auc - b.auc, 0.975), 9) AS ci_high, count(*) AS valid FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep WHERE a.scope = 'TaskMacro'")
+@query(nudge(f"WITH {TOKENS}, {_PAIRED} SELECT round(quantile_cont(a.auc - b.auc, 0.025), 9) AS ci_low, round(quantile_cont(a.auc - b.auc, 0.975), 9) AS ci_high, count(*) AS valid FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep WHERE a.scope = 'TaskMacro'"))
 def paired_macro_bootstrap(spark, d):
     first, second = _sides(spark, d)
     reps = evaluation.paired_replicates(first, second, EVENT_TASKS, REPS, SEED).where(F.col("scope") == evaluation.MACRO)
-    return rounded(bootstrap.interval(reps, ["scope"], "difference", 0.95), "ci_low", "ci_high").drop("scope")
+    return nudged(bootstrap.interval(reps, ["scope"], "token_difference", 0.95), "ci_low", "ci_high").drop("scope")
 
 
 @query(f"WITH {TOKENS}, a AS (SELECT DISTINCT task, response_id FROM tokens WHERE score > 100), b AS (SELECT DISTINCT task, response_id FROM tokens WHERE score <= 20) SELECT task, response_id FROM a JOIN b USING (task, response_id)")
@@ -158,37 +169,52 @@ def _evaluate_sql(subset: str | None = None) -> str:
 
 
 _RESP_BOOT = f"""rkeyed AS (SELECT scope, task || chr(0) || response_id AS key, response_label, mean_score FROM scoped),
-  rweighted AS (SELECT t.scope, d.rep, t.response_label, t.mean_score, d.w FROM rkeyed t JOIN keys k ON k.scope = t.scope AND k.key = t.key JOIN kdrawn d ON d.scope = k.scope AND d.cluster_idx = k.cluster_idx),
-  res AS ({auc_sql('rweighted', 'scope, rep', 'response_label', 'mean_score', 'w')}), resm AS ({with_macro_sql('res')})"""
-_EVALUATE = f"{_POINT}, tok AS ({auc_sql('kweighted', 'scope, rep', weight='w')}), tokm AS ({with_macro_sql('tok')}), {_RESP_BOOT}"
+  rweighted AS MATERIALIZED (SELECT t.scope, d.rep, t.response_label, t.mean_score, d.w FROM rkeyed t JOIN keys k ON k.scope = t.scope AND k.key = t.key JOIN kdrawn d ON d.scope = k.scope AND d.cluster_idx = k.cluster_idx),
+  res AS MATERIALIZED ({auc_sql('rweighted', 'scope, rep', 'response_label', 'mean_score', 'w')}), resm AS MATERIALIZED ({with_macro_sql('res')})"""
+_EVALUATE = f"{_POINT}, tok AS MATERIALIZED ({auc_sql('kweighted', 'scope, rep', weight='w')}), tokm AS MATERIALIZED ({with_macro_sql('tok')}), {_RESP_BOOT}"
 _CI = ("token_auc", "response_auc", "token_auc_ci_low", "token_auc_ci_high", "response_auc_ci_low", "response_auc_ci_high")
 
 
-@query(f"WITH {TOKENS}, {_EVALUATE} {_evaluate_sql()}")
+@query(nudge(f"WITH {TOKENS}, {_EVALUATE} {_evaluate_sql()}"))
 def evaluate(spark, d):
-    return rounded(evaluation.evaluate(tokens(spark, d), EVENT_TASKS, "events", "standard", REPS, SEED), *_CI)
+    return nudged(evaluation.evaluate(tokens(spark, d), EVENT_TASKS, "events", "standard", REPS, SEED), *_CI)
 
 
-@query(
+@query(nudge(
     f"""SELECT * FROM (WITH {TOKENS}, {_EVALUATE} {_evaluate_sql('all')}) UNION ALL
   SELECT * FROM (WITH {TOKENS.replace(' FROM events)', ' FROM events WHERE user_id % 4 <> 0)')}, {_EVALUATE} {_evaluate_sql('quality_good')})"""
-)
+))
 def evaluate_subsets(spark, d):
-    return rounded(evaluation.evaluate_subsets(tokens(spark, d), EVENT_TASKS, "events", "standard", replicates=REPS, seed=SEED), *_CI)
+    return nudged(evaluation.evaluate_subsets(tokens(spark, d), EVENT_TASKS, "events", "standard", replicates=REPS, seed=SEED), *_CI)
+
+
+_OTHER = """bmeans AS (SELECT task, response_id, avg(score_b) AS mean_score, max(response_label) AS response_label FROM tokens GROUP BY task, response_id),
+  bscoped AS (SELECT task AS scope, * FROM bmeans WHERE task IN ({LISTED}) UNION ALL SELECT 'Overall', * FROM bmeans),
+  bkeyed AS (SELECT scope, task || chr(0) || response_id AS key, response_label, mean_score FROM bscoped),
+  bweighted AS MATERIALIZED (SELECT t.scope, d.rep, t.response_label, t.mean_score, d.w FROM bkeyed t JOIN keys k ON k.scope = t.scope AND k.key = t.key JOIN kdrawn d ON d.scope = k.scope AND d.cluster_idx = k.cluster_idx)""".replace("{LISTED}", LISTED)
+
+
+def _difference_sql(first: str, second: str) -> str:
+    return f"SELECT a.scope, round(quantile_cont(a.auc - b.auc, 0.025), 9) AS low, round(quantile_cont(a.auc - b.auc, 0.975), 9) AS high, count(a.auc - b.auc) AS valid FROM {first} a JOIN {second} b ON a.scope = b.scope AND a.rep = b.rep GROUP BY a.scope"
 
 
-@query(f"""WITH {TOKENS}, {_POINT}, tok AS ({auc_sql('kweighted', 'scope, rep', weight='w')}), tokm AS ({with_macro_sql('tok')}),
-  other AS ({auc_sql('kweighted', 'scope, rep', score='score_b', weight='w')}), otherm AS ({with_macro_sql('other')}),
-  qt AS ({auc_sql('scoped_t', 'scope', score='score_b')}), qtm AS ({with_macro_sql('qt', '')}), ci AS (SELECT a.scope, round(quantile_cont(a.auc - b.auc, 0.025), 9) AS low, round(quantile_cont(a.auc - b.auc, 0.975), 9) AS high, count(*) AS valid
-    FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep GROUP BY a.scope)
-  SELECT c.scope AS task, c.n_responses AS n_common_responses, round(a.auc, 9) AS first_token_auc, round(b.auc, 9) AS second_token_auc, round(a.auc - b.auc, 9) AS token_difference,
-  ci.low AS token_difference_ci_low, ci.high AS token_difference_ci_high, ci.valid AS token_bootstrap_valid
-  FROM all_counts c JOIN ptm a ON a.scope = c.scope JOIN qtm b ON b.scope = c.scope JOIN ci ON ci.scope = c.scope""")
+@query(nudge(f"""WITH {TOKENS}, {_EVALUATE}, {_OTHER},
+  other AS MATERIALIZED ({auc_sql('kweighted', 'scope, rep', score='score_b', weight='w')}), otherm AS MATERIALIZED ({with_macro_sql('other')}),
+  bres AS MATERIALIZED ({auc_sql('bweighted', 'scope, rep', 'response_label', 'mean_score', 'w')}), bresm AS MATERIALIZED ({with_macro_sql('bres')}),
+  qt AS ({auc_sql('scoped_t', 'scope', score='score_b')}), qtm AS ({with_macro_sql('qt', '')}),
+  qr AS ({auc_sql('bscoped', 'scope', 'response_label', 'mean_score')}), qrm AS ({with_macro_sql('qr', '')}),
+  ci AS ({_difference_sql('tokm', 'otherm')}), rci AS ({_difference_sql('resm', 'bresm')})
+  SELECT 'value' AS first_model, 'scaled' AS second_model, c.scope AS task, c.n_responses AS n_common_responses,
+  round(a.auc, 9) AS first_token_auc, round(b.auc, 9) AS second_token_auc, round(a.auc - b.auc, 9) AS token_difference,
+  round(r.auc, 9) AS first_response_auc, round(s.auc, 9) AS second_response_auc, round(r.auc - s.auc, 9) AS response_difference,
+  ci.low AS token_difference_ci_low, ci.high AS token_difference_ci_high, ci.valid AS token_bootstrap_valid,
+  rci.low AS response_difference_ci_low, rci.high AS response_difference_ci_high, rci.valid AS response_bootstrap_valid
+  FROM all_counts c JOIN ptm a ON a.scope = c.scope JOIN qtm b ON b.scope = c.scope JOIN prm r ON r.scope = c.scope JOIN qrm s ON s.scope = c.scope
+  JOIN ci ON ci.scope = c.scope JOIN rci ON rci.scope = c.scope"""))
 def compare(spark, d):
     first, second = _sides(spark, d)
     found = evaluation.compare(first, second, EVENT_TASKS, ("value", "scaled"), REPS, SEED)
-    names = ["n_common_responses", "first_token_auc", "second_token_auc", "token_difference", "token_difference_ci_low", "token_difference_ci_high", "token_bootstrap_valid"]
-    return rounded(found.select("task", *names), *[n for n in names if "auc" in n or "difference" in n])
+    return nudged(found, *[n for n in found.columns if "auc" in n or "difference" in n])
 
 
 @query("SELECT task, low, high, CASE WHEN high = low THEN 0 ELSE round((v - low) / (high - low), 9) END AS scaled, id FROM (SELECT lang AS task, doc_id AS id, n_chars AS v, min(n_chars) OVER (PARTITION BY lang) AS low, max(n_chars) OVER (PARTITION BY lang) AS high FROM documents)")
