@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verispan import cli
 from verispan.operators.calibration import Calibration, Scale
-from verispan.plans.stages import Run
+from verispan.plans.stages import Run, decoder_of
 from verispan.scoring.decoder import Decoder, Shape, disks, sample_ids
 from verispan.scoring.protocol import PieceTokenizer, align
 from verispan.sources import artifacts
@@ -59,6 +59,13 @@ def test_copy_head_figures():
     assert sample_ids(50, 10, 2024) == sample_ids(50, 10, 2024) and len(set(sample_ids(50, 10, 2024))) == 10
 
 
+def test_chunks_change_nothing():
+    ids, at = np.arange(40) * 13, np.arange(20, 39)
+    whole = Decoder(token_chunk=1000).score(ids, at, np.arange(5, 15), 20)
+    parts = Decoder(token_chunk=4, vocab_chunk=100).score(ids, at, np.arange(5, 15), 20)
+    assert whole.keys() == parts.keys() and all(np.allclose(whole[k], parts[k]) for k in whole)
+
+
 def test_json_forms():
     assert artifacts.plain({"a": {3, 1}, "b": np.float64("nan"), "c": np.arange(2), "d": (1, None)}) == {"a": [1, 3], "b": None, "c": [0, 1], "d": [1, None]}
     held = artifacts.sealed({"x": 1})
@@ -103,6 +110,61 @@ def test_feature_table(spark, tmp_path):
     assert other.read("test").count() == 2  # a manifest that was changed doesn't count
 
 
+def test_changed_rows_are_refused(spark, tmp_path):
+    store = artifacts.Store(spark, str(tmp_path))
+    table = artifacts.FeatureTable(store, "features", {"v": 1})
+    rows = spark.createDataFrame([(str(i), 0, float(i)) for i in range(4)], "response_id string, token_index int, score double")
+    table.append(rows, "test")
+    assert table.read("test").count() == 4
+    batch = next(n for n in store.names("features") if not n.endswith(".json"))
+    rows.withColumn("score", F.col("score") + 1).write.mode("overwrite").parquet(store.at(f"features/{batch}"))
+    fresh = artifacts.FeatureTable(artifacts.Store(spark, str(tmp_path)), "features", {"v": 1})
+    for use in (lambda: fresh.read("test"), lambda: fresh.pending(rows, "test"), lambda: fresh.require(rows, "test")):
+        with pytest.raises(artifacts.IntegrityError, match="manifest"):
+            use()
+
+
+def test_adoption_needs_equal_rows(spark, tmp_path):
+    store = artifacts.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(str(i), 0, float(i)) for i in range(4)], "response_id string, token_index int, score double")
+    artifacts.FeatureTable(store, "features", {"v": 1}).append(rows, "test")
+    equal, other = artifacts.FeatureTable(store, "equal", {"v": 2}), artifacts.FeatureTable(store, "other", {"v": 2})
+    equal.append(rows.where("response_id = '1'"), "test")
+    other.append(rows.where("response_id = '1'").withColumn("score", F.lit(9.0)), "test")
+    with pytest.raises(ValueError, match="rows differ"):
+        artifacts.migrate(store, "features", {"v": 2}, apply=True, proof=other)
+    assert len(artifacts.migrate(store, "features", {"v": 2}, apply=True, proof=equal)) == 1
+
+
+def test_publishing_replaces_whole_files(spark, tmp_path):
+    store = artifacts.Store(spark, str(tmp_path))
+    for data in (b"one", b"two"):
+        store.write("a/x.json", data)
+        assert store.read("a/x.json") == data and [n for n in store.names("a") if not n.endswith(".crc")] == ["x.json"]
+
+
+def test_canonical_digest_of_files(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(artifacts, "PIECE", 3)
+    data = b"a\r\nbc\r\n\rd \r\n  e\r"
+    for name, raw in (("x", data), ("y", data.replace(b"\r\n", b"\n")), ("z", data[::-1])):
+        (tmp_path / name).write_bytes(raw)
+    assert artifacts.canonical_digest(spark, str(tmp_path / "x")) == artifacts.canonical_digest(spark, str(tmp_path / "y")) == hashlib.sha256(data.replace(b"\r\n", b"\n")).hexdigest()
+    assert artifacts.canonical_digest(spark, str(tmp_path / "z")) != artifacts.canonical_digest(spark, str(tmp_path / "x"))
+
+
+def test_dataset_digest_sees_order_and_blanks(spark, tmp_path):
+    path = experiment(tmp_path)
+    first = Run(spark, load_config(path)).dataset_digest()
+    lines = (tmp_path / "r.jsonl").read_text().splitlines(True)
+    seen = {first}
+    for text in ("".join(lines[::-1]), "".join(lines)[:-1] + " \n", "".join(lines).replace("\n", "\r\n")):
+        (tmp_path / "r.jsonl").write_bytes(text.encode())
+        seen.add(Run(spark, load_config(path)).dataset_digest())
+    assert len(seen) == 3  # CRLF is the same
+
+
 def experiment(tmp_path, **more):
     tasks = {"QA": {"question": "q", "passages": "red fox ran"}, "Data2txt": {"name": "A", "open": True}, "Summary": "red fox ran"}
     contexts = {"QA": "red fox ran", "Data2txt": repr(tasks["Data2txt"]), "Summary": "red fox ran"}
@@ -162,7 +224,12 @@ def test_compare_stage(spark, tmp_path):
     report = run.run_all()
     assert set(report["rows"]) == {"a", "b"}
     rows = spark.read.parquet(run.store.at("try/comparisons/a_vs_b/metrics.parquet"))
-    assert rows.count() == 10 and rows.where("abs(token_difference) > 1e-12").count() == 0
+    assert rows.count() == 10 and rows.where("abs(token_difference) > 1e-12").count() > 0  # each key has a scorer of its own
+    assert json.loads(run.store.read("try/comparisons/a_vs_b/metrics.json"))["metadata"].keys() >= {"config", "dataset", "features", "environment", "commit"}
+    same = {k: decoder_of(Shape(), 3) for k in "ab"}
+    run = Run(spark, load_config(experiment(tmp_path, name="same", extraction={"copying_candidate_count": 2, "copying_vocab_sample_size": 20, "jsd_modes": ["standard"]})), decoders=same)
+    run.run_all()
+    assert spark.read.parquet(run.store.at("same/comparisons/a_vs_b/metrics.parquet")).where("abs(token_difference) > 1e-12").count() == 0
 
 
 @pytest.mark.parametrize(

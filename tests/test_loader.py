@@ -9,7 +9,7 @@ from verispan.operators import spans, splits
 from verispan.sources import ragjson
 from pyspark.sql import functions as F
 
-RECORD = {"name": "A", "open": True, "value": None}
+RECORD = {"place": "Old Mill", "seats": 12, "closed": None, "music": False}
 
 
 def write(path, rows):
@@ -22,7 +22,7 @@ def label(start, end, text, kind="a", **flags):
 
 
 def response(id, source, labels=(), **more):
-    return {"id": id, "source_id": source, "model": "m", "split": "train", "quality": "good", "response": "ABCDE", "labels": list(labels), **more}
+    return {"id": id, "source_id": source, "model": "m", "split": "train", "quality": "good", "response": "gulls", "labels": list(labels), **more}
 
 
 def sources():
@@ -38,10 +38,10 @@ def load(spark, tmp_path, responses, source=None, **options):
 
 
 def test_load(spark, tmp_path):
-    rows = [response("10", "1"), "\n", response("9", "1", split="test"), response("2", "1"), response("a", "0", [label(2, 4, "CD", "b"), label(1, 3, "BC", "a", implicit_true=True)]), response("3", "2"), response("9", "x", model="other")]
+    rows = [response("10", "1"), "\n", response("9", "1", split="test"), response("2", "1"), response("a", "0", [label(2, 4, "ll", "b"), label(1, 3, "ul", "a", implicit_true=True)]), response("3", "2"), response("9", "x", model="other")]
     got = load(spark, tmp_path, rows)
     assert [r.response_id for r in got] == ["2", "10", "3", "a", "9"]
-    assert [tuple(s) for s in got[3].spans] == [(1, 4, "BCD", "a | b", True, False)]
+    assert [tuple(s) for s in got[3].spans] == [(1, 4, "ull", "a | b", True, False)]
     assert [r.response_label for r in got] == [0, 0, 0, 1, 0]
     assert load(spark, tmp_path, rows, tasks=("QA",), splits=("train",))[0].prompt.startswith("do")
 
@@ -50,7 +50,7 @@ def test_load(spark, tmp_path):
     "rows, message",
     [
         ([response("1", "0", [label(1, 3, "xx")])], "spans"),
-        ([response("1", "0", [label(3, 9, "DE")])], "spans"),
+        ([response("1", "0", [label(3, 9, "ls")])], "spans"),
         ([response("1", "0", [label(3, 3, "")])], "spans"),
         ([response("1", "0"), response("1", "1")], "duplicate"),
         ([response("1", "7")], "without a source"),
@@ -74,6 +74,18 @@ def test_bad_sources(spark, tmp_path):
         load(spark, tmp_path, [response("1", "0")], tasks=("Other",))
 
 
+@pytest.mark.parametrize("line, message", [("{bad", "line 4"), ("[1]", "line 4"), ('{"source_id": "9", "prompt": 5}', "line 4"), ('{"source_id": "9", "prompt": ["x"]}', "text prompt")])
+def test_source_lines_are_checked(spark, tmp_path, line, message):
+    with pytest.raises(ValueError, match=message):
+        load(spark, tmp_path, [response("1", "0")], [json.dumps(x) + "\n" for x in sources()] + [line + "\n"])
+
+
+def test_numbers_of_any_length_are_in_order(spark):
+    names = ["9" * 45, "10", "9", "007", "7", "1" + "0" * 45, "a", "0", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(*texts.natural_key("n"))
+    assert [r.n for r in rows.collect()] == ["0", "007", "7", "9", "10", "9" * 45, "1" + "0" * 45, "", "a"]
+
+
 def test_locate(spark):
     rows = spark.createDataFrame([("aXaXa", "aXa"), ("😀bc", "c"), ("abc", "x"), ("abab", "ab")], "t string, p string")
     assert [tuple(r.u) for r in rows.select(texts.locate_unique("t", "p").alias("u")).collect()] == [(None, None, "ambiguous"), (2, 3, "ok"), (None, None, "missing"), (None, None, "ambiguous")]

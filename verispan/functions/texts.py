@@ -47,10 +47,11 @@ def safe_name(name: Column | str) -> Column:
 
 
 def natural_key(value: Column | str) -> list[Column]:
-    """Sort keys that put numbers first, by value, then other texts."""
+    """Sort keys that put numbers first, by value, then other texts. Numbers may have any number of digits."""
     value = _col(value)
     number = value.rlike("^[0-9]+$")
-    return [F.when(number, 0).otherwise(1), F.when(number, value.cast("decimal(38,0)")), value]
+    digits = F.when(number, F.regexp_replace(value, "^0+", ""))
+    return [F.when(number, 0).otherwise(1), F.length(digits), digits, value]
 
 
 def pieces(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 import json
-from collections.abc import Callable, Iterator
+import pathlib
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..doctor import commit, versions
 from ..operators import evaluation, splits
 from ..operators.attention import rank_copy_heads
 from ..operators.calibration import Calibration, apply_calibration, float_grid, search_calibration
-from ..operators.checks import require_none
 from ..scoring.decoder import Decoder, Shape, sample_ids
 from ..scoring.protocol import PieceTokenizer, Tokenizer, align
-from ..sources.artifacts import VERSION, FeatureTable, IntegrityError, Store, json_digest, safe_name, write_results
+from ..sources.artifacts import VERSION, FeatureTable, IntegrityError, Store, canonical_digest, canonical_newlines, file_digest, json_digest, safe_name, write_results
 from ..sources.config import Experiment
 from ..sources.ragjson import load_examples
 
@@ -35,12 +35,24 @@ METADATA = (
 class Run:
     """One experiment: its configuration, its store, and how to make tokenizers and scorers.
 
-    ``tokenizer`` and ``decoder`` are made once a Python worker, so a real model loads once an executor core.
+    Each model key has a tokenizer and a scorer of its own, made once a Python worker, so a real model
+    loads once an executor core. ``tokenizers`` and ``decoders`` map keys to their makers; a decoder's maker
+    takes what ``_scorer`` passes. A key without one gets the plain tokenizer, or a numpy decoder seeded by
+    its configured path.
     """
 
-    def __init__(self, spark: SparkSession, config: Experiment, tokenizer: Callable[[], Tokenizer] = PieceTokenizer, decoder: Callable[..., Decoder] = Decoder):
-        self.spark, self.config, self.tokenizer, self.decoder = spark, config, tokenizer, decoder
+    def __init__(self, spark: SparkSession, config: Experiment, tokenizers: Mapping[str, Callable[[], Tokenizer]] | None = None, decoders: Mapping[str, Callable[..., Decoder]] | None = None):
+        self.spark, self.config, self.tokenizers, self.decoders = spark, config, dict(tokenizers or {}), dict(decoders or {})
         self.store = Store(spark, config.output_dir)
+        self._digests: dict[tuple, str] = {}
+
+    def decoder(self, key: str) -> Callable[..., Decoder]:
+        model = self.config.model(key)
+        return self.decoders.get(key) or functools.partial(Decoder, Shape(), int(json_digest([key, model.path])[:8], 16))
+
+    def tokenizer(self, key: str) -> Callable[[], Tokenizer]:
+        self.config.model(key)
+        return self.tokenizers.get(key, PieceTokenizer)
 
     def folder(self, key: str) -> str:
         return f"{safe_name(self.config.name)}/{safe_name(key)}"
@@ -54,19 +66,37 @@ class Run:
         return splits.partitions(self.examples(), self.config.dataset.dev_per_task, self.config.dataset.split_seed)
 
     def dataset_digest(self) -> str:
-        """A digest of both input files, the same for LF and CRLF copies."""
+        """A digest of both input files, byte by byte, but the same for LF and CRLF copies; read once for each state of the files."""
         d = self.config.dataset
-        whole = hashlib.sha256()
+        jvm, found = self.spark._jvm.org.apache.hadoop.fs, []
         for path in (d.response_path, d.source_path):
-            lines = self.spark.read.text(path).select(F.sha2(F.rtrim(F.regexp_replace("value", "\r$", "")), 256).alias("h"))
-            row = lines.agg(F.count("*").alias("n"), F.sha2(F.concat(F.coalesce(F.sum(F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")), 256).alias("digest")).first()
-            whole.update(f"{row['n']}:{row['digest']}".encode())
-        return whole.hexdigest()
+            where = jvm.Path(path)
+            at = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(where)
+            state = (path, at.getLen(), at.getModificationTime())
+            if state not in self._digests:
+                self._digests[state] = canonical_digest(self.spark, path)
+            found.append(self._digests[state])
+        return json_digest(found)
 
     def depends(self, key: str, heads: list | None = None) -> dict:
-        held = {"version": VERSION, "dataset": self.dataset_digest(), "extraction": asdict(self.config.extraction), "system_prompt": self.config.dataset.system_prompt, "model": asdict(self.config.model(key))}
+        held = {"version": VERSION, "implementation": implementation(), "dataset": self.dataset_digest(), "files": self._model_files(key), "extraction": asdict(self.config.extraction), "system_prompt": self.config.dataset.system_prompt, "model": asdict(self.config.model(key))}
         return held | ({"heads": json_digest(heads)} if heads is not None else {})
 
+    def _model_files(self, key: str) -> dict[str, str]:
+        """SHA-256 of a scorer's checkpoint and tokenizer files, read once for each state of the files; none where a path doesn't exist."""
+        jvm, found = self.spark._jvm.org.apache.hadoop.fs, {}
+        model = self.config.model(key)
+        for path in sorted({model.path, model.tokenizer_path or model.path}):
+            where = jvm.Path(path)
+            files = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for at in files.listStatus(where) if files.exists(where) else ():
+                state = (at.getPath().toString(), at.getLen(), at.getModificationTime())
+                if at.isFile():
+                    if state not in self._digests:
+                        self._digests[state] = file_digest(self.spark, state[0])
+                    found[state[0]] = self._digests[state]
+        return found
+
     # Stages
 
     def audit(self, strict: bool = True) -> dict:
@@ -90,7 +120,7 @@ class Run:
             held = self.store.read_manifest(name)
             if held["depends"] == json.loads(json.dumps(depends)):
                 return [tuple(h) for h in held["heads"]]
-        model = self.decoder()
+        model = self.decoder(key)()
         size = model.shape.vocabulary
         rows = rank_copy_heads(self.spark.createDataFrame(pd.DataFrame(model.discover_copy_heads(min(x.copying_vocab_sample_size, size), x.copying_seed)))).orderBy("copying_rank")
         rows.write.mode("overwrite").parquet(self.store.at(f"{self.folder(key)}/copy_heads.parquet"))
@@ -118,14 +148,17 @@ class Run:
         rows = table.pending(rows, split)
         if limit is not None:
             rows = rows.orderBy(*splits.natural_key("response_id")).limit(limit)
-        done = table.append(extract_features(rows, self.tokenizer, self._scorer(heads), self.config.dataset.system_prompt, self.config.model(key).max_length), split)
+        done = table.append(extract_features(rows, self.tokenizer(key), self._scorer(key, heads), self.config.dataset.system_prompt, self.config.model(key).max_length), split)
         if table.pending(whole.select("response_id"), split).isEmpty():
             self.store.write_manifest(f"{table.folder}/{split}.split.json", {"split": split, "responses": whole.count(), "depends": table.depends, "features": table.fingerprint(split)})
         return done["artifact"]["rows"] if done else 0
 
-    def _scorer(self, heads: list[tuple[int, int]]) -> Callable[[], Decoder]:
+    def _scorer(self, key: str, heads: list[tuple[int, int]]) -> Callable[[], Decoder]:
         x = self.config.extraction
-        return functools.partial(self.decoder, copy_heads=heads, fraction=x.context_top_fraction, modes=x.jsd_modes, whole_prefix=x.include_legacy_whole_prefix_ecs)
+        return functools.partial(
+            self.decoder(key), copy_heads=heads, fraction=x.context_top_fraction, modes=x.jsd_modes, whole_prefix=x.include_legacy_whole_prefix_ecs,
+            token_chunk=x.token_chunk_size, vocab_chunk=x.vocab_chunk_size,
+        )
 
     def _grids(self, heads: int, layers: int) -> dict:
         c = self.config.calibration
@@ -170,9 +203,14 @@ class Run:
             made = evaluation.evaluate_subsets(rows, tasks, key, mode, **self._options())
             frames.append(made if self.config.evaluation.include_quality_good_sensitivity else made.where("subset = 'all'"))
         metrics = self._kept(frames, f"{self.folder(key)}/evaluation")
-        write_results(self.store, f"{self.folder(key)}/evaluation", metrics, {"config": self.config.digest(), "model": key}, f"Evaluation of {key}")
+        write_results(self.store, f"{self.folder(key)}/evaluation", metrics, self._metadata(models=[key]), f"Evaluation of {key}")
         return metrics
 
+    def _metadata(self, models: list[str]) -> dict:
+        """What results depend on: configuration, data, features and environment."""
+        held = {m: FeatureTable(self.store, f"{self.folder(m)}/features", self.depends(m, self.discover_heads(m))).fingerprint(*EVAL_SPLITS) for m in models}
+        return {"config": self.config.digest(), "dataset": self.dataset_digest(), "models": models, "features": held, "environment": versions(self), "commit": commit()}
+
     def _kept(self, frames: list[DataFrame], folder: str) -> DataFrame:
         whole = frames[0]
         for other in frames[1:]:
@@ -193,7 +231,7 @@ class Run:
                 frames.append(evaluation.tag(made, subset=subset, mode=mode))
         folder = f"{safe_name(self.config.name)}/comparisons/{safe_name(f'{first}_vs_{second}')}"
         metrics = self._kept(frames, folder)
-        write_results(self.store, folder, metrics, {"config": self.config.digest(), "models": [first, second]}, f"{first} against {second}")
+        write_results(self.store, folder, metrics, self._metadata(models=[first, second]), f"{first} against {second}")
         return metrics
 
     def run_all(self, models: list[str] | None = None, force: bool = False) -> dict:
@@ -249,11 +287,12 @@ def _probe(tokenizer: Callable[[], Tokenizer], scorer: Callable[[], Decoder], sy
     return list(scorer().score(got.ids, got.predictors, got.context, got.prefix))
 
 
-def verify_equal(a: DataFrame, b: DataFrame) -> None:
-    """Raise unless two feature frames hold the same rows."""
-    from ..operators.checks import frame_difference
-
-    require_none(frame_difference(a, b.select(*a.columns)).select("side", "response_id"), "frames differ")
+@functools.cache
+def implementation() -> str:
+    """A digest of the code that makes features."""
+    folder = pathlib.Path(__file__).resolve().parents[1]
+    files = [folder / "plans/stages.py", *sorted((folder / "scoring").glob("*.py"))]
+    return json_digest({str(f.relative_to(folder)): canonical_newlines(f.read_bytes()) for f in files})
 
 
 def decoder_of(shape: Shape, seed: int) -> Callable[..., Decoder]:

@@ -9,15 +9,19 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from pathlib import PurePath
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import frame_difference, require_none
+
 HASH = "manifest_sha256"
 VERSION = 1
+#: Bytes of a file that the driver holds at once.
+PIECE = 1 << 20
 
 
 class IntegrityError(RuntimeError):
@@ -64,16 +68,44 @@ def canonical_newlines(data: bytes) -> str:
     return hashlib.sha256(data.replace(b"\r\n", b"\n")).hexdigest()
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any size, streamed by the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def canonical_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file, or of a folder's files in order, with CRLF as LF; read in pieces of PIECE bytes."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [where] if files.getFileStatus(where).isFile() else sorted((x.getPath() for x in files.listStatus(where) if x.isFile()), key=lambda p: p.getName())
+    whole, streams = hashlib.sha256(), spark._jvm.org.apache.commons.io
+    for part in parts:
+        stream = files.open(part)
+        try:
+            rest = b""
+            while piece := bytes(streams.IOUtils.toByteArray(streams.input.BoundedInputStream(stream, PIECE))):
+                piece = rest + piece
+                rest = b"\r" if piece.endswith(b"\r") else b""  # its LF may begin the next piece
+                whole.update(piece[: len(piece) - len(rest)].replace(b"\r\n", b"\n"))
+            whole.update(rest)
+        finally:
+            stream.close()
+    return whole.hexdigest()
+
+
 def file_digests(spark: SparkSession, root: str, paths: list[str]) -> dict[str, str]:
-    """SHA-256 of files, by their path below ``root``; a file elsewhere is an error. Executors read the files."""
+    """SHA-256 of files, by their path below ``root``; a file elsewhere is an error."""
     whole = f"{root.rstrip('/')}/"
-    rows = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("digest")).collect() if paths else []
     found = {}
-    for row in rows:
-        path = re.sub("^file:/+", "/", row["path"])
+    for path in paths:
         if not path.startswith(whole):
             raise ValueError(f"{path} is not below {root}")
-        found[path.removeprefix(whole)] = row["digest"]
+        found[path.removeprefix(whole)] = file_digest(spark, path)
     return dict(sorted(found.items()))
 
 
@@ -107,6 +139,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.verified: set[tuple[str, str]] = set()
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -136,11 +169,12 @@ class Store:
             stream.hsync()
         finally:
             stream.close()
-        final = self._path(self.at(name))
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(fresh, final):
-            raise IntegrityError(f"{name} couldn't be published")
+        jvm = self.spark._jvm
+        options = jvm.org.apache.hadoop.fs.Options
+        over = self.spark.sparkContext._gateway.new_array(options.Rename, 1)
+        over[0] = options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(self._path(self.at(name))), over)
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.at(name)), True)
@@ -161,11 +195,11 @@ class Store:
         return check_seal(json.loads(self.read(name)))
 
 
-def content(df: DataFrame) -> DataFrame:
-    """(rows, digest): the size of a table and a digest of its rows in any order."""
+def content(df: DataFrame, *by: Column) -> DataFrame:
+    """(by..., rows, digest): the size of a table and a digest of its rows in any order."""
     row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
     both = F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.bit_xor(row), F.lit(0)).cast("string"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string"))
-    return df.agg(F.count("*").alias("rows"), F.sha2(both, 256).alias("digest"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sha2(both, 256).alias("digest"))
 
 
 class FeatureTable:
@@ -203,22 +237,37 @@ class FeatureTable:
         artifact = {"rows": rows, "digest": digest, "columns": kept.columns}
         return self.store.write_manifest(f"{self.folder}/{batch}.manifest.json", {"version": VERSION, "split": split, "depends": self.depends, "artifact": artifact})
 
-    def read(self, *splits: str, verify: bool = False) -> DataFrame | None:
-        """All complete batches of the splits in one scan; null if there are none."""
+    def read(self, *splits: str, verify: bool = True) -> DataFrame | None:
+        """All complete batches of the splits in one scan; null if there are none.
+
+        The rows of each batch are held against its manifest, once for a store: changed Parquet under
+        an intact manifest is an error. All batches are checked in one scan.
+        """
         chosen = {b: m for b, m in self._manifests().items() if m["split"] in splits}
         if not chosen:
             return None
-        spark = self.store.spark
-        paths = [self.store.at(f"{self.folder}/{b}") for b in sorted(chosen)]
-        if verify:
-            for path, batch in zip(paths, sorted(chosen), strict=True):
-                row, artifact = content(spark.read.parquet(path)).first(), chosen[batch]["artifact"]
-                if (row["rows"], row["digest"]) != (artifact["rows"], artifact["digest"]):
-                    raise IntegrityError(f"{batch} isn't what its manifest says")
         columns = {tuple(m["artifact"]["columns"]) for m in chosen.values()}
         if len(columns) > 1:
             raise IntegrityError("batches differ in their columns")
-        return spark.read.parquet(*paths)
+        if verify:
+            self._verify({b: m for b, m in chosen.items() if (b, m[HASH]) not in self.store.verified})
+        return self._scan(chosen)
+
+    def _scan(self, batches: Iterable[str]) -> DataFrame:
+        return self.store.spark.read.parquet(*[self.store.at(f"{self.folder}/{b}") for b in sorted(batches)])
+
+    def _verify(self, batches: dict[str, dict]) -> None:
+        if not batches:
+            return
+        rows = self._scan(batches)
+        if rows.columns != next(iter(batches.values()))["artifact"]["columns"]:
+            raise IntegrityError("a batch's columns aren't those of its manifest")
+        of = F.element_at(F.split("_metadata.file_path", "/"), -2).alias("batch")
+        found = {r["batch"]: (r["rows"], r["digest"]) for r in content(rows, of).collect()}
+        for batch, manifest in batches.items():
+            if found.get(batch) != (manifest["artifact"]["rows"], manifest["artifact"]["digest"]):
+                raise IntegrityError(f"{batch} isn't what its manifest says")
+            self.store.verified.add((batch, manifest[HASH]))
 
     def pending(self, examples: DataFrame, split: str) -> DataFrame:
         """Examples without complete features of this version."""
@@ -238,10 +287,12 @@ class FeatureTable:
         return json_digest(sorted((m["artifact"]["digest"], m["artifact"]["rows"]) for m in self._manifests().values() if m["split"] in splits))
 
 
-def migrate(store: Store, folder: str, depends: Mapping, apply: bool = False) -> list[str]:
+def migrate(store: Store, folder: str, depends: Mapping, apply: bool = False, proof: FeatureTable | None = None) -> list[str]:
     """Adopt intact batches whose manifests name other dependencies; a dry run unless ``apply``.
 
-    Every batch is read and checked first; old manifests stay beside the new ones as .bak.
+    Every batch is read and checked first. ``proof`` holds features of some of the same responses,
+    extracted under the new dependencies: the rows of both must be equal. Old manifests stay beside the
+    new ones as .bak.
     """
     adopted = []
     for name in store.names(folder):
@@ -250,9 +301,13 @@ def migrate(store: Store, folder: str, depends: Mapping, apply: bool = False) ->
         manifest = store.read_manifest(f"{folder}/{name}")
         if is_subset({"depends": plain(depends)}, manifest):
             continue
-        row = content(store.spark.read.parquet(store.at(f"{folder}/{name.removesuffix('.manifest.json')}"))).first()
-        if row["digest"] != manifest["artifact"]["digest"]:
+        rows = store.spark.read.parquet(store.at(f"{folder}/{name.removesuffix('.manifest.json')}"))
+        if content(rows).first()["digest"] != manifest["artifact"]["digest"]:
             raise IntegrityError(f"{name} doesn't match its rows")
+        if proof is not None and (fresh := proof.read(manifest["split"])) is not None:
+            same = rows.join(fresh.select("response_id").distinct(), "response_id", "left_semi")
+            fresh = fresh.join(rows.select("response_id").distinct(), "response_id", "left_semi")
+            require_none(frame_difference(same, fresh.select(*rows.columns)).select("side", "response_id"), f"{name}: rows differ")
         adopted.append(name)
     for name in adopted if apply else []:
         old = store.read(f"{folder}/{name}")

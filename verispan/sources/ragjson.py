@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.texts import locate_unique
-from ..operators.checks import duplicate_keys, missing_keys, orphans, require_none
+from ..operators.checks import duplicate_keys, missing_keys, require_none
 from ..operators.spans import bad_spans, merge_array
 from ..operators.splits import example_order
 
@@ -42,19 +42,31 @@ def _bad(line: str, row: str) -> Column:
 
 
 def _where_bad(spark: SparkSession, path: str, schema: str) -> str:
+    return _first_bad(spark, path, lambda rows: rows.withColumn("row", _parsed("line", schema)).where(_bad("line", "row")), "not a valid JSON object")
+
+
+def _first_bad(spark: SparkSession, path: str, bad: Callable[[DataFrame], DataFrame], what: str) -> str:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "line"))
-    rows = files.where(F.trim("line") != "").withColumn("row", _parsed("line", schema))
-    first = rows.where(_bad("line", "row")).orderBy("file", "at").select("file", "at").first()
-    return f"{first['file']}, line {first['at'] + 1}: not a valid JSON object"
+    first = bad(files.where(F.trim("line") != "")).orderBy("file", "at").select("file", "at").first()
+    return f"{first['file']}, line {first['at'] + 1}: {what}"
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """source_id, task_type, source, prompt, and the raw line, from which contexts are taken with their key order."""
     lines = spark.read.text(path).where(F.trim("value") != "")
+    if lines.where(_bad_source("value")).limit(1).collect():
+        raise ValueError(_first_bad(spark, path, lambda rows: rows.where(_bad_source("line")), "not a JSON object with a text prompt"))
     at = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     return lines.select(at("source_id"), at("task_type"), at("source"), at("prompt"), F.col("value").alias("raw"))
 
 
+def _bad_source(line: str) -> Column:
+    """Whether a line is no JSON object, or has a prompt that is neither missing nor a text."""
+    held = F.try_parse_json(line)
+    prompt = F.schema_of_variant(F.try_variant_get(held, "$.prompt", "variant"))
+    return held.isNull() | ~F.ltrim(line).startswith("{") | ~F.coalesce(prompt, F.lit("VOID")).isin("STRING", "VOID")
+
+
 def context_column(task: Column, raw: Column, field: str = "source_info") -> Column:
     """The context of Summary (a string) and QA (its passages) records; null for other tasks."""
     return F.when(task == "Summary", F.get_json_object(raw, f"$.{field}")).when(task == "QA", F.get_json_object(raw, f"$.{field}.passages"))
@@ -84,25 +96,44 @@ def load_examples(
     if unknown := set(tasks) - set(TASKS):
         raise ValueError(f"unknown tasks: {sorted(unknown)}")
     source = read_sources(spark, sources)
-    require_none(missing_keys(source, "source_id").select("task_type"), "sources without source_id")
-    require_none(duplicate_keys(source, "source_id"), "duplicate source_id")
+    checks = {"sources without source_id": missing_keys(source, "source_id").select("task_type"), "duplicate source_id": duplicate_keys(source, "source_id")}
+    held = source.groupBy("source_id").count().agg(F.count_if(F.col("source_id").isNull() | (F.col("source_id") == "")).alias("none"), F.count_if(F.col("count") > 1).alias("twice")).first()
+    if held["none"] or held["twice"]:
+        _explain(checks)
     rows = read_jsonl(spark, responses, RESPONSE).where((F.col("model") == model) & F.col("split").isin(*splits))
     if qualities is not None:
         rows = rows.where(F.col("quality").isin(*qualities))
-    require_none(missing_keys(rows, "id").select("source_id"), "responses without id")
-    require_none(duplicate_keys(rows, "id"), "duplicate response id")
-    require_none(orphans(rows, source, "source_id").select("id", "source_id"), "responses without a source")
-    joined = rows.join(with_contexts(source), "source_id").where(F.col("task_type").isin(*tasks))
-    require_none(joined.where(F.col("response").isNull() | F.col("prompt").isNull() | F.col("labels").isNull()).select("id"), "response, prompt and labels are required")
-    require_none(joined.where(F.size(bad_spans("response", "labels")) > 0).select("id"), "spans that don't match the response")
-    require_none(joined.where(F.coalesce("context", F.lit("")) == "").select("id", "task_type"), "empty context")
+    whole = rows.join(with_contexts(source).withColumn("_held", F.lit(True)), "source_id", "left")
+    joined = whole.where(F.col("_held") & F.col("task_type").isin(*tasks)).drop("_held")
+    once = joined.withColumn("at", locate_unique("prompt", "context"))
+    bad = {
+        "responses without id": (whole, F.col("id").isNull() | (F.col("id") == ""), ["source_id"]),
+        "responses without a source": (whole, F.col("_held").isNull(), ["id", "source_id"]),
+        "response, prompt and labels are required": (joined, F.col("response").isNull() | F.col("prompt").isNull() | F.col("labels").isNull(), ["id"]),
+        "spans that don't match the response": (joined, F.size(bad_spans("response", "labels")) > 0, ["id"]),
+        "empty context": (joined, F.coalesce("context", F.lit("")) == "", ["id", "task_type"]),
+    }
     if check_context:
-        found = joined.withColumn("at", locate_unique("prompt", "context"))
-        require_none(found.where("at.status <> 'ok'").select("id", "at.status"), "context must occur once in its prompt")
+        bad["context must occur once in its prompt"] = (once, F.col("at.status") != "ok", ["id", "at.status"])
+    # one pass over the joined rows tells whether anything is wrong; only then is it looked up
+    wanted = F.col("_held").isNotNull() & F.col("task_type").isin(*tasks)
+    flags = [F.coalesce(condition if frame is whole else wanted & condition, F.lit(False)).alias(f"f{k}") for k, (frame, condition, _) in enumerate(bad.values())]
+    flagged = whole.withColumn("at", locate_unique("prompt", "context")).select("id", *flags)
+    counted = flagged.groupBy("id").agg(F.count("*").alias("n"), *[F.max(f"f{k}").alias(f"f{k}") for k in range(len(bad))])
+    found = counted.agg(F.count_if(F.col("n") > 1).alias("n"), *[F.coalesce(F.max(f"f{k}"), F.lit(False)).alias(f"f{k}") for k in range(len(bad))]).first()
+    if any(found):
+        named = {what: frame.where(condition).select(*columns) for what, (frame, condition, columns) in bad.items()}
+        _explain({"responses without id": named.pop("responses without id"), "duplicate response id": duplicate_keys(rows, "id")} | named)
     named = joined.select(F.col("id").alias("response_id"), "source_id", F.col("model").alias("generator_model"), F.col("task_type").alias("task"), "quality", "source", "split", "prompt", "context", "response", "labels")
     return _merged(named).withColumn("response_label", (F.size("spans") > 0).cast("int")).orderBy(*example_order(list(SPLITS), list(TASKS)))
 
 
+def _explain(checks: dict[str, DataFrame]) -> None:
+    """Raise for the first check that finds rows."""
+    for what, rows in checks.items():
+        require_none(rows, what)
+
+
 def _merged(rows: DataFrame) -> DataFrame:
     """rows with ``spans``: the unions of their labels, by a fold inside each row."""
     def describe(s: Column) -> Column:
