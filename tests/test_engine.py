@@ -11,7 +11,7 @@ from verispan import cli
 from verispan.operators.calibration import Calibration, Scale
 from verispan.plans.stages import Run, decoder_of
 from verispan.scoring.decoder import Decoder, Shape, disks, sample_ids
-from verispan.scoring.protocol import PieceTokenizer, align
+from verispan.scoring.protocol import PieceTokenizer, align, flatten, shared_prefix
 from verispan.sources import artifacts
 from verispan.sources.config import RULES, load_config
 from verispan.streaming.scores import scored_stream, write_scores
@@ -29,6 +29,18 @@ def test_alignment():
         align(tokenizer, "s", "p CTX", "CTX", "a", [], max_length=3)
 
 
+def test_flattening_and_renders():
+    assert flatten([[3, 4]], [[(0, 2), (2, 5)]]) == flatten([3, 4], [[0, 2], [2, 5]]) == ([3, 4], [(0, 2), (2, 5)])
+    for ids, offsets in (([[1], [2]], [[(0, 1)], [(1, 2)]]), ([1], [(0, 1), (1, 2)]), ([1, 2], [(3, 4), (0, 1)]), ([1], [(2, 1)])):
+        with pytest.raises((ValueError, TypeError)):
+            flatten(ids, offsets)
+    tokenizer = PieceTokenizer()
+    assert shared_prefix(tokenizer, "s y", "ask < this", "an answer") == len(tokenizer(tokenizer.render("s y", "ask < this")))
+    tokenizer.render_legacy = lambda system, prompt, response: prompt + response
+    with pytest.raises(ValueError, match="legacy"):
+        shared_prefix(tokenizer, "s", "p", "r")
+
+
 @pytest.mark.parametrize("window", [None, 3])
 def test_attention_parity(window):
     """Recomputed attention of chosen heads and positions equals that of the whole sequence."""

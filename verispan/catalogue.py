@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import linear, relational, statistics, text
+from .plans import linear, records, relational, statistics, text
 from .plans.registry import Query
 
-CATALOGUES = (relational.catalogue, text.catalogue, statistics.catalogue, linear.catalogue)
+CATALOGUES = (relational.catalogue, text.catalogue, statistics.catalogue, linear.catalogue, records.catalogue)
 
 
 def queries() -> dict[str, Query]:

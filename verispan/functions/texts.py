@@ -82,6 +82,11 @@ def render_chat(system: Column | str, prompt: Column | str, response: Column | s
     return F.concat(F.lit(t["system"]), _col(system), F.lit(t["end"]), F.lit(t["user"]), _col(prompt), F.lit(t["end"]), F.lit(t["assistant"]), _col(response))
 
 
+def render_legacy(system: Column | str, prompt: Column | str, response: Column | str, template: dict[str, str] | None = None) -> Column:
+    """The older render: the response as a turn of its own, closed like the others."""
+    return F.concat(render_chat(system, prompt, response, template), F.lit((TEMPLATE | (template or {}))["end"]))
+
+
 TEMPLATE = {"system": "<|system|>\n", "user": "<|user|>\n", "assistant": "<|assistant|>\n", "end": "<|end|>\n"}
 
 

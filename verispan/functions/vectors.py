@@ -92,6 +92,14 @@ def rotate_half(a: Column | str) -> Column:
     return F.concat(F.transform(F.slice(a, half + 1, half), lambda v: -v), F.slice(a, F.lit(1), half))
 
 
+def rotary(a: Column | str, position: Column | str, base: float = 10000.0) -> Column:
+    """The vector with rotary positions: each pair (k, k + half) turned by position / base ** (k / half)."""
+    a = _col(a)
+    half = (F.size(a) / 2).cast("int")
+    at = lambda k: _col(position).cast("double") / F.pow(F.lit(base), (k % half).cast("double") / half)
+    return F.zip_with(F.transform(a, lambda x, k: x.cast("double") * F.cos(at(k))), F.transform(rotate_half(a), lambda x, k: x.cast("double") * F.sin(at(k))), lambda x, y: x + y)
+
+
 def minmax(value: Column | str, low: Column, high: Column) -> Column:
     """(value - low) / (high - low) without clipping; 0 where the range is empty."""
     return F.when(high == low, F.lit(0.0)).otherwise((_col(value) - low) / (high - low))

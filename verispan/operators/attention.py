@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot
+from .checks import require_none
 
 
 def causal_pairs(rows: DataFrame, key: str, position: str, window: int | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -56,6 +57,18 @@ def kv_head(head: Column | str, groups: int) -> Column:
     return F.floor((F.col(head) if isinstance(head, str) else head) / groups).cast("int")
 
 
+def gather(wanted: DataFrame, universe: DataFrame, key: list[str], position: str, value: str) -> DataFrame:
+    """wanted (key..., position) with its place among the captured positions of its key, and that one's ``value``.
+
+    A wanted position that wasn't captured is an error.
+    """
+    order = W.partitionBy(*key).orderBy(position)
+    held = universe.select(*key, position, value, (F.row_number().over(order) - 1).alias("place"))
+    found = wanted.join(held, [*key, position], "left")
+    require_none(found.where("place is null").select(*key, position), "positions that weren't captured")
+    return found
+
+
 def gram(rows: DataFrame, left: str, right: str, size: int) -> DataFrame:
     """(i, j, value): sums of products of the vectors' elements, a partial aggregate of outer products."""
     long = rows.select(F.posexplode(left).alias("i", "_x"), F.col(right).alias("_r")).select("i", "_x", F.posexplode("_r").alias("j", "_y"))
@@ -70,11 +83,11 @@ def trace_of_product(a: DataFrame, b: DataFrame) -> DataFrame:
 def gershgorin(cells: DataFrame, by: list[str], scale: Column | float = 1.0) -> DataFrame:
     """Disks, fences and outliers of sampled matrices given as (by..., i, j, value).
 
-    The radius is the scaled mean absolute off-diagonal of a row; a disk's two boundary points join the
-    sample whose quartiles make the fences.
+    The radius is the scaled sum of a row's absolute off-diagonal values, as the whole matrix would have;
+    a disk's two boundary points join the sample whose quartiles make the fences.
     """
     off = F.when(F.col("i") != F.col("j"), F.abs("value"))
-    rows = cells.groupBy(*by, "i").agg(F.max(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("center"), (F.avg(off) * scale).alias("radius"))
+    rows = cells.groupBy(*by, "i").agg(F.max(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("center"), (F.sum(off) * scale).alias("radius"))
     points = rows.select(*by, "radius", F.explode(F.array(F.col("center") - F.col("radius"), F.col("center") + F.col("radius"))).alias("point"))
     fences = points.groupBy(*by).agg(F.percentile("point", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.avg("radius").alias("mean_radius"), F.max("radius").alias("max_radius"), F.count("*").alias("n_points"))
     fences = fences.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"), "mean_radius", "max_radius", "n_points")

@@ -46,7 +46,7 @@ def strict_mean(value: Column | str, groups: int) -> Column:
     return F.when(F.count(value) == groups, F.avg(value))
 
 
-def feature_auc(rows: DataFrame, features: list[str], label: str, by: list[str], inverse: bool = False, ranges: int = 1) -> DataFrame:
+def feature_auc(rows: DataFrame, features: list[str], label: str, by: list[str], inverse: bool = False, ranges: int = RANGES) -> DataFrame:
     """(by..., feature, auc): the AUC of many columns in one pass over their long form."""
     long = rows.select(*by, label, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("input_order"), F.col(f).cast("double").alias("value")) for k, f in enumerate(features)])))
     signed = long.withColumn("value", -F.col("value") if inverse else F.col("value"))

@@ -9,7 +9,6 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import minmax
@@ -225,13 +224,3 @@ def search_calibration(
     scale = {n: Scale(row[f"{n}_low"], row[f"{n}_high"]) for n in chosen}
     state = Calibration(model, mode, tuple(chosen["heads"]), tuple(chosen["layers"]), alpha, best["beta"], scale["heads"], scale["layers"], best["objective"], tuple(tasks))
     return state, trace
-
-
-def fit_from_splits(rows: DataFrame, **options) -> tuple[Calibration, DataFrame]:
-    """``search_calibration`` of one table by its eval_split."""
-    return search_calibration(rows.where("eval_split = 'calibration_train'"), rows.where("eval_split = 'dev'"), **options)
-
-
-def rank_window_sums(long: DataFrame, key: list[str]) -> DataFrame:
-    """Prefix sums of a long table (key..., rank, value) as a window."""
-    return long.withColumn("total", F.sum("value").over(W.partitionBy(*key).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))

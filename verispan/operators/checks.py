@@ -61,11 +61,20 @@ def label_disagreements(a: DataFrame, b: DataFrame, keys: list[str], label: str)
     return left.join(right, keys).where("label_a <> label_b")
 
 
+def missing_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    return [c for c in columns if c not in df.columns]
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> None:
-    if missing := [c for c in columns if c not in df.columns]:
+    if missing := missing_columns(df, columns):
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def unknown_values(df: DataFrame, column: str, known: list[str]) -> DataFrame:
+    """(column): distinct values that aren't known."""
+    return df.select(column).where(~F.col(column).isin(*known)).distinct()
+
+
 def require_none(df: DataFrame, what: str, show: int = 5) -> None:
     """Raise with the first rows, in order, if df has any."""
     if rows := df.orderBy(*df.columns).limit(show).collect():

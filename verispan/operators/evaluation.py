@@ -91,6 +91,13 @@ def evaluate(tokens: DataFrame, tasks: list[str], model: str, mode: str, replica
     return found.select(F.lit(model).alias("model"), F.lit(mode).alias("mode"), F.col("scope").alias("task"), *[c for c in found.columns if c != "scope"], F.lit(replicates).alias("bootstrap_samples"), F.lit(confidence).alias("confidence"))
 
 
+def model_pairs(rows: DataFrame, model: str = "model") -> DataFrame:
+    """(first, second): all unordered pairs of the models in rows; one row a pair of names, not of rows."""
+    names = rows.select(model).distinct()
+    one, two = names.select(F.col(model).alias("first")), names.select(F.col(model).alias("second"))
+    return one.join(two, F.col("first") < F.col("second"))
+
+
 def common_responses(first: DataFrame, second: DataFrame) -> DataFrame:
     """(task, response_id) that both scorers have; token counts may differ."""
     return first.select("task", "response_id").distinct().join(second.select("task", "response_id").distinct(), ["task", "response_id"])

@@ -97,11 +97,11 @@ def causal_pairs(spark, d):
     return attention.causal_pairs(sequences(spark, d), "response", "position", 8)
 
 
-@query(f"WITH {SEQUENCES}, wanted AS (SELECT response, position * 2 AS position FROM seqs) SELECT w.response, w.position, s.vec_id FROM wanted w JOIN seqs s USING (response, position)")
+@query(f"""WITH {SEQUENCES}, held AS (SELECT response, position, vec_id, row_number() OVER (PARTITION BY response ORDER BY position) - 1 AS place FROM seqs)
+  SELECT h.response, h.position, h.vec_id, h.place FROM held h JOIN seqs w ON w.response = h.response AND h.position = w.position WHERE w.position % 2 = 0""")
 def gather_positions(spark, d):
     rows = sequences(spark, d)
-    wanted = rows.select("response", (F.col("position") * 2).alias("position"))
-    return wanted.join(rows.select("response", "position", "vec_id"), ["response", "position"])
+    return attention.gather(rows.where("position % 2 = 0").select("response", "position"), rows, ["response"], "position", "vec_id").withColumn("place", F.col("place").cast("bigint"))
 
 
 _WEIGHTS = f"{_CAUSAL}, weighted AS (SELECT *, list_inner_product(qv, kv) / 8 AS logit FROM causal), soft AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY response, query) AS weight FROM weighted)"
@@ -151,22 +151,24 @@ def trace_gram(spark, d):
     return attention.trace_of_product(g, g).select(F.round("trace", 6).alias("trace"))
 
 
-_CELLS = f"{SEQUENCES}, cells AS (SELECT response, CAST(position % 16 AS INT) AS i, CAST(k - 1 AS INT) AS j, sum(v[k]) AS value FROM seqs, range(1, 17) r(k) GROUP BY ALL)"
-_DISKS = f"""{_CELLS}, disks AS (SELECT response, i, max(value) FILTER (WHERE i = j) AS center, avg(abs(value)) FILTER (WHERE i <> j) * 3.0 AS radius FROM cells GROUP BY response, i),
+#: A matrix of thrice the sampled size.
+SCALE = 3.0
+_CELLS = f"{SEQUENCES}, cells AS (SELECT response, CAST(position % {SIZE} AS INT) AS i, CAST(k - 1 AS INT) AS j, sum(v[k]) AS value FROM seqs, range(1, {SIZE} + 1) r(k) GROUP BY ALL)"
+_DISKS = f"""{_CELLS}, disks AS (SELECT response, i, max(value) FILTER (WHERE i = j) AS center, sum(abs(value)) FILTER (WHERE i <> j) * {SCALE} AS radius FROM cells GROUP BY response, i),
   points AS (SELECT response, radius, unnest([center - radius, center + radius]) AS point FROM disks),
   fences AS (SELECT response, quantile_cont(point, 0.25) AS q1, quantile_cont(point, 0.75) AS q3, avg(radius) AS mean_radius, max(radius) AS max_radius FROM points GROUP BY response),
   found AS (SELECT response, q1, q3, mean_radius, max_radius, count(*) FILTER (WHERE point < q1 - 1.5 * (q3 - q1) OR point > q3 + 1.5 * (q3 - q1)) AS n_outliers FROM points JOIN fences USING (response) GROUP BY ALL)"""
 
 
 def _cells(spark, d):
-    """Small matrices by response: sums of the states' first elements by position modulo 16."""
-    rows = sequences(spark, d).select("response", (F.col("position") % 16).alias("i"), F.posexplode(F.slice("embedding", 1, 16)).alias("j", "x"))
+    """Small matrices by response: sums of the states' elements by position modulo their size."""
+    rows = sequences(spark, d).select("response", (F.col("position") % SIZE).alias("i"), F.posexplode("embedding").alias("j", "x"))
     return rows.groupBy("response", "i", "j").agg(F.sum(F.col("x").cast("double")).alias("value"))
 
 
 @query(f"WITH {_DISKS} SELECT response, round(q1, 8) AS q1, round(q3, 8) AS q3, round(mean_radius, 8) AS mean_radius, round(max_radius, 8) AS max_radius, n_outliers FROM found")
 def gershgorin(spark, d):
-    found = attention.gershgorin(_cells(spark, d), ["response"], F.lit(3.0))
+    found = attention.gershgorin(_cells(spark, d), ["response"], F.lit(SCALE))
     return found.select("response", *[F.round(c, 8).alias(c) for c in ("q1", "q3", "mean_radius", "max_radius")], "n_outliers")
 
 
@@ -177,7 +179,7 @@ def gershgorin(spark, d):
 def copy_head_rank(spark, d):
     cells = _cells(spark, d)
     traces = cells.groupBy("response").agg(F.abs(F.sum(F.when(F.col("i") == F.col("j"), F.col("value")))).alias("absolute_trace"))
-    heads = traces.join(attention.gershgorin(cells, ["response"], F.lit(3.0)).select("response", "n_outliers"), "response")
+    heads = traces.join(attention.gershgorin(cells, ["response"], F.lit(SCALE)).select("response", "n_outliers"), "response")
     ranked = attention.rank_copy_heads(heads.select(F.floor(F.col("response") / 5).cast("int").alias("layer"), (F.col("response") % 5).cast("int").alias("head"), "absolute_trace", "n_outliers"))
     return ranked.withColumn("absolute_trace", F.round("absolute_trace", 8))
 

@@ -251,9 +251,9 @@ def grid(spark, d):
     return calibration.grid(list(range(1, 33)), list(range(1, 33)), list(calibration.BETAS), spark)
 
 
-@query(f"WITH {FEATURES} SELECT response_id, CAST(k AS INT) AS k, round(list_sum(v[1:k]), 9) AS total FROM feats, range(1, 9) r(k)")
+@query(f"WITH {FEATURES} SELECT response_id, CAST(k AS INT) AS k, round(list_sum(v[1:k]), 9) AS total FROM feats, range(1, 33) r(k)")
 def prefix_sums(spark, d):
-    return rounded(calibration.prefix_sums(features(spark, d), ["response_id"], HEADS[:8]), "total")
+    return rounded(calibration.prefix_sums(features(spark, d), ["response_id"], HEADS), "total")
 
 
 _LONG = f"{FEATURES}, long AS (SELECT token_label, eval_split, i - 1 AS input_order, -v[i] AS value FROM feats, range(1, 33) r(i))"
@@ -283,8 +283,8 @@ def score_test(spark, d):
 _KS, _BETAS = [1, 2, 3, 4], [0.1, 1.0, 1.9]
 
 
-def _side_sql(name: str, low: int, sign: str) -> str:
-    return f"""{name}_long AS (SELECT vec_id, task, token_label, eval_split, i, v[i] AS x, {sign}v[i] AS value FROM feats, range({low}, {low + 4}) r(i)),
+def _side_sql(name: str, low: int, sign: str, size: int = 4) -> str:
+    return f"""{name}_long AS (SELECT vec_id, task, token_label, eval_split, i, v[i] AS x, {sign}v[i] AS value FROM feats, range({low}, {low + size}) r(i)),
   {name}_auc AS ({auc_sql(f"(SELECT * FROM {name}_long WHERE eval_split = 'calibration_train')", 'i', 'token_label', 'value')}),
   {name}_rank AS (SELECT i, row_number() OVER (ORDER BY auc DESC NULLS LAST, i) AS k FROM {name}_auc),
   {name}_sum AS (SELECT vec_id, task, token_label, eval_split, k, sum(x) OVER (PARTITION BY vec_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS total FROM {name}_long JOIN {name}_rank USING (i)),
@@ -292,12 +292,16 @@ def _side_sql(name: str, low: int, sign: str) -> str:
   {name} AS (SELECT vec_id, task, token_label, k, CASE WHEN high = low THEN 0 ELSE (total - low) / (high - low) END AS value FROM {name}_sum JOIN {name}_bound USING (k) WHERE eval_split = 'dev')"""
 
 
-_TRACE = f"""{FEATURES}, {_side_sql('heads', 1, '-')}, {_side_sql('layers', 33, '')},
-  points AS (SELECT h.k AS k_heads, l.k AS k_layers, CAST(beta AS DOUBLE) AS beta, h.task, h.token_label, round(l.value - CAST(beta AS DOUBLE) * h.value, 12) AS value FROM heads h JOIN layers l USING (vec_id), (VALUES (0.1), (1.0), (1.9)) b(beta)),
+def _trace_sql(size: int, betas: list[float]) -> str:
+    return f"""{FEATURES}, {_side_sql('heads', 1, '-', size)}, {_side_sql('layers', 33, '', size)},
+  points AS (SELECT h.k AS k_heads, l.k AS k_layers, CAST(beta AS DOUBLE) AS beta, h.task, h.token_label, round(l.value - CAST(beta AS DOUBLE) * h.value, 12) AS value FROM heads h JOIN layers l USING (vec_id), (VALUES {', '.join(f'({b})' for b in betas)}) b(beta)),
   areas AS ({auc_sql('points', 'k_heads, k_layers, beta, task', 'token_label', 'value')}),
   trace AS (SELECT CAST(k_heads AS INT) AS k_heads, CAST(k_layers AS INT) AS k_layers, beta, CASE WHEN count(auc) = 3 THEN round(avg(auc), 9) END AS objective FROM areas GROUP BY k_heads, k_layers, beta)"""
 
 
+_TRACE = _trace_sql(4, _BETAS)
+
+
 def _trace(spark, d):
     rows = features(spark, d)
     train, dev = rows.where("eval_split = 'calibration_train'"), rows.where("eval_split = 'dev'")
@@ -316,3 +320,12 @@ def calibrate_small(spark, d):
 @query(f"WITH {_TRACE} SELECT k_heads, k_layers, beta, objective FROM trace WHERE objective IS NOT NULL ORDER BY objective DESC, k_heads + k_layers, k_heads, k_layers, beta LIMIT 1")
 def grid_argmax(spark, d):
     return calibration.best_of_grid(_trace(spark, d))
+
+
+@query(f"WITH {_trace_sql(32, list(calibration.BETAS))} SELECT * FROM trace")
+def calibrate_full(spark, d):
+    """The whole search: 32 heads, 32 layers and 19 betas, after the integrity checks, by the parallel kernel."""
+    rows = features(spark, d)
+    train, dev = rows.where("eval_split = 'calibration_train'"), rows.where("eval_split = 'dev'")
+    _, trace = calibration.search_calibration(train, dev, "embeddings", "standard", FEATURE_TASKS, list(range(1, 33)), list(range(1, 33)), columns=(HEADS, LAYERS))
+    return rounded(trace, "objective")

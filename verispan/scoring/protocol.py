@@ -25,6 +25,8 @@ class Tokenizer(Protocol):
 
     def render(self, system: str, prompt: str) -> str: ...
 
+    def render_legacy(self, system: str, prompt: str, response: str) -> str: ...
+
 
 class TokenScorer(Protocol):
     def score(self, ids: np.ndarray, predictors: np.ndarray, context: np.ndarray, prefix: int) -> dict[str, np.ndarray]:
@@ -53,6 +55,35 @@ class PieceTokenizer:
         return f"{t['system']}{system}{t['end']}{t['user']}{prompt}{t['end']}{t['assistant']}"
 
 
+    def render_legacy(self, system: str, prompt: str, response: str) -> str:
+        return self.render(system, prompt) + response + TEMPLATE["end"]
+
+
+def flatten(ids: list, offsets: list) -> tuple[list[int], list[tuple[int, int]]]:
+    """Ids and offsets of one text from a tokenizer's output, batched or not; offsets are pairs that don't fall."""
+    if len(ids) == 1 and isinstance(ids[0], (list, tuple, np.ndarray)):
+        ids, offsets = ids[0], offsets[0] if len(offsets) == 1 else offsets
+    pairs = [tuple(int(x) for x in pair) for pair in offsets]
+    if any(isinstance(i, (list, tuple)) for i in ids) or len(ids) != len(pairs) or any(len(p) != 2 for p in pairs):
+        raise ValueError("a tokenizer must give one text's ids and as many pairs of offsets")
+    if any(a > z for a, z in pairs) or any(x[0] > y[0] for x, y in zip(pairs[:-1], pairs[1:], strict=True)):
+        raise ValueError("token offsets must not fall")
+    return [int(i) for i in ids], pairs
+
+
+def shared_prefix(tokenizer: Tokenizer, system: str, prompt: str, response: str) -> int:
+    """Tokens before the response that the exact and the legacy render share; an error if they differ there."""
+    head = tokenizer.render(system, prompt)
+    legacy = tokenizer.render_legacy(system, prompt, response)
+    if not legacy.startswith(head + response):
+        raise ValueError("the legacy render doesn't begin with the prompt and the response")
+    one, two = tokenizer(head + response), tokenizer(legacy)
+    count = sum(p.end <= len(head) for p in one)
+    if one[:count] != two[:count]:
+        raise ValueError("the renders differ before the response")
+    return count
+
+
 @dataclass
 class Aligned:
     """A response's tokens in the rendered sequence, with labels; the arrays of a response run parallel."""

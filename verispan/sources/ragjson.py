@@ -25,24 +25,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A line that is no object of the schema raises with its file and number. Numbers are looked up only then.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", _parsed("value", schema).alias("row"))
-    if parsed.where(_bad("value", "row")).select("value").limit(1).collect():
+    rows = lines.select("value", parsed("value", schema).alias("row"))
+    if rows.where(bad_line("value", "row")).select("value").limit(1).collect():
         raise ValueError(_where_bad(spark, path, schema))
-    return parsed.select("row.*").drop("_corrupt")
+    return rows.select("row.*").drop("_corrupt")
 
 
-def _parsed(line: str, schema: str) -> Column:
+def parsed(line: str, schema: str) -> Column:
     return F.from_json(line, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
 
 
-def _bad(line: str, row: str) -> Column:
+def bad_line(line: str, row: str) -> Column:
     """Whether a line is no object of the schema. The whole row is looked at: Spark parses a lone
     _corrupt column by a schema cut down to it, which every line fails."""
     return F.get_json_object(F.to_json(row), "$._corrupt").isNotNull() | F.col(row).isNull() | ~F.ltrim(line).startswith("{")
 
 
 def _where_bad(spark: SparkSession, path: str, schema: str) -> str:
-    return _first_bad(spark, path, lambda rows: rows.withColumn("row", _parsed("line", schema)).where(_bad("line", "row")), "not a valid JSON object")
+    return _first_bad(spark, path, lambda rows: rows.withColumn("row", parsed("line", schema)).where(bad_line("line", "row")), "not a valid JSON object")
 
 
 def _first_bad(spark: SparkSession, path: str, bad: Callable[[DataFrame], DataFrame], what: str) -> str:
