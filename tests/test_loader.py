@@ -116,12 +116,16 @@ def test_work_shards_partition_the_order(spark):
         splits.work_shard(rows, 3, 3, texts.natural_key("response_id"))
 
 
-def test_pieces_cover_the_text(spark):
-    rows = spark.createDataFrame([(1, " a  b\n\nc😀 "), (2, ""), (3, None)], "id int, text string")
-    window = texts.pieces(rows, "id", "text").orderBy("id", "token_index").collect()
-    folded = rows.where("id = 1").select(F.inline(texts.pieces_array("text"))).collect()
-    assert "".join(r.piece for r in window) == " a  b\n\nc😀 " and {r.id for r in window} == {1}
-    assert [(r.char_start, r.char_end, r.piece) for r in window] == [tuple(r) for r in folded]
+def test_pieces_cover_the_text(spark, monkeypatch):
+    import re
+
+    given = [(1, " a  b\n\nc😀 "), (2, ""), (3, None), (4, "é"), (5, "\t"), (6, "x y" * 400), (7, "no\u00a0break\x0bhere")]
+    rows = spark.createDataFrame([(*r, "k") for r in given], "id int, text string, piece_of string").coalesce(1)
+    for size in (1 << 20, 2):
+        monkeypatch.setattr(texts, "PIECE_BYTES", size)
+        got = texts.pieces(rows, "id", "text", ("piece_of",)).orderBy("id", "token_index").collect()
+        want = [(i, "k", n, m.start(), m.end(), m.group()) for i, t in given for n, m in enumerate(re.finditer("[^ \n\t]+|[ \n\t]+", t or ""))]
+        assert [tuple(r) for r in got] == want
 
 
 def test_safe_names_agree(spark):

@@ -84,6 +84,7 @@ def test_replicates_follow_the_draws(spark, monkeypatch, range_rows, block, cell
     sizes = spark.createDataFrame([("all", 40), ("b", 2), ("one", 1)], "scope string, n_clusters long")
     weights = {(r.scope, r.rep, r.cluster_idx): r.w for r in bootstrap.draws(sizes, ["scope"], 12, 5, F.col("scope")).collect()}
     assert sum(weights.values()) == 12 * 43 and len(got) == 36
+    assert {r.scope: int(r.s) for r in sizes.select("scope", bootstrap.scope_seeds(5, F.col("scope")).alias("s")).collect()} == {x: bootstrap.scope_seed(5, x) for x in ("all", "b", "one")}
     for (scope, rep), area in got.items():
         assert np.bincount(bootstrap.drawn(5, scope, rep, {"all": 40, "b": 2, "one": 1}[scope])).tolist()[0] == weights.get((scope, rep, 0), 0)
         want = plain_auc([(y, s, weights.get((scope, rep, int(r[1:] or 0)), 0)) for g, r, y, s in rows if g == scope])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -54,26 +58,57 @@ def natural_key(value: Column | str) -> list[Column]:
     return [F.when(number, 0).otherwise(1), F.length(digits), digits, value]
 
 
-def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token_index, char_start, char_end, piece): runs of white space and of other characters.
+#: Bytes of text whose pieces make one batch, but for a longer text.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., token_index, char_start, char_end, piece): runs of white space and of other characters.
 
-    All pieces together are the text. White space is space, line feed and tab; no tokenizer is needed.
-    Texts are dealt by key before they are taken apart, so the running sum, and what groups by key
-    later, shuffles no pieces.
+    All pieces together are the text; null and empty texts have none. White space is space, line feed
+    and tab; no tokenizer is needed. Boundaries and code points are counted over whole batches at once,
+    columns to ``keep`` go along, and nothing is shuffled.
     """
-    found = df.select(key, text).repartition(key).select(key, F.posexplode(F.regexp_extract_all(text, F.lit("[^ \\n\\t]+|[ \\n\\t]+"), F.lit(0))).alias("token_index", "piece"))
-    size = F.length("piece")
-    end = F.sum(size).over(W.partitionBy(key).orderBy("token_index").rowsBetween(W.unboundedPreceding, 0))
-    return found.select(key, "token_index", (end - size).cast("int").alias("char_start"), end.cast("int").alias("char_end"), "piece")
-
-
-def pieces_array(text: Column | str) -> Column:
-    """The same pieces as an array of structs (start, end, piece), folded without a shuffle."""
-    parts = F.regexp_extract_all(_col(text), F.lit("[^ \\n\\t]+|[ \\n\\t]+"), F.lit(0))
-    sizes = F.transform(parts, F.length)
-    none = F.array().cast("array<int>")
-    fold = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("starts")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")))["starts"]
-    return F.zip_with(parts, fold, lambda p, s: F.struct(s.alias("start"), (s + F.length(p)).alias("end"), p.alias("piece")))
+    rows = df.select(key, *keep, F.col(text).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    names = [key, *keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, size = batch.column("_text").fill_null(""), 0
+            cuts = [0]
+            for k, n in enumerate(pc.binary_length(whole).to_pylist()):
+                if size and size + n > PIECE_BYTES:
+                    cuts.append(k)
+                    size = 0
+                size += n
+            for low, high in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                owner, index, first, last, piece = _taken_apart(whole.slice(low, high - low))
+                columns = [batch.column(c).slice(low, high - low).take(pa.array(owner)) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x.astype(np.int32)) for x in (index, first, last)], piece], [*names, "token_index", "char_start", "char_end", "piece"])
+
+    return rows.mapInArrow(run, f"{fields}, token_index int, char_start int, char_end int, piece string")
+
+
+def _taken_apart(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """For each piece of each text: its text, its number there, its first and last code point, and itself."""
+    texts = texts.cast(pa.large_string())
+    offsets, data = texts.buffers()[1:]
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    blank = (raw == 32) | (raw == 10) | (raw == 9)
+    opens = np.ones(len(raw), bool)
+    opens[1:] = blank[1:] != blank[:-1]
+    opens[at[:-1][at[:-1] < len(raw)]] = True
+    start = np.flatnonzero(opens)
+    owner = np.searchsorted(at, start, "right") - 1
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    end = np.append(start[1:], len(raw))
+    index = np.arange(len(start)) - np.searchsorted(start, at[:-1])[owner]
+    ends = np.append(start, len(raw)).astype(np.int32)
+    piece = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+    return owner, index, points[start] - points[at[owner]], points[end] - points[at[owner]], piece
 
 
 def render_chat(system: Column | str, prompt: Column | str, response: Column | str, template: dict[str, str] | None = None) -> Column:

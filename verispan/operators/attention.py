@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,9 +74,18 @@ def gather(wanted: DataFrame, universe: DataFrame, key: list[str], position: str
 
 
 def gram(rows: DataFrame, left: str, right: str, size: int) -> DataFrame:
-    """(i, j, value): sums of products of the vectors' elements, a partial aggregate of outer products."""
-    long = rows.select(F.posexplode(left).alias("i", "_x"), F.col(right).alias("_r")).select("i", "_x", F.posexplode("_r").alias("j", "_y"))
-    return long.groupBy("i", "j").agg(F.sum(F.col("_x").cast("double") * F.col("_y").cast("double")).alias("value"))
+    """(i, j, value): sums of products of the vectors' elements; each task adds up one matrix of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x, y = (np.asarray(batch.column(c).flatten(), np.float64).reshape(-1, size) for c in ("left", "right"))
+            total += x.T @ y
+        at = np.arange(size * size)
+        yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total.ravel())], ["i", "j", "value"])
+
+    both = rows.select(F.col(left).cast("array<double>").alias("left"), F.col(right).cast("array<double>").alias("right")).where("left is not null and right is not null")
+    return both.mapInArrow(run, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def trace_of_product(a: DataFrame, b: DataFrame) -> DataFrame:

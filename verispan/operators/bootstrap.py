@@ -25,15 +25,26 @@ RANGE_ROWS = 1 << 20
 RANGES = 64
 
 
+def scope_seed(seed: int, scope: str) -> int:
+    """The first eight bytes of SHA-256 of seed:scope as a little-endian number."""
+    return int.from_bytes(hashlib.sha256(f"{seed}:{scope}".encode()).digest()[:8], "little")
+
+
+def scope_seeds(seed: int, scope: Column) -> Column:
+    """The same as a column, in decimal digits."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), scope), 256)
+    return F.conv(F.concat(*[F.substring(digest, k, 2) for k in range(15, 0, -2)]), 16, 10)
+
+
 def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int, scope: Column) -> DataFrame:
     """(by..., rep, cluster_idx, w): how often each cluster is drawn in each replicate.
 
     clusters: by..., n_clusters, one row a group. Draw k of a replicate is word k % 8 of the SHA-256 of
-    seed, scope, replicate and k // 8, modulo the number of clusters, so any engine can repeat it, in any order.
+    the scope's seed, replicate and k // 8, modulo the number of clusters, so any engine can repeat it, in any order.
     """
-    reps = clusters.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    reps = clusters.withColumn("_seed", scope_seeds(seed, scope)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     spots = reps.withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_clusters") - 1) / WORDS).cast("int"))))
-    spots = spots.withColumn("_hash", F.sha2(F.concat_ws(":", F.lit(str(seed)), scope, F.col("rep").cast("string"), F.col("_at").cast("string")), 256))
+    spots = spots.withColumn("_hash", F.sha2(F.concat_ws(":", "_seed", F.col("rep").cast("string"), F.col("_at").cast("string")), 256))
     words = F.array(*[F.conv(F.substring("_hash", 1 + 8 * k, 8), 16, 10).cast("bigint") % F.col("n_clusters") for k in range(WORDS)])
     drawn = F.explode(F.slice(words, F.lit(1), F.least(F.lit(WORDS), (F.col("n_clusters") - WORDS * F.col("_at")).cast("int"))))
     return spots.withColumn("cluster_idx", drawn).groupBy(*by, "rep", "cluster_idx").agg(F.count("*").alias("w"))
@@ -41,7 +52,8 @@ def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int, scope:
 
 def drawn(seed: int, scope: str, rep: int, count: int) -> np.ndarray:
     """The clusters that ``draws`` draws for a replicate, in order."""
-    digests = b"".join([hashlib.sha256(f"{seed}:{scope}:{rep}:{k}".encode()).digest() for k in range(-(-count // WORDS))])
+    head = f"{scope_seed(seed, scope)}:{rep}"
+    digests = b"".join([hashlib.sha256(f"{head}:{k}".encode()).digest() for k in range(-(-count // WORDS))])
     return np.frombuffer(digests, ">u4")[:count].astype(np.int64) % count
 
 

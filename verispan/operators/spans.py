@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.texts import pieces
+
 SPAN = "struct<start:int,end:int,text:string,label_type:string,implicit_true:boolean,due_to_null:boolean>"
 
 
@@ -65,12 +67,15 @@ def touches(start: Column, end: Column, spans: Column | str) -> Column:
     return F.exists(spans, lambda s: (start < s["end"]) & (end > s["start"])).cast("int")
 
 
-def label_tokens(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """tokens with ``token_label``: whether a span of the same key overlaps (char_start, char_end).
+_NONE = "array<struct<start:int,end:int>>"
+
+
+def labelled_pieces(rows: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """The pieces of rows' texts with ``token_label``: whether a span of the same key overlaps (char_start, char_end).
 
-    Spans are gathered for each key, so one equi-join serves; there is no range join to blow up.
+    Spans are gathered for each key and meet the texts, not their pieces; there is no range join to blow up.
     """
-    gathered = spans.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = tokens.join(gathered, key, "left")
-    hit = touches(F.col("char_start"), F.col("char_end"), F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>")))
-    return joined.withColumn("token_label", hit).drop("_spans")
+    gathered = spans.groupBy(key).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("_spans"))
+    taken = pieces(rows.select(key, text).join(gathered, key, "left"), key, text, ("_spans",))
+    hit = touches(F.col("char_start"), F.col("char_end"), F.coalesce("_spans", F.array().cast(_NONE)))
+    return taken.withColumn("token_label", hit).drop("_spans")

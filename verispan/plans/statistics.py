@@ -71,11 +71,22 @@ def cluster_index(spark, d):
     return bootstrap.cluster_index(tokens(spark, d), ["task"], "response_id").drop("n_clusters")
 
 
+def seed_sql(scope: str, seed: int = SEED) -> str:
+    """SQL of a scope's seed, in decimal digits."""
+    pairs = " || ".join(f"substr(sha256('{seed}:' || {scope}), {k}, 2)" for k in range(15, 0, -2))
+    return f"CAST(CAST('0x' || {pairs} AS UBIGINT) AS VARCHAR)"
+
+
+@query(f"WITH {TOKENS} SELECT task, {seed_sql('task')} AS seed FROM (SELECT DISTINCT task FROM tokens)")
+def scope_seeds(spark, d):
+    return tokens(spark, d).select("task").distinct().select("task", bootstrap.scope_seeds(SEED, F.col("task")).alias("seed"))
+
+
 def draws_sql(sizes: str, reps: int = REPS, seed: int = SEED) -> str:
     """SQL of draws for a relation (scope, n_clusters)."""
     return f"""SELECT scope, rep, cluster_idx, count(*) AS w FROM (SELECT scope, rep, CAST('0x' || substr(hash, 1 + 8 * CAST(word AS BIGINT), 8) AS BIGINT) % n_clusters AS cluster_idx
-  FROM (SELECT *, unnest(range(0, least(8, n_clusters - 8 * pos))) AS word FROM (SELECT *, sha256('{seed}:' || scope || ':' || rep || ':' || pos) AS hash
-  FROM (SELECT *, unnest(range(0, (n_clusters + 7) // 8)) AS pos FROM (SELECT *, unnest(range(0, {reps})) AS rep FROM {sizes}))))) GROUP BY scope, rep, cluster_idx"""
+  FROM (SELECT *, unnest(range(0, least(8, n_clusters - 8 * pos))) AS word FROM (SELECT *, sha256(seed || ':' || rep || ':' || pos) AS hash
+  FROM (SELECT *, unnest(range(0, (n_clusters + 7) // 8)) AS pos FROM (SELECT *, {seed_sql("scope", seed)} AS seed, unnest(range(0, {reps})) AS rep FROM {sizes}))))) GROUP BY scope, rep, cluster_idx"""
 
 
 _SIZES = "sizes AS (SELECT task AS scope, count(DISTINCT response_id) AS n_clusters FROM tokens GROUP BY task)"

@@ -29,8 +29,7 @@ def located(spark, d):
 
 
 def labelled_pieces(spark, d):
-    pieces = texts.pieces(table(spark, d, "documents"), "doc_id", "text")
-    return sp.label_tokens(pieces, located(spark, d), "doc_id")
+    return sp.labelled_pieces(table(spark, d, "documents"), located(spark, d), "doc_id", "text")
 
 
 @query("""SELECT d.doc_id, b.item_id, CASE WHEN instr(substr(d.text, instr(d.text, b.text) + 1), b.text) > 0 THEN 'ambiguous' ELSE 'ok' END AS status,
@@ -106,8 +105,9 @@ def context_tokens(spark, d):
 def _pieces_and_passages(spark, d):
     """The pieces of documents that hold passages, beside each of those; an equi-join by document."""
     found = located(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    return texts.pieces(docs, "doc_id", "text").join(found, "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    rows = docs.join(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start", "end")).alias("_found")), "doc_id")
+    return texts.pieces(rows, "doc_id", "text", ("_found",)).select("*", F.inline("_found")).drop("_found")
 
 
 @query(f"WITH {PIECES}, {LOCATED} SELECT l.doc_id, l.item_id, count(p.token_index) AS n_prefix_tokens FROM located l LEFT JOIN pieces p ON p.doc_id = l.doc_id AND p.char_end <= l.s GROUP BY l.doc_id, l.item_id")
@@ -135,8 +135,8 @@ def predictor_position(spark, d):
 def feature_rows(spark, d):
     """Feature rows: a document's metadata repeated over its tokens, and a feature of each."""
     docs = table(spark, d, "documents")
-    pieces = texts.pieces(docs, "doc_id", "text").withColumn("feature_length", F.length("piece").cast("bigint")).drop("piece")
-    return pieces.join(docs.select("doc_id", F.col("lang").alias("task"), "source"), "doc_id").select("doc_id", "task", "source", "token_index", "char_start", "char_end", "feature_length")
+    pieces = texts.pieces(docs.withColumnRenamed("lang", "task"), "doc_id", "text", ("task", "source")).withColumn("feature_length", F.length("piece").cast("bigint"))
+    return pieces.select("doc_id", "task", "source", "token_index", "char_start", "char_end", "feature_length")
 
 
 @query(r"""SELECT conv_id, '<|system|>' || chr(10) || coalesce(max(text) FILTER (WHERE role = 'system'), '') || '<|end|>' || chr(10) || '<|user|>' || chr(10) ||
