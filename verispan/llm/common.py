@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel holds at once, but for a single longer text.
 BLOCK_BYTES = 1 << 20
+#: Spark's setting that has an execution's shuffle files deleted once it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables in the shared folder, in the order in which this driver wrote them.
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +57,9 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``materialize``, with the table's path, so that the caller can drop it early."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
 
     def tidy() -> None:
         with contextlib.suppress(Exception):
@@ -63,6 +69,24 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside has its shuffle files deleted at its end; the written table replaces them."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
+def release(spark: SparkSession, first: int) -> None:
+    """Delete the tables that ``stored`` wrote from number ``first`` on, but the last: nothing may read them any more."""
+    for path in WRITTEN[first:-1]:
+        drop_path(spark, path)
+    del WRITTEN[first:-1]
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
