@@ -57,7 +57,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix.remove_repeats(documents(spark, sf_dir))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

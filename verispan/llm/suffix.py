@@ -1,9 +1,10 @@
 """Exact substring dedup: suffix arrays of shards, common prefixes, and a merge across shards.
 
-Every string of SPAN bytes is led to one shard by its content: the string's anchor is the
-leftmost of its GRAM-byte grams with the least hash. Equal strings have equal anchors, so
-strings need comparing only with strings of the same anchor. The strings of one anchor
-occurrence lie side by side and make a region of at most 2 * SPAN bytes.
+Two lengths count at once: strings of SPAN bytes, which are removed where they repeat, and of
+LEAST bytes, whose repeats are only reported. Every place where LEAST bytes begin is led to one
+shard by their content: its anchor is the leftmost of their GRAM-byte grams with the least hash.
+Equal strings, of either length, have equal anchors, so strings need comparing only with strings of
+the same anchor. The strings of one anchor occurrence begin side by side and make a region.
 
 1. Anchors. A scan lists each document's regions: anchor, digest of the region, place.
 2. Anchors that occur once hold no repeat. Where all regions of an anchor are equal, all of
@@ -21,21 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, blocks, kernel, materialize, pack, spread, text_buffers, unpack
+from .common import binary_column, blocks, drop_path, kernel, materialize, pack, signed, spread, stored, text_buffers, unpack
 
 SPAN = 400
+#: Repeats of this many bytes, some fifty words, are reported.
+LEAST = 272
+LEVELS = (LEAST, SPAN)
 GRAM = 32
-WINDOW = SPAN - GRAM + 1
+#: Bytes to which all suffixes of a shard are sorted, before those at strings' beginnings go on.
+STEP = 64
+WINDOW = LEAST - GRAM + 1
 #: Strings of a single text that are anchored at once.
 SEGMENT = 1 << 22
-#: Bytes of regions that one suffix array covers, and regions of an anchor that one shard gets.
-SHARD_BYTES = 1 << 20
+#: Bytes of regions that one suffix array covers (its arrays then fit a core's cache), and regions of an anchor that one shard gets.
+SHARD_BYTES = 1 << 17
 CROWD = 2048
+#: Strings of salted anchors that one task of the merge should hold.
+MERGED = 1 << 20
 #: No byte of UTF-8.
 SEPARATOR = b"\xff"
 _NOBODY = -(1 << 63)
@@ -75,17 +83,17 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, text, first, strings): the texts' regions; a region holds ``strings`` strings
-    of SPAN bytes that start one after the other at byte ``first`` of data, all with one anchor."""
+    """(anchor hash, text, first, strings): the texts' regions; in a region ``strings`` strings of LEAST
+    bytes begin one after the other at byte ``first`` of data, all with one anchor."""
     found = [[], [], [], []]
-    total = len(data) - SPAN + 1
-    owner = np.searchsorted(at, np.arange(len(data)), "right") - 1 if total > 0 else None
+    total = len(data) - LEAST + 1
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at)) if total > 0 else None
     for low in range(0, max(0, total), SEGMENT):
         high = min(low + SEGMENT, total)
-        h = _grams(data[low : high + SPAN - 1])
+        h = _grams(data[low : high + LEAST - 1])
         least = _sliding_min(h & ~_PLACE | np.arange(len(h), dtype=np.uint64), WINDOW)
         anchor = (least & _PLACE).astype(np.int64)
-        inside = np.flatnonzero(owner[low:high] == owner[low + SPAN - 1 : high + SPAN - 1])
+        inside = np.flatnonzero(owner[low:high] == owner[low + LEAST - 1 : high + LEAST - 1])
         if not len(inside):
             continue
         begin = np.concatenate([[True], (np.diff(inside) != 1) | (np.diff(anchor[inside]) != 0)])
@@ -96,111 +104,148 @@ def regions(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate([np.zeros(0, k), *f]).astype(k) for f, k in zip(found, kinds, strict=True))
 
 
-OCCURRENCES = "anchor long, d1 long, d2 long, id long, mark long, first long, strings int"
+OCCURRENCES = "anchor long, digest long, id long, mark long, first int, strings int, size int"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Regions with the digest of their bytes, which go on to the end of their last string of SPAN bytes or of the text."""
     for batch in blocks(batches):
         data, at = text_buffers(batch.column("text"))
         anchor, text, first, strings = regions(data, at)
+        end = np.minimum(first + strings - 1 + SPAN, at[text + 1])
         raw = memoryview(np.ascontiguousarray(data))
-        digests = b"".join(xxhash.xxh3_128_digest(raw[a : a + n + SPAN - 1]) for a, n in zip(first.tolist(), strings.tolist(), strict=True))
-        halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
-        columns = [pa.array(anchor.view(np.int64)), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))]
-        columns += [batch.column(c).take(pa.array(text)) for c in ("id", "mark")]
-        columns += [pa.array(first - at[text]), pa.array(strings.astype(np.int32))]
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(first))
+        columns = [signed(anchor), signed(digests), *[batch.column(c).take(pa.array(text)) for c in ("id", "mark")]]
+        columns += [pa.array(x.astype(np.int32)) for x in (first - at[text], strings, end - first)]
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in OCCURRENCES.split(", ")])
 
 
-def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int = SPAN, only: np.ndarray | None = None) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` bytes or more, by Larsson-Sadakane refinement.
 
     Suffixes are grouped by their first eight bytes; each round sorts those of unsorted groups by
-    the group of the suffix h bytes further on, and doubles h. Groups of one are done.
+    the group of the suffix h bytes further on, and doubles h. Groups of one are done. If only the
+    suffixes at some places are wanted, doubling ends at STEP bytes, and only those go on, by the
+    groups of the suffixes STEP, 2 * STEP, ... bytes further on.
     """
     head = _loads(text, ">")
     n = len(text)
     order = np.argsort(head)
     ordered = head[order]
     starts = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:n]
-    rank = np.zeros(n, np.int64)
-    group = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    rank[order] = group
+    rank = np.zeros(n + depth, np.int64)  # a place behind the text ranks first
+    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
     h = 8
     open_ = np.flatnonzero(~(starts & np.append(starts[1:], True)))
-    while len(open_) and h < depth:
+    while len(open_) and h < (depth if only is None else STEP):
         at = order[open_]
-        further = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        keys = rank[at] << 32 | further
-        by = np.argsort(keys)
-        keys, at = keys[by], at[by]
-        order[open_] = at
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
-        alone = new & np.append(new[1:], True)
-        open_ = open_[~alone]
+        open_, at, ranks = _refined(open_, at, rank[at], rank[at + h])
+        order[open_[0]] = at
+        rank[at] = ranks
+        open_ = open_[1]
         h *= 2
+    if only is None:
+        return order
+    order = only[np.argsort(rank[only])]
+    own = rank[order]
+    starts = np.concatenate([[True], own[1:] != own[:-1]])[: len(order)]
+    group = np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0)) + 1
+    open_ = np.flatnonzero(~(starts & np.append(starts[1:], True)))
+    while len(open_) and h < depth:
+        at = order[open_]
+        open_, at, ranks = _refined(open_, at, group[open_], rank[at + h])
+        order[open_[0]] = at
+        group[open_[0]] = ranks
+        open_ = open_[1]
+        h += STEP
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each suffix, by place, the bytes in common with the one before it in ``order`` (Kasai).
+def _refined(open_: np.ndarray, at: np.ndarray, group: np.ndarray, further: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """((places, those still open), suffixes, groups): the suffixes of unsorted groups, sorted by ``further`` within each."""
+    keys = group << 32 | further
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    alone = new & np.append(new[1:], True)
+    return (open_, open_[~alone]), at[by], np.maximum.accumulate(np.where(new, open_, 0)) + 1
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = None) -> np.ndarray:
+    """For each suffix in ``order``, by place, the bytes in common with the one before it there (Kasai).
 
     A suffix that follows, in the text, one whose neighbour is followed by its own neighbour has one
-    byte less in common; only the other suffixes are compared, eight bytes at a time.
+    byte less in common; only the other suffixes are compared, eight bytes at a time, up to ``most`` bytes.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    held = np.zeros(n, bool)
+    held[order] = True
     carries = np.zeros(n, bool)
     prior = before[:-1]
     carries[1:] = (prior >= 0) & (before[1:] == prior + 1) & (text[:-1] == text[np.maximum(prior, 0)])
-    place = np.flatnonzero(~carries)
+    place = np.flatnonzero(held & ~carries)
     head = np.concatenate([_loads(text, ">"), np.zeros(1, np.uint64)])
     length = np.zeros(len(place), np.int64)
     live = np.flatnonzero(before[place] >= 0)
     step = 0
-    while len(live):
+    while len(live) and (most is None or step < most):
         p, q = place[live] + step, before[place[live]] + step
         room = np.maximum(n - np.maximum(p, q), 0)
-        differs = head[np.minimum(p, n)] ^ head[np.minimum(q, n)]
-        same = sum((differs < np.uint64(1 << (8 * k))).astype(np.int64) for k in range(8)) if len(live) else 0
-        same = np.minimum(same, room)
+        same = np.minimum(_equal_bytes(head[np.minimum(p, n)] ^ head[np.minimum(q, n)]), room)
         length[live] += same
         live = live[same == 8]
         step += 8
     last = np.maximum.accumulate(np.where(carries, 0, np.arange(n)))
-    return length[np.searchsorted(place, last)] - (np.arange(n) - last)
+    out = np.zeros(n, np.int64)
+    out[order] = length[np.searchsorted(place, last[order])] - (order - last[order])
+    return out
+
+
+def _equal_bytes(differs: np.ndarray) -> np.ndarray:
+    """The leading bytes that are zero in each number."""
+    same = np.zeros(len(differs), np.int64)
+    for bits in (32, 16, 8):
+        zero = differs < np.uint64(1 << (64 - bits))
+        same += zero * (bits // 8)
+        differs = np.where(zero, differs << np.uint64(bits), differs)
+    return same + (differs == 0)
 
 
-def string_groups(text: np.ndarray, is_start: np.ndarray) -> np.ndarray:
-    """For each place, a number that equal SPAN-byte strings share; -1 where none starts."""
-    order = suffix_array(text)
-    group = np.cumsum(common_prefixes(text, order)[order] < SPAN)
-    out = np.full(len(text), -1, np.int64)
-    out[order] = group
+def string_groups(order: np.ndarray, prefixes: np.ndarray, is_start: np.ndarray, span: int) -> np.ndarray:
+    """For each place, a number that equal strings of ``span`` bytes share; -1 where none starts."""
+    out = np.full(len(prefixes), -1, np.int64)
+    out[order] = np.cumsum(prefixes[order] < span)
     out[~is_start] = -1
     return out
 
 
-WANTED = "anchor long, salt int, salts int, d1 long, d2 long, region binary"
-FOUND = "route long, anchor long, d1 long, d2 long, a int, z int, strings binary"
-RUNS = "anchor long, d1 long, d2 long, a int, z int"
+WANTED = "anchor long, salt int, salts int, digest long, strings int, region binary"
+FOUND = "route long, anchor long, digest long, level int, a int, z int, strings binary"
+RUNS = "anchor long, digest long, level int, a int, z int"
 
 
 def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         data, at = text_buffers(batch.column("text"))
         raw = data.tobytes()
-        rows = []
-        for k, wanted in enumerate(batch.column("wanted").to_pylist()):
-            for x in wanted:
-                low = int(at[k]) + x["first"]
-                rows.append((x["anchor"], x["d1"] % x["salts"], x["salts"], x["d1"], x["d2"], raw[low : low + x["strings"] + SPAN - 1]))
-        for low in range(0, len(rows), 2000):
-            columns = list(zip(*rows[low : low + 2000], strict=True))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in WANTED.split(", ")])
+        each, owner = _flat(batch.column("wanted"))
+        low = at[owner] + each["first"]
+        regions_ = [raw[a:z] for a, z in zip(low.tolist(), (low + each["size"]).tolist(), strict=True)]
+        salts = each["salts"]
+        columns = [pa.array(each["anchor"]), pa.array((each["digest"] % salts).astype(np.int32)), pa.array(salts), pa.array(each["digest"]), pa.array(each["strings"]), binary_column(regions_)]
+        whole = pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WANTED.split(", ")])
+        for k in range(0, whole.num_rows, 2000):
+            yield whole.slice(k, 2000)
+
+
+def _flat(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The fields of a column of lists of structs, all rows' one after the other, and the row of each; null lists are empty."""
+    held = column.flatten()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    fields = {held.type.field(k).name: pc.struct_field(held, [k]).to_numpy(zero_copy_only=False) for k in range(held.type.num_fields)}
+    return fields, np.repeat(np.arange(len(column)), size)
 
 
 def _shards(buckets: int):
@@ -208,7 +253,8 @@ def _shards(buckets: int):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c.split()[0]).to_pylist() for c in WANTED.split(", ")), strict=True):
+            columns = [batch.column(c.split()[0]).to_pylist() for c in WANTED.split(", ")]
+            for row in zip(*columns, strict=True):
                 if size > SHARD_BYTES and row[:2] != held[-1][:2]:  # an anchor's share stays together
                     yield from _shard(held, buckets)
                     held, size = [], 0
@@ -226,24 +272,33 @@ def _shard(rows: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
     size = np.array([len(r[5]) for r in rows])
     low = np.cumsum(size + 1) - size - 1
     owner = np.repeat(np.arange(len(rows)), size + 1)
-    left = (low + size)[owner] - np.arange(len(text))
-    group = string_groups(text, left >= SPAN)
-    starts = np.flatnonzero(group >= 0)
-    _, first, inverse, count = np.unique(group[starts], return_index=True, return_inverse=True, return_counts=True)
-    flags = np.zeros(len(text) + 2, np.int8)
-    flags[starts[count[inverse] > 1] + 1] = 1
-    edges = np.diff(flags)
-    rises, falls = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
-    at = owner[rises]
-    kinds = np.array([(r[0], r[3], r[4]) for r in rows], np.int64)
-    if len(rises):
-        yield _found(kinds[at, 2] ^ rises | np.int64(_NOBODY), kinds[at], rises - low[at], falls - low[at], [None] * len(rises))
-    salted = np.array([r[2] > 1 for r in rows])[owner[starts[first]]]
-    if not salted.any():
-        return
-    places, twice = starts[first][salted], (count > 1)[salted]
-    raw = memoryview(text)
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + SPAN]) for p in places.tolist()), "<u8").reshape(-1, 2)
+    place = np.arange(len(text)) - low[owner]
+    begins = place < np.array([r[4] for r in rows])[owner]
+    order = suffix_array(text, SPAN, np.flatnonzero(begins))
+    prefixes = common_prefixes(text, order, int(size.max()) + 8)
+    kinds = np.array([(r[0], r[3]) for r in rows], np.int64)
+    salts = np.array([r[2] for r in rows])
+    for level, span in enumerate(LEVELS):
+        group = string_groups(order, prefixes, begins & (size[owner] - place >= span), span)
+        starts = np.flatnonzero(group >= 0)
+        if not len(starts):
+            continue
+        _, first, inverse, count = np.unique(group[starts], return_index=True, return_inverse=True, return_counts=True)
+        flags = np.zeros(len(text) + 2, np.int8)
+        flags[starts[count[inverse] > 1] + 1] = 1
+        edges = np.diff(flags)
+        rises, falls = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+        at = owner[rises]
+        if len(rises):
+            yield _found(kinds[at, 1] ^ rises | np.int64(_NOBODY), kinds[at], level, rises - low[at], falls - low[at], [None] * len(rises))
+        salted = (salts > 1)[owner[starts[first]]]
+        if salted.any():
+            yield from _sorted_strings(text, starts[first][salted], (count > 1)[salted], owner, low, kinds, level, buckets)
+
+
+def _sorted_strings(text: np.ndarray, places: np.ndarray, twice: np.ndarray, owner: np.ndarray, low: np.ndarray, kinds: np.ndarray, level: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    raw, span = memoryview(text), LEVELS[level]
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + span]) for p in places.tolist()), "<u8").reshape(-1, 2)
     bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
     for b in np.unique(bucket).tolist():
         own = np.flatnonzero(bucket == b)
@@ -251,11 +306,11 @@ def _shard(rows: list[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
         of, table = np.unique(owner[places[own]], return_inverse=True)
         offset = places[own] - low[owner[places[own]]]
         blob = pack(digests[own], table.astype("<u4"), offset.astype("<u4"), twice[own].astype(np.uint8), kinds[of])
-        yield _found(np.array([b]), np.zeros((1, 3), np.int64), np.zeros(1), np.zeros(1), [blob])
+        yield _found(np.array([b * len(LEVELS) + level]), np.zeros((1, 2), np.int64), level, np.zeros(1), np.zeros(1), [blob])
 
 
-def _found(route: np.ndarray, kinds: np.ndarray, a: np.ndarray, z: np.ndarray, blobs: list) -> pa.RecordBatch:
-    columns = [pa.array(route.astype(np.int64)), *[pa.array(np.ascontiguousarray(kinds[:, k])) for k in range(3)]]
+def _found(route: np.ndarray, kinds: np.ndarray, level: int, a: np.ndarray, z: np.ndarray, blobs: list) -> pa.RecordBatch:
+    columns = [pa.array(route.astype(np.int64)), *[pa.array(np.ascontiguousarray(kinds[:, k])) for k in range(2)], pa.array(np.full(len(route), level, np.int32))]
     columns += [pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(blobs, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
@@ -265,22 +320,22 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in RUNS.split(", ")]
     bucket, blobs = None, []
     for batch in batches:
-        runs = batch.filter(pa.compute.is_null(batch.column("strings"))).select(names)
+        runs = batch.filter(pc.is_null(batch.column("strings"))).select(names)
         if runs.num_rows:
             yield runs
-        for route, blob in zip(batch.column("route").to_pylist(), batch.column("strings").to_pylist(), strict=True):
+        for route, level, blob in zip(*(batch.column(c).to_pylist() for c in ("route", "level", "strings")), strict=True):
             if blob is None:
                 continue
-            if route != bucket and blobs:
-                yield from _settled(blobs)
+            if (route, level) != bucket and blobs:
+                yield from _settled(blobs, bucket[1])
                 blobs = []
-            bucket = route
+            bucket = route, level
             blobs.append(blob)
     if blobs:
-        yield from _settled(blobs)
+        yield from _settled(blobs, bucket[1])
 
 
-def _settled(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _settled(blobs: list[bytes], level: int) -> Iterator[pa.RecordBatch]:
     """Single strings found, by binary search in all shards' sorted strings, more than once."""
     shards = [unpack(b) for b in blobs]
     kind = np.dtype([("x", "<u8"), ("y", "<u8")])
@@ -292,63 +347,89 @@ def _settled(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         hit = single[np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left") > 1]
         if len(hit):
             at = np.frombuffer(offset, "<u4")[hit].astype(np.int32)
-            of = np.frombuffer(kinds, np.int64).reshape(-1, 3)[np.frombuffer(table, "<u4")[hit]]
-            columns = [pa.array(np.ascontiguousarray(of[:, k])) for k in range(3)] + [pa.array(at), pa.array(at)]
+            of = np.frombuffer(kinds, np.int64).reshape(-1, 2)[np.frombuffer(table, "<u4")[hit]]
+            columns = [pa.array(np.ascontiguousarray(of[:, k])) for k in range(2)] + [pa.array(np.full(len(hit), level, np.int32)), pa.array(at), pa.array(at)]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUNS.split(", ")])
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary"
+
+
+def _covered(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    steps = np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1)
+    return np.cumsum(steps[:size]) > 0
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         data, at = text_buffers(batch.column("text"))
-        raw = data.tobytes()
-        removed, spans, kept = [], [], []
-        for k, repeats in enumerate(batch.column("repeats").to_pylist()):
-            text = raw[at[k] : at[k + 1]]
-            parts, end, runs = [], 0, 0
-            for a, z in sorted((x["low"], x["high"]) for x in repeats or ()):
-                if a > end or not runs:
-                    parts.append(text[end:a])
-                    runs += 1
-                end = max(end, z)
-            parts.append(text[end:])
-            kept.append(b"".join(parts))
-            removed.append(len(text) - len(kept[-1]))
-            spans.append(runs)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), binary_column(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        each, owner = _flat(batch.column("repeats"))
+        low, high, level = at[owner] + each["low"], at[owner] + each["high"], each["level"] > 0
+        repeated, gone = _covered(low, high, len(data)), _covered(low[level], high[level], len(data))
+        rises = gone.copy()
+        rises[1:] &= ~gone[:-1]
+        edges = at[:-1][at[:-1] < at[-1]]
+        rises[edges] = gone[edges]  # a run never goes on from one text into the next
+        within = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[at])
+        left = data[~gone].tobytes()
+        cut = np.concatenate([[0], np.cumsum(np.diff(at) - within(gone))]).tolist()
+        kept = [left[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        columns = [batch.column("doc_id"), pa.array(np.diff(at)), *[pa.array(within(x)) for x in (gone, rises, repeated)], binary_column(kept)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in OUT.split(", ")])
+
+
+def _runs_of(rows: DataFrame) -> DataFrame:
+    """(id, mark, low, high, level) of regions all of whose strings repeat."""
+    last = F.least(F.col("strings"), F.col("size") - (SPAN - 1))
+    both = F.array(
+        F.struct((F.col("first") + F.col("strings") + (LEAST - 1)).alias("high"), F.lit(0).alias("level"), F.col("strings").alias("n")),
+        F.struct((F.col("first") + last + (SPAN - 1)).alias("high"), F.lit(1).alias("level"), last.alias("n")),
+    )
+    return rows.select("id", "mark", F.col("first").alias("low"), F.inline(both)).where("n > 0").drop("n")
+
+
+def _runs(texts: DataFrame, kinds: DataFrame, crowd: DataFrame) -> DataFrame:
+    """Runs of repeated strings in the regions of ``kinds``, by shards and their merge."""
+    salted = crowd.where("salts > 1").agg(F.sum("all")).first()[0] or 0
+    wanted = kinds.join(crowd.select("anchor", "salts"), "anchor").groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "salts", "digest", "first", "strings", "size")).alias("wanted"))
+    cut = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc_id", "text", "wanted").mapInArrow(kernel(_cut_regions), WANTED)
+    width = spread(texts)
+    buckets = max(width, -(-salted // MERGED))
+    shards = cut.repartition(width, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(kernel(_shards(buckets)), FOUND)
+    return materialize(shards.repartition(buckets, "route").sortWithinPartitions("route").mapInArrow(kernel(_merge), RUNS), "runs")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): each row's UTF-8 bytes without repeated strings.
+    """(doc_id, n_bytes, n_removed, n_spans, n_repeated, kept): each row's UTF-8 bytes without repeated strings.
 
     A byte goes if it is in a string of SPAN bytes that starts anywhere else too, in the same text
     or another; all strings are judged on the texts as they come. kept holds the other bytes, and
-    n_spans counts the runs cut out. docs needs doc_id and text; other columns are ignored. Null texts
+    n_spans counts the runs cut out. n_repeated counts the bytes in strings of LEAST bytes that start
+    elsewhere too, kept or not. docs needs doc_id and text; other columns are ignored. Null texts
     count as empty, shorter texts stay whole, matches never cross texts. Repeated rows repeat each
     other, null doc_ids are rows like others, and no rows give none.
     """
+    spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NOBODY))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("id"), F.xxhash64("text").alias("mark"), "text")
-    places = materialize(texts.where(F.length("text") >= SPAN // 4).select("id", "mark", "text").mapInArrow(kernel(_occurrences), OCCURRENCES), "places")
-    met = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2"))
-    met = met.where("n > 1").select("anchor", ((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2"))).alias("equal"))
-    again = materialize(places.join(met, "anchor").withColumn("place", F.monotonically_increasing_id()), "repeats")
-    mixed = again.where("not equal")
-    kinds = mixed.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min("place").alias("place"))
-    crowd = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("salts"))
-    one_each = mixed.join(kinds.select("place"), "place").join(crowd, "anchor")
-    wanted = one_each.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "salts", "d1", "d2", "first", "strings")).alias("wanted"))
-    cut = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("doc_id", "text", "wanted").mapInArrow(kernel(_cut_regions), WANTED)
-    width = spread(docs)
-    shards = cut.repartition(width, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(kernel(_shards(width)), FOUND)
-    runs = shards.repartition(width, "route").sortWithinPartitions("route").mapInArrow(kernel(_merge), RUNS)
-    some = mixed.select("id", "mark", "anchor", "d1", "d2", "first").join(runs, ["anchor", "d1", "d2"])
-    some = some.select("id", "mark", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("z") + SPAN).alias("high"))
-    copied = mixed.join(kinds.where("n > 1").select("anchor", "d1", "d2"), ["anchor", "d1", "d2"], "left_semi").select("id", "mark", "first", "strings")
-    whole = again.where("equal").select("id", "mark", "first", "strings").unionByName(copied)
-    whole = whole.select("id", "mark", F.col("first").alias("low"), (F.col("first") + F.col("strings") + SPAN - 1).alias("high"))
-    repeats = whole.unionByName(some).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("repeats"))
+    places, path = stored(texts.where(F.octet_length("text") >= LEAST).select("id", "mark", "text").mapInArrow(kernel(_occurrences), OCCURRENCES), "places")
+    met = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    # written, so that adaptive execution can split the join where an anchor is hot
+    met = materialize(met.where("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("equal")), "anchors")
+    again = materialize(places.join(met, "anchor"), "repeats")
+    drop_path(spark, path)
+    whole = again.where("equal")
+    # equal rows count as often as they occur, but their places go on once
+    mixed = again.where("not equal").groupBy("anchor", "digest", "id", "mark", "first", "strings", "size").agg(F.count("*").alias("times"))
+    mixed = materialize(mixed, "mixed")
+    kinds = mixed.groupBy("anchor", "digest").agg(F.sum("times").alias("n"), F.min(F.struct("id", "mark", "first", "strings", "size")).alias("one"))
+    kinds = materialize(kinds.select("anchor", "digest", "n", "one.*"), "kinds")
+    crowd = materialize(kinds.groupBy("anchor").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("salts"), F.sum("strings").alias("all")), "crowd")
+    runs = _runs(texts, kinds, crowd)
+    some = mixed.select("id", "mark", "anchor", "digest", "first").join(runs, ["anchor", "digest"])
+    span = F.when(F.col("level") == 0, LEAST).otherwise(SPAN)
+    some = some.select("id", "mark", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("z") + span).alias("high"), "level")
+    copied = mixed.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+    repeats = _runs_of(whole).unionByName(_runs_of(copied)).unionByName(some)
+    repeats = repeats.groupBy("id", "mark").agg(F.collect_set(F.struct("low", "high", "level")).alias("repeats"))
     return texts.join(repeats, ["id", "mark"], "left").select("doc_id", "text", "repeats").mapInArrow(kernel(_cut_out), OUT)
-
