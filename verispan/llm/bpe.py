@@ -74,15 +74,18 @@ def _pretokens(pattern: str, buckets: int):
         def close() -> Iterator[pa.RecordBatch]:
             chunk = (task << 32) + serial
             seq = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            numbers.clear()
             order = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             spelled = list(words)
+            words.clear()  # the words' own memory is most of a chunk's
             spelled = [spelled[k].encode() for k in order.tolist()]
             place = np.fromiter((zlib.crc32(w) % buckets for w in spelled), np.uint16, len(spelled))
             known = np.array([x is not None for x in ids], np.uint8)
             head = pack(np.array([x or 0 for x in ids], "<i8"), known, np.array(counts, "<i8"), place, *_planes(rank[seq]))
             yield _rows([(chunk, POSITIONS, zlib.crc32(str(chunk).encode()) % buckets, head)])
+            del head, seq, rank
             by = np.argsort(place, kind="stable")
             at = np.searchsorted(place[by], np.arange(buckets + 1))
             out = []
