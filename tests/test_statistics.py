@@ -166,3 +166,19 @@ def test_context_scores_agree(spark):
     assert np.allclose([got[i] for i in range(9)], want)
     windowed = attention.causal_pairs(rows, "key", "position", 3).collect()
     assert {(r.query, r.key_position) for r in windowed} == {(q, k) for q in range(9) for k in range(max(0, q - 2), q + 1)}
+
+
+def test_draws_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Nothing but replicates' numbers may meet in one task, however small the table of groups; words come in pieces."""
+    monkeypatch.setattr(bootstrap, "OUT_ROWS", 7, raising=False)
+    sizes = spark.createDataFrame([("a", 41), (None, 3), ("one", 1)], "scope string, n_clusters long").groupBy("scope").agg(F.max("n_clusters").alias("n_clusters"))
+    found = bootstrap.draws(sizes, ["scope"], 40, 5, F.col("scope")).withColumn("task", F.spark_partition_id())
+    rows = found.collect()
+    assert len({r.task for r in rows}) == 40 and len({(r.scope, r.rep, r.cluster_idx) for r in rows}) == len(rows)
+    assert {n: sum(r.w for r in rows if r.scope == n) for n in ("a", None, "one")} == {"a": 1640, None: 120, "one": 40}
+    got = {(r.rep, r.cluster_idx): r.w for r in rows if r.scope == "a"}
+    for rep in range(40):
+        assert [got.get((rep, k), 0) for k in range(41)] == np.bincount(bootstrap.drawn(5, "a", rep, 41), minlength=41).tolist()
+    monkeypatch.setattr(bootstrap, "DRAWN", 16)
+    pieces = bootstrap.drawn_counts(bootstrap.scope_seed(5, "a"), 3, 41)
+    assert pieces.tolist() == [got.get((3, k), 0) for k in range(41)]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,11 @@ CELLS = 1 << 19
 #: Rows that a range of scores should hold, and ranges at most.
 RANGE_ROWS = 1 << 20
 RANGES = 64
+#: Words hashed at once, and rows of a batch that draws give.
+DRAWN = 1 << 17
+OUT_ROWS = 1 << 16
+#: Tasks that replicates are dealt to; given, so that they are not joined for being small.
+TASKS = 64
 
 
 def scope_seed(seed: int, scope: str) -> int:
@@ -41,20 +48,46 @@ def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int, scope:
 
     clusters: by..., n_clusters, one row a group. Draw k of a replicate is word k % 8 of the SHA-256 of
     the scope's seed, replicate and k // 8, modulo the number of clusters, so any engine can repeat it, in any order.
+    A task draws whole replicates, one after the other, so nothing but the replicates' numbers is shuffled, and
+    a task holds one replicate's counts.
     """
-    reps = clusters.withColumn("_seed", scope_seeds(seed, scope)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    spots = reps.withColumn("_at", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_clusters") - 1) / WORDS).cast("int"))))
-    spots = spots.withColumn("_hash", F.sha2(F.concat_ws(":", "_seed", F.col("rep").cast("string"), F.col("_at").cast("string")), 256))
-    words = F.array(*[F.conv(F.substring("_hash", 1 + 8 * k, 8), 16, 10).cast("bigint") % F.col("n_clusters") for k in range(WORDS)])
-    drawn = F.explode(F.slice(words, F.lit(1), F.least(F.lit(WORDS), (F.col("n_clusters") - WORDS * F.col("_at")).cast("int"))))
-    return spots.withColumn("cluster_idx", drawn).groupBy(*by, "rep", "cluster_idx").agg(F.count("*").alias("w"))
+    reps = clusters.select(*by, F.col("n_clusters").cast("long").alias("_size"), scope_seeds(seed, scope).alias("_seed"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    dealt = reps.where("_size > 0").repartitionById(TASKS, F.pmod("rep", F.lit(TASKS)).cast("int"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name in by)
+    rows = OUT_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (size, own, rep) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_size", "_seed", "rep")], strict=True)):
+                counts = drawn_counts(own, rep, size)
+                found = np.flatnonzero(counts)
+                for low in range(0, len(found), rows):
+                    at = found[low : low + rows]
+                    one = pa.array(np.full(len(at), k))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(one) for c in (*by, "rep")], pa.array(at), pa.array(counts[at].astype(np.int64))], [*by, "rep", "cluster_idx", "w"])
+
+    return dealt.select(*by, "rep", "_size", "_seed").mapInArrow(run, f"{fields}, rep int, cluster_idx bigint, w bigint")
+
+
+def _words(seed: int | str, rep: int, count: int) -> Iterator[np.ndarray]:
+    """The first ``count`` words of a replicate, a bounded number at once."""
+    head = f"{seed}:{rep}:".encode()
+    for low in range(0, count, DRAWN):
+        digests = b"".join([hashlib.sha256(b"%b%d" % (head, k)).digest() for k in range(low // WORDS, -(-min(count, low + DRAWN) // WORDS))])
+        yield np.frombuffer(digests, ">u4")[: count - low].astype(np.int64)
 
 
 def drawn(seed: int, scope: str, rep: int, count: int) -> np.ndarray:
     """The clusters that ``draws`` draws for a replicate, in order."""
-    head = f"{scope_seed(seed, scope)}:{rep}"
-    digests = b"".join([hashlib.sha256(f"{head}:{k}".encode()).digest() for k in range(-(-count // WORDS))])
-    return np.frombuffer(digests, ">u4")[:count].astype(np.int64) % count
+    return np.concatenate([np.zeros(0, np.int64), *[words % count for words in _words(scope_seed(seed, scope), rep, count)]])
+
+
+def drawn_counts(seed: int | str, rep: int, count: int) -> np.ndarray:
+    """How often each cluster is drawn for a replicate; seed: the scope's."""
+    counts = np.zeros(count, np.int32)
+    for words in _words(seed, rep, count):
+        np.add.at(counts, words % count, np.int32(1))
+    return counts
 
 
 def cluster_index(tokens: DataFrame, by: list[str], response: str) -> DataFrame:
