@@ -182,3 +182,27 @@ def test_draws_are_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(bootstrap, "DRAWN", 16)
     pieces = bootstrap.drawn_counts(bootstrap.scope_seed(5, "a"), 3, 41)
     assert pieces.tolist() == [got.get((3, k), 0) for k in range(41)]
+
+
+@pytest.mark.parametrize("weight_bytes", [1 << 27, 50])
+def test_replicates_over_small_chunks(spark, monkeypatch, weight_bytes):
+    """Ties that go on over many chunks, repeated rows, both zeros, two kinds and blocks cut by their weights' size."""
+    for name, value in (("RANGE_ROWS", 3), ("BLOCK", 4), ("CELLS", 5), ("WEIGHT_BYTES", weight_bytes)):
+        monkeypatch.setattr(bootstrap, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(k, s, int(c), 20, int(rng.integers(2)), float(rng.integers(3))) for k in ("a", "b") for s in ("x", "y") for c in rng.integers(0, 20, 70)]
+    rows = [(*r[:5], -0.0 if r[5] == 0 and r[2] % 2 else r[5]) for r in rows]
+    df = spark.createDataFrame(rows, "kind string, scope string, cluster_idx long, n_clusters long, label int, score double")
+    got = {(r.kind, r.scope, r.rep): r.auc for r in bootstrap.replicated_auc(df, 9, 5).collect()}
+    assert len(got) == 36
+    for (kind, scope, rep), area in got.items():
+        w = np.bincount(bootstrap.drawn(5, scope, rep, 20), minlength=20)
+        assert area == pytest.approx(plain_auc([(y, s, w[c]) for k, g, c, _, y, s in rows if (k, g) == (kind, scope)]))
+
+
+def test_replicates_are_computed_once(spark):
+    """TaskMacro, both levels and all ranges of scores take one pass over the replicates, and none draws again."""
+    first = tokens(spark)
+    for found in (evaluation.replicate_aucs(first, TASKS, 20, 42), evaluation.paired_replicates(first, tokens(spark, -1.0), TASKS, 20, 42).where("scope = 'TaskMacro'")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("run(" in line for line in plan.splitlines()) == 1

@@ -8,10 +8,9 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import is_finite
@@ -19,16 +18,17 @@ from .splits import in_total_order
 
 #: Draws that one SHA-256 gives.
 WORDS = 8
-#: Replicates of a task, and (replicate, row) cells that it computes at once.
-BLOCK = 125
+#: Replicates of a task at most, and (replicate, row) cells that it computes at once.
+BLOCK = 63
 CELLS = 1 << 19
-#: Rows that a range of scores should hold, and ranges at most.
-RANGE_ROWS = 1 << 20
-RANGES = 64
-#: Words hashed at once, and rows of a batch that draws give.
+#: Rows of a chunk of sorted rows, and ranges that they are sorted by.
+RANGE_ROWS = 2048
+RANGES = 96
+#: Bytes of a task's drawn weights, words hashed at once, and rows of a batch that draws give.
+WEIGHT_BYTES = 1 << 27
 DRAWN = 1 << 17
 OUT_ROWS = 1 << 16
-#: Tasks that replicates are dealt to; given, so that they are not joined for being small.
+#: Tasks that blocks of replicates are dealt to; given, so that they are not joined for being small.
 TASKS = 64
 
 
@@ -120,58 +120,136 @@ def bootstrap_auc(tokens: DataFrame, by: str, response: str, replicates: int, se
     return replicated_auc(rows, replicates, seed).select(F.col("scope").alias(by), "rep", "auc")
 
 
-PARTS = "kind string, scope string, rep int, _range int, p double, n double, u double"
+CHUNKS = "kind string, scope string, n_clusters bigint, first double, first_y int, last double, last_y int, codes binary, counts binary"
 
 
 def replicated_auc(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(kind, scope, rep, auc) of each replicate; rows: kind, scope, cluster_idx, n_clusters, label, score.
 
     The kinds of a scope share its draws. Rows with a null label or a score that isn't finite don't
-    count; a replicate with one class has a null auc. Rows are summed up by (cluster, score) and dealt
-    once by ranges of scores, equal ones together, and blocks of replicates. A task repeats the draws
-    of its block by their hashes and returns, for each replicate, its range's positives, negatives
-    and wins; prefix sums over the few ranges join them. So what is shuffled grows with the rows and
-    the blocks, not with the replicates.
+    count; a replicate with one class has a null auc. Rows are sorted by score, by ranges, negatives
+    first where scores are equal, and packed in chunks of four bytes a row; rows of one cluster, score and
+    class are one with a count. Each block of replicates of a scope gets all its chunks in order: a task draws the
+    block once, holds its weights of a byte each, at most WEIGHT_BYTES, and one batch of chunks, and adds up positives,
+    negatives and wins while they go by. So hashes grow with clusters times replicates, cells with rows times
+    replicates, and nothing is drawn twice.
     """
-    finite = F.col("score").cast("double")
-    kept = rows.where(F.col("label").isNotNull()).select("kind", "scope", "cluster_idx", "n_clusters", "label", finite.alias("_s")).where(is_finite("_s"))
-    positive = (F.col("label") == 1).cast("double")
-    sums = kept.groupBy("kind", "scope", "n_clusters", "cluster_idx", "_s").agg(F.sum(positive).alias("_p"), F.sum(1 - positive).alias("_n"))
-    cuts = sums.groupBy("kind", "scope").agg(F.percentile_approx("_s", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"), F.least(F.lit(RANGES), F.ceil(F.count("*") / RANGE_ROWS)).alias("_ranges"))
-    place = F.floor(F.size(F.filter("_cuts", lambda c: c < F.col("_s"))) * F.col("_ranges") / RANGES)
-    dealt = sums.join(cuts, ["kind", "scope"]).withColumn("_range", F.when(F.col("_ranges") == 1, 0).otherwise(place).cast("int")).drop("_cuts", "_ranges")
-    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BLOCK) - 1))))
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        scope, block, at = key
-        count = int(group["n_clusters"].iloc[0])
-        sides = [(kind, *_sorted(own)) for kind, own in group.groupby("kind")]
-        step = max(1, CELLS // max(count, len(group)))
-        found = []
-        for low in range(block * BLOCK, min(replicates, (block + 1) * BLOCK), step):
-            reps = range(low, min(replicates, (block + 1) * BLOCK, low + step))
-            weights = np.stack([np.bincount(drawn(seed, scope, rep, count), minlength=count) for rep in reps]).astype(np.float64)
-            for kind, clusters, p, n, edge in sides:
-                w = weights[:, clusters]
-                positives, negatives = np.add.reduceat(w * p, edge, axis=1), np.add.reduceat(w * n, edge, axis=1)
-                wins = (positives * (np.cumsum(negatives, axis=1) - negatives / 2)).sum(axis=1)
-                found.append(pd.DataFrame({"kind": kind, "scope": scope, "rep": reps, "_range": at, "p": positives.sum(axis=1), "n": negatives.sum(axis=1), "u": wins}))
-        return pd.concat(found)
-
-    parts = dealt.groupBy("scope", "_block", "_range").applyInPandas(run, PARTS)
-    below = W.partitionBy("kind", "scope", "rep").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("u", F.col("u") + F.col("p") * F.coalesce(F.sum("n").over(below), F.lit(0.0)))
-    whole = parts.groupBy("kind", "scope", "rep").agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return whole.select("kind", "scope", "rep", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).alias("auc"))
-
-
-def _sorted(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Clusters, positives and negatives in the order of scores, and where each score begins."""
-    scores = rows["_s"].to_numpy()
-    order = np.argsort(scores, kind="stable")
-    scores = scores[order]
-    edge = np.flatnonzero(np.concatenate([[True], scores[1:] != scores[:-1]]))
-    return rows["cluster_idx"].to_numpy()[order], rows["_p"].to_numpy()[order], rows["_n"].to_numpy()[order], edge
+    finite = F.col("score").cast("double") + F.lit(0.0)  # no -0.0
+    kept = rows.where(F.col("label").isNotNull()).select("kind", "scope", "n_clusters", finite.alias("_s"), (F.col("label") == 1).cast("int").alias("_y"), "cluster_idx").where(is_finite("_s"))
+    order = ["scope", "kind", "_s", "_y", "cluster_idx"]
+    size, cells = RANGE_ROWS, CELLS
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                yield _packed(batch.slice(low, size))
+
+    chunks = kept.repartitionByRange(RANGES, *order).sortWithinPartitions(*order).mapInArrow(pack, CHUNKS)
+    reps = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(WEIGHT_BYTES) / F.col("n_clusters")))).cast("int")
+    dealt = chunks.withColumn("reps", reps).withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(replicates) / F.col("reps")).cast("int") - 1)))
+    dealt = dealt.repartitionById(TASKS, F.pmod(F.pmod(F.hash("scope"), F.lit(TASKS)) + F.col("block"), F.lit(TASKS)).cast("int")).sortWithinPartitions("scope", "block", "kind", "first", "first_y", "last", "last_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn_of = weights = sums = None
+        for batch in batches:
+            names = ("kind", "scope", "n_clusters", "first", "last", "reps", "block")
+            for k, (kind, scope, count, first, last, step, block) in enumerate(zip(*[batch.column(c).to_pylist() for c in names], strict=True)):
+                if sums is not None and sums.of != (scope, block, kind):
+                    yield sums.result()
+                    sums = None
+                if drawn_of != (scope, block):
+                    weights = None  # before the next are made
+                    low = block * step
+                    weights, drawn_of = _drawn_weights(scope_seed(seed, scope), range(low, min(replicates, low + step)), count), (scope, block)
+                if sums is None:
+                    sums = _Sums((scope, block, kind), weights, block * step, cells)
+                sums.add(first, last, *[batch.column(c)[k].as_buffer() for c in ("codes", "counts")])
+        if sums is not None:
+            yield sums.result()
+
+    return dealt.select("kind", "scope", "n_clusters", "first", "last", "reps", "block", "codes", "counts").mapInArrow(run, "kind string, scope string, rep int, auc double")
+
+
+def _packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A chunk for each kind and scope of sorted rows: cluster * 4 + 2 where a score begins + class, and counts where any is over 1."""
+    scope, kind = rows.column("scope"), rows.column("kind")
+    score, y, cluster = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_s", "_y", "cluster_idx"))
+    of = np.ones(rows.num_rows, bool)
+    of[1:] = pc.or_(pc.not_equal(scope[1:], scope[:-1]), pc.not_equal(kind[1:], kind[:-1])).to_numpy(zero_copy_only=False)
+    begins = of.copy()
+    begins[1:] |= score[1:] != score[:-1]
+    new = begins.copy()
+    new[1:] |= (y[1:] != y[:-1]) | (cluster[1:] != cluster[:-1])
+    kept = np.flatnonzero(new)
+    counts = np.diff(np.append(kept, len(new)))
+    codes = cluster[kept] * 4 + begins[kept] * 2 + y[kept]
+    edges = [*np.flatnonzero(of[kept]).tolist(), len(kept)]
+    sizes, found = rows.column("n_clusters").to_pylist(), []
+    for low, high in zip(edges, edges[1:], strict=False):
+        first, last = kept[low], kept[high - 1]
+        many = counts[low:high]
+        code = codes[low:high].astype("<u4" if sizes[first] < 1 << 30 else "<u8")
+        found.append((kind[first].as_py(), scope[first].as_py(), sizes[first], score[first], y[first], score[last], y[last], code.tobytes(), many.astype("<u4").tobytes() if many.max() > 1 else b""))
+    types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+    names = [f.split()[0] for f in CHUNKS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+
+
+def _drawn_weights(seed: int, reps: range, count: int) -> np.ndarray:
+    """(replicates, clusters): how often each cluster is drawn, a byte each."""
+    weights = np.empty((len(reps), count), np.uint8)
+    for k, rep in enumerate(reps):
+        counts = drawn_counts(seed, rep, count)
+        if counts.max() > 255:
+            raise OverflowError(f"a cluster was drawn {counts.max()} times in a replicate")
+        weights[k] = counts
+    return weights
+
+
+class _Sums:
+    """Positives, negatives and wins of a block of replicates over chunks in the order of scores."""
+
+    def __init__(self, of: tuple, weights: np.ndarray, first_rep: int, cells: int) -> None:
+        self.of, self.weights, self.first_rep, self.cells = of, weights, first_rep, cells
+        #: ``open``: negatives so far of the score that the last chunk ended with.
+        self.p, self.n, self.u, self.open = (np.zeros(len(weights)) for _ in range(4))
+        self.last = None
+
+    def add(self, first: float, last: float, codes: pa.Buffer, counts: pa.Buffer) -> None:
+        code = np.frombuffer(codes, "<u4" if self.weights.shape[1] < 1 << 30 else "<u8")
+        cluster, y, begins = (code >> 2).astype(np.intp), (code & 1).astype(bool), (code & 2) > 0
+        many = np.frombuffer(counts, "<u4").astype(np.float64) if counts.size else None
+        goes_on = first == self.last
+        begins[0] = not goes_on
+        cut = begins.copy()
+        cut[0] = True
+        cut[1:] |= y[1:] != y[:-1]
+        edge = np.flatnonzero(cut)
+        positive = np.flatnonzero(y[edge])
+        tied = positive[(positive > 0) & ~begins[edge[positive]]]  # the segment before has the same score's negatives
+        step = max(1, self.cells // len(code))
+        for low in range(0, len(self.weights), step):
+            at = slice(low, low + step)
+            w = self.weights[at].take(cluster, axis=1)
+            w = w * many if many is not None else w
+            sums = np.add.reduceat(w, edge, axis=1, dtype=np.float64) if len(edge) < len(code) else w.astype(np.float64)
+            own = sums[:, positive]
+            sums[:, positive] = 0
+            below = np.cumsum(sums, axis=1) + self.n[at, None]
+            if goes_on:
+                sums[:, 0] += self.open[at]
+            sums[:, tied] = sums[:, tied - 1]
+            self.u[at] += (own * (below[:, positive] - sums[:, positive] / 2)).sum(axis=1)
+            self.p[at] += own.sum(axis=1)
+            self.n[at], self.open[at] = below[:, -1], sums[:, -1]
+        self.last = last
+
+    def result(self) -> pa.RecordBatch:
+        scope, _, kind = self.of
+        valid = (self.p > 0) & (self.n > 0)
+        area = self.u / np.where(valid, self.p * self.n, 1)
+        reps = np.arange(self.first_rep, self.first_rep + len(area), dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(area), pa.string()), pa.array([scope] * len(area), pa.string()), pa.array(reps), pa.array(area, mask=~valid)], ["kind", "scope", "rep", "auc"])
 
 
 def kernel_auc(labels: np.ndarray, scores: np.ndarray, weights: np.ndarray) -> float:

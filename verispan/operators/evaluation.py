@@ -61,7 +61,9 @@ def _replicates(sides: dict[str, DataFrame], index: DataFrame, tasks: list[str],
     """(scope, rep, a column of aucs a side), TaskMacro too: one draw of each scope's responses serves all sides."""
     rows = [rows.select(F.lit(name).alias("kind"), "*") for name, rows in sides.items()]
     rows = reduce(DataFrame.unionByName, rows).join(index, ["scope", "response_key"])
-    found = _with_macro(replicated_auc(rows, replicates, seed), tasks, ["kind", "rep"])
+    also = F.explode(F.filter(F.array("scope", F.when(F.col("scope").isin(tasks), F.lit(MACRO))), lambda s: s.isNotNull()))  # one pass over the replicates serves TaskMacro too
+    found = replicated_auc(rows, replicates, seed).withColumn("scope", also).groupBy("scope", "kind", "rep")
+    found = found.agg(F.when(F.col("scope") == MACRO, strict_mean("auc", len(tasks))).otherwise(F.max("auc")).alias("auc"))
     return found.groupBy("scope", "rep").agg(*[F.max(F.when(F.col("kind") == name, F.col("auc"))).alias(name) for name in sides])
 
 
