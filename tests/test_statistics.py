@@ -206,3 +206,14 @@ def test_replicates_are_computed_once(spark):
     for found in (evaluation.replicate_aucs(first, TASKS, 20, 42), evaluation.paired_replicates(first, tokens(spark, -1.0), TASKS, 20, 42).where("scope = 'TaskMacro'")):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert sum("run(" in line for line in plan.splitlines()) == 1
+
+
+def test_only_what_is_asked_for_is_replicated(spark):
+    """TaskMacro of tokens alone, without Overall and responses, as with them."""
+    first, second = tokens(spark), tokens(spark, -1.0, extra=1)
+    key = lambda df: sorted(map(tuple, df.where("scope = 'TaskMacro'").select("rep", "token").collect()))
+    less = evaluation.replicate_aucs(first, TASKS, 9, 1, ("token",), overall=False)
+    assert less.columns == ["scope", "rep", "token_auc"] and {r.scope for r in less.select("scope").collect()} == {*TASKS, "TaskMacro"}
+    assert key(less.withColumnRenamed("token_auc", "token")) == key(evaluation.replicate_aucs(first, TASKS, 9, 1).withColumnRenamed("token_auc", "token"))
+    pair = [evaluation.paired_replicates(first, second, TASKS, 9, 1, *more) for more in ((("token",), False), ())]
+    assert key(pair[0].withColumnRenamed("token_difference", "token")) == key(pair[1].withColumnRenamed("token_difference", "token"))

@@ -19,10 +19,10 @@ def response_means(tokens: DataFrame, response: str = "response_id", task: str =
     return tokens.groupBy(task, response).agg(F.avg("score").alias("mean_score"), F.max("response_label").alias("response_label"), F.count("*").alias("n_tokens"), F.sum("label").alias("n_positive_tokens"))
 
 
-def scoped(rows: DataFrame, tasks: list[str], task: str = "task") -> DataFrame:
-    """rows with ``scope``: each row once under its task, if listed, and once under Overall."""
+def scoped(rows: DataFrame, tasks: list[str], task: str = "task", overall: bool = True) -> DataFrame:
+    """rows with ``scope``: each row once under its task, if listed, and once under Overall, if that is asked for."""
     own = F.when(F.col(task).isin(tasks), F.col(task))
-    return rows.withColumn("scope", F.explode(F.filter(F.array(own, F.lit(OVERALL)), lambda s: s.isNotNull())))
+    return rows.withColumn("scope", F.explode(F.filter(F.array(own, *([F.lit(OVERALL)] if overall else [])), lambda s: s.isNotNull())))
 
 
 def scope_counts(tokens: DataFrame, tasks: list[str]) -> DataFrame:
@@ -51,10 +51,10 @@ def point_aucs(tokens: DataFrame, tasks: list[str]) -> DataFrame:
     return both
 
 
-def _keyed(rows: DataFrame, tasks: list[str], label: str, score: str) -> DataFrame:
+def _keyed(rows: DataFrame, tasks: list[str], label: str, score: str, overall: bool = True) -> DataFrame:
     """(scope, response_key, label, score)."""
     key = F.concat_ws("\0", "task", "response_id")
-    return scoped(rows.withColumn("response_key", key), tasks).select("scope", "response_key", F.col(label).alias("label"), F.col(score).alias("score"))
+    return scoped(rows.withColumn("response_key", key), tasks, overall=overall).select("scope", "response_key", F.col(label).alias("label"), F.col(score).alias("score"))
 
 
 def _replicates(sides: dict[str, DataFrame], index: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
@@ -67,11 +67,21 @@ def _replicates(sides: dict[str, DataFrame], index: DataFrame, tasks: list[str],
     return found.groupBy("scope", "rep").agg(*[F.max(F.when(F.col("kind") == name, F.col("auc"))).alias(name) for name in sides])
 
 
-def replicate_aucs(tokens: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
+LEVELS = ("token", "response")
+
+
+def _levels(tokens: DataFrame, tasks: list[str], levels: tuple[str, ...], overall: bool) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows of each level, and the responses, by scope."""
+    means = _keyed(response_means(tokens), tasks, "response_label", "mean_score", overall)
+    found = {"token": _keyed(tokens, tasks, "label", "score", overall), "response": means}
+    return {level: found[level] for level in levels}, means
+
+
+def replicate_aucs(tokens: DataFrame, tasks: list[str], replicates: int, seed: int, levels: tuple[str, ...] = LEVELS, overall: bool = True) -> DataFrame:
     """(scope, rep, token_auc, response_auc): each scope's clusters are drawn on their own; TaskMacro
-    averages the tasks' replicates."""
-    sides = {"token_auc": _keyed(tokens, tasks, "label", "score"), "response_auc": _keyed(response_means(tokens), tasks, "response_label", "mean_score")}
-    return _replicates(sides, cluster_index(sides["response_auc"], ["scope"], "response_key"), tasks, replicates, seed)
+    averages the tasks' replicates. Only the levels asked for are computed, and Overall only if it is."""
+    rows, means = _levels(tokens, tasks, levels, overall)
+    return _replicates({f"{level}_auc": x for level, x in rows.items()}, cluster_index(means, ["scope"], "response_key"), tasks, replicates, seed)
 
 
 def check_bootstrap(replicates: int, confidence: float) -> None:
@@ -105,16 +115,14 @@ def common_responses(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select("task", "response_id").distinct().join(second.select("task", "response_id").distinct(), ["task", "response_id"])
 
 
-def paired_replicates(first: DataFrame, second: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
+def paired_replicates(first: DataFrame, second: DataFrame, tasks: list[str], replicates: int, seed: int, levels: tuple[str, ...] = LEVELS, overall: bool = True) -> DataFrame:
     """(scope, rep, and for token and response first, second and difference): one draw of responses serves
-    both scorers; a replicate counts only where both are defined."""
-    means = [response_means(x) for x in (first, second)]
-    sides = {f"{name}_token_auc": _keyed(x, tasks, "label", "score") for name, x in (("first", first), ("second", second))}
-    sides |= {f"{name}_response_auc": _keyed(x, tasks, "response_label", "mean_score") for name, x in zip(("first", "second"), means, strict=True)}
-    index = cluster_index(sides["first_response_auc"], ["scope"], "response_key")
-    both = _replicates(sides, index, tasks, replicates, seed)
+    both scorers; a replicate counts only where both are defined. Levels and Overall as in ``replicate_aucs``."""
+    (rows, means), (others, _) = (_levels(x, tasks, levels, overall) for x in (first, second))
+    sides = {f"{name}_{level}_auc": x for level in levels for name, x in (("first", rows[level]), ("second", others[level]))}
+    both = _replicates(sides, cluster_index(means, ["scope"], "response_key"), tasks, replicates, seed)
     found = []
-    for level in ("token", "response"):
+    for level in levels:
         names = [f"{name}_{level}_auc" for name in ("first", "second")]
         whole = F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull()
         found += [F.when(whole, F.col(c)).alias(c) for c in names] + [F.when(whole, F.col(names[0]) - F.col(names[1])).alias(f"{level}_difference")]

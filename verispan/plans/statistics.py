@@ -132,7 +132,7 @@ _MACRO = f"{_SCOPED}, tok AS MATERIALIZED ({auc_sql('kweighted', 'scope, rep', w
 
 @query(nudge(f"WITH {TOKENS}, {_MACRO} SELECT CAST(rep AS INT) AS rep, {_R} FROM tokm WHERE scope = 'TaskMacro'"))
 def macro_bootstrap(spark, d):
-    reps = evaluation.replicate_aucs(tokens(spark, d), EVENT_TASKS, REPS, SEED)
+    reps = evaluation.replicate_aucs(tokens(spark, d), EVENT_TASKS, REPS, SEED, ("token",), overall=False)
     return reps.where(F.col("scope") == evaluation.MACRO).select("rep", F.round(F.col("token_auc") + 1e-12, 9).alias("auc"))
 
 
@@ -147,7 +147,7 @@ def _sides(spark, d):
 @query(nudge(f"WITH {TOKENS}, {_PAIRED} SELECT a.scope, CAST(a.rep AS INT) AS rep, round(a.auc, 9) AS first_auc, round(b.auc, 9) AS second_auc, round(a.auc - b.auc, 9) AS difference FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep WHERE a.scope <> 'TaskMacro'"))
 def paired_bootstrap(spark, d):
     first, second = _sides(spark, d)
-    reps = evaluation.paired_replicates(first, second, EVENT_TASKS, REPS, SEED).where(F.col("scope") != evaluation.MACRO)
+    reps = evaluation.paired_replicates(first, second, EVENT_TASKS, REPS, SEED, ("token",)).where(F.col("scope") != evaluation.MACRO)
     reps = reps.select("scope", "rep", F.col("first_token_auc").alias("first_auc"), F.col("second_token_auc").alias("second_auc"), F.col("token_difference").alias("difference"))
     return nudged(reps, "first_auc", "second_auc", "difference")
 
@@ -155,7 +155,7 @@ def paired_bootstrap(spark, d):
 @query(nudge(f"WITH {TOKENS}, {_PAIRED} SELECT round(quantile_cont(a.auc - b.auc, 0.025), 9) AS ci_low, round(quantile_cont(a.auc - b.auc, 0.975), 9) AS ci_high, count(*) AS valid FROM tokm a JOIN otherm b ON a.scope = b.scope AND a.rep = b.rep WHERE a.scope = 'TaskMacro'"))
 def paired_macro_bootstrap(spark, d):
     first, second = _sides(spark, d)
-    reps = evaluation.paired_replicates(first, second, EVENT_TASKS, REPS, SEED).where(F.col("scope") == evaluation.MACRO)
+    reps = evaluation.paired_replicates(first, second, EVENT_TASKS, REPS, SEED, ("token",), overall=False).where(F.col("scope") == evaluation.MACRO)
     return nudged(bootstrap.interval(reps, ["scope"], "token_difference", 0.95), "ci_low", "ci_high").drop("scope")
 
 
