@@ -59,7 +59,7 @@ def natural_key(value: Column | str) -> list[Column]:
 
 
 #: Bytes of text whose pieces make one batch, but for a longer text.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def pieces(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
