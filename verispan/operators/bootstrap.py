@@ -21,7 +21,7 @@ WORDS = 8
 #: Replicates of a task at most, and (replicate, row) cells that it computes at once.
 BLOCK = 63
 CELLS = 1 << 19
-#: Rows of a chunk of sorted rows, and ranges that they are sorted by.
+#: Rows of a chunk of sorted rows, and parts that they are joined and sorted in.
 RANGE_ROWS = 2048
 RANGES = 96
 #: Bytes of a task's drawn weights, words hashed at once, and rows of a batch that draws give.
@@ -116,7 +116,7 @@ def intervals(values: DataFrame, named: dict[str, str], confidence: float) -> Da
 def bootstrap_auc(tokens: DataFrame, by: str, response: str, replicates: int, seed: int, label: str = "label", score: str = "score") -> DataFrame:
     """(by, rep, auc): the weighted AUC of each replicate of response clusters; ``by`` is also the scope of the draws."""
     index = cluster_index(tokens, [by], response)
-    rows = tokens.join(index, [by, response]).select(F.lit("").alias("kind"), F.col(by).alias("scope"), "cluster_idx", "n_clusters", F.col(label).alias("label"), F.col(score).alias("score"))
+    rows = tokens.select(by, response, label, score).repartition(RANGES, by, response).join(index, [by, response]).select(F.lit("").alias("kind"), F.col(by).alias("scope"), "cluster_idx", "n_clusters", F.col(label).alias("label"), F.col(score).alias("score"))
     return replicated_auc(rows, replicates, seed).select(F.col("scope").alias(by), "rep", "auc")
 
 
