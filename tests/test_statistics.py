@@ -217,3 +217,11 @@ def test_only_what_is_asked_for_is_replicated(spark):
     assert key(less.withColumnRenamed("token_auc", "token")) == key(evaluation.replicate_aucs(first, TASKS, 9, 1).withColumnRenamed("token_auc", "token"))
     pair = [evaluation.paired_replicates(first, second, TASKS, 9, 1, *more) for more in ((("token",), False), ())]
     assert key(pair[0].withColumnRenamed("token_difference", "token")) == key(pair[1].withColumnRenamed("token_difference", "token"))
+
+
+def test_joins_of_replicates_are_in_fixed_parts(spark):
+    """What one task joins and sorts doesn't hang on the session's number of partitions."""
+    df = spark.createDataFrame([("a", "r", 1, 1.0)], "scope string, response string, label int, score double")
+    for found in (bootstrap.bootstrap_auc(df, "scope", "response", 3, 5), evaluation.replicate_aucs(tokens(spark), TASKS, 3, 42)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sum(f", {bootstrap.RANGES})" in line and "hashpartitioning(" in line for line in plan.splitlines()) and f"{bootstrap.RANGES}), REPARTITION_BY_NUM" in plan

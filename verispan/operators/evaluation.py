@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .auc import roc_auc, strict_mean
-from .bootstrap import cluster_index, intervals, replicated_auc
+from .bootstrap import RANGES, cluster_index, intervals, replicated_auc
 from .checks import label_conflicts, label_disagreements, require_none
 
 OVERALL, MACRO = "Overall", "TaskMacro"
@@ -60,7 +60,7 @@ def _keyed(rows: DataFrame, tasks: list[str], label: str, score: str, overall: b
 def _replicates(sides: dict[str, DataFrame], index: DataFrame, tasks: list[str], replicates: int, seed: int) -> DataFrame:
     """(scope, rep, a column of aucs a side), TaskMacro too: one draw of each scope's responses serves all sides."""
     rows = [rows.select(F.lit(name).alias("kind"), "*") for name, rows in sides.items()]
-    rows = reduce(DataFrame.unionByName, rows).join(index, ["scope", "response_key"])
+    rows = reduce(DataFrame.unionByName, rows).repartition(RANGES, "scope", "response_key").join(index, ["scope", "response_key"])
     also = F.explode(F.filter(F.array("scope", F.when(F.col("scope").isin(tasks), F.lit(MACRO))), lambda s: s.isNotNull()))  # one pass over the replicates serves TaskMacro too
     found = replicated_auc(rows, replicates, seed).withColumn("scope", also).groupBy("scope", "kind", "rep")
     found = found.agg(F.when(F.col("scope") == MACRO, strict_mean("auc", len(tasks))).otherwise(F.max("auc")).alias("auc"))
